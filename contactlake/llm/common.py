@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -87,3 +88,9 @@ def blank_words(c):
 def let(value, body):
     """body(value) with value computed once per row (Catalyst would inline it into lambdas)."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what no plan refers to any more, so Spark deletes the shuffle files behind it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
