@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .minhash import MinHash, near_duplicates
+from .quality import quality_verdicts
 from .sharding import assign_shards, grown_tree, hash_tree
+from .url_filters import judge_urls
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +22,18 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), MinHash(shingle=2))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
+    "op4_quality": op4_quality,
+    "op10_url_filters": op10_url_filters,
     "op7_sharding": op7_sharding,
 }
 
