@@ -26,7 +26,7 @@ class QualityRules:
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
-    max_symbols_per_100_words: int = 50
+    max_symbols_per_100_words: int = 10
     min_word_chars_per_100_words: int = 200
     max_word_chars_per_100_words: int = 1500
     max_dup_line_percent: int = 50

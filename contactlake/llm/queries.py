@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contamination
 from .minhash import MinHash, near_duplicates
 from .quality import quality_verdicts
 from .sharding import assign_shards, grown_tree, hash_tree
@@ -30,10 +31,15 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
     "op10_url_filters": op10_url_filters,
+    "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
 }
 
