@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination
 from .minhash import MinHash, near_duplicates
+from .phrases import remove_repeated_phrases
 from .quality import quality_verdicts
 from .sharding import assign_shards, grown_tree, hash_tree
+from .suffixes import remove_repeated_bytes
 from .url_filters import judge_urls
 
 
@@ -35,10 +37,20 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
     "op10_url_filters": op10_url_filters,
+    "op5_suffix_array": op5_suffix_array,
+    "op8_substrings": op8_substrings,
     "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
 }
