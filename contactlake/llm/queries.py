@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .ctw import score_texts
 from .decontaminate import contamination
 from .minhash import MinHash, near_duplicates
 from .phrases import remove_repeated_phrases
@@ -45,9 +46,14 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_phrases(table(spark, sf_dir, "documents"))
 
 
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
+    "op9_ctw": op9_ctw,
     "op10_url_filters": op10_url_filters,
     "op5_suffix_array": op5_suffix_array,
     "op8_substrings": op8_substrings,
