@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .ctw import score_texts
 from .decontaminate import contamination
+from .licenses import scan_licenses
 from .minhash import MinHash, near_duplicates
+from .mixing import mix_sources
 from .phrases import remove_repeated_phrases
 from .quality import quality_verdicts
 from .sharding import assign_shards, grown_tree, hash_tree
@@ -50,7 +53,24 @@ def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, language, a folder for each hundred ids."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 100).cast("string"))
+    return docs.select("doc_id", F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(document_files(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_licenses": op2_licenses,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
     "op9_ctw": op9_ctw,
