@@ -1,10 +1,61 @@
-"""From raw documents to shards."""
+"""From raw documents to shards: quality rules, near-dedup, decontamination, mixing, sharding."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contactlake.llm.common import stored, table
+from contactlake.llm.decontaminate import contamination
+from contactlake.llm.minhash import MinHash, near_duplicates
+from contactlake.llm.mixing import mixed
+from contactlake.llm.quality import quality_verdicts
+from contactlake.llm.sharding import assign_shards, grown_tree, hash_tree
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of docs whose id has a verdict among `verdicts` (doc_id)."""
+    ids = verdicts.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return _kept(docs, quality_verdicts(docs).where("kept"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id; an id that repeats stays once."""
+    kept = _kept(docs, near_duplicates(docs, MinHash(shingle=5)).where("kept"))
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark's passages."""
+    return _kept(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say."""
+    return mixed(docs, table(spark, sf_dir, "labels"))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document goes."""
+    tree = hash_tree(8)
+    return assign_shards(docs, tree, grown_tree(tree, 8))
+
+
+STAGES = [("quality rules", quality), ("near-dedup", dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
+
+#: Hashed features, iterated rates and hash draws have no SQL form; tests compare with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over the table documents, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = stored(out, f"stage{k}") if k + 1 < len(STAGES) else out
+    return docs
