@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import release, stored
 from .graph import connected_components
-from .shingles import WordHashes, batches, mix, shingle_set
+from .shingles import WordHashes, batches, binary, mix, shingle_set
 
 
 @dataclass(frozen=True)
@@ -21,8 +21,8 @@ class MinHash:
     """shingle: words in a shingle. A pair links at num * union <= den * intersection, so num/den is the similarity.
 
     40 bands of 5 minima miss a pair of similarity 0.8 with odds of 1.3e-7. A pair goes on to the full sets if its
-    signatures agree in at least `screen` of 200 places, six deviations below 0.8. Buckets are compared in blocks of
-    `block` members.
+    signatures agree in at least `screen` of 200 places, six deviations below 0.8. Buckets are screened in blocks of
+    `block` members, texts confirmed in blocks of `confirm`.
     """
 
     shingle: int = 5
@@ -33,6 +33,7 @@ class MinHash:
     screen: float = 0.63
     seed: int = 1
     block: int = 1024
+    confirm: int = 4096
 
     def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
         r = np.random.default_rng(self.seed)
@@ -51,6 +52,14 @@ def _minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def similar(s: np.ndarray, t: np.ndarray, p: MinHash) -> bool:
+    """Whether two shingle sets link; empty ones never do."""
+    if min(len(s), len(t)) * p.den < max(len(s), len(t)) * p.num:
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return p.den * both >= p.num * (len(s) + len(t) - both) > 0
+
+
 def sketches(docs: DataFrame, p: MinHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, fp, bands, sig) of every row: set size, digest of the set, band keys, 16 bits of each minimum."""
 
@@ -107,8 +116,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
                 if last[0] != s:
                     last = s, shingle_set(s, p.shingle, hashes)
                 y = shingle_set(t, p.shingle, hashes)
-                both = len(np.intersect1d(last[1], y, assume_unique=True))
-                if p.den * both >= p.num * (len(last[1]) + len(y) - both) > 0:
+                if similar(last[1], y, p):
                     out.append((i, j))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -116,55 +124,90 @@ def _linked(pairs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _leftover_pairs(members: DataFrame, sigs: DataFrame, p: MinHash) -> DataFrame:
-    """Screened pairs of different components in buckets that hold several: every such pair, block against block.
+def _leftover_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, p: MinHash) -> DataFrame:
+    """(a, b) links between different components in buckets that hold several: every such pair is looked at.
 
-    members: (key, id, comp, m) with m the bucket's size. A bucket of more than `block` members is dealt to blocks;
-    a task compares two blocks' signatures at a time, so it holds 2 * block of them whatever the bucket's size.
+    members: (key, id, comp, m) with m the bucket's size. A bucket of more than `block` members is dealt to blocks; a
+    task screens two blocks' signatures at a time, so it holds 2 * block of them whatever the bucket's size. Screened
+    pairs go on as one list per member and block of partners, and are confirmed on full sets two blocks of texts at a
+    time, skipping what the links found there already join. So neither rows nor memory grow with pairs.
     """
     k = F.ceil(F.col("m") / p.block)
     own = F.pmod(F.xxhash64("id"), k)
     dealt = members.withColumn("k", k).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp").join(sigs.select("id", "n", "sig"), "id")
+    ids = stored(members.select("id").distinct(), "ids")
+    blocks = max(1, -(-ids.count() // p.confirm))
+    listed = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    def screen(rows: list[tuple]) -> Iterator[tuple]:
         i, j = rows[0][1], rows[0][2]
         own, ids, comp, n = (np.array([r[x] for r in rows], np.int64) for x in (3, 4, 5, 6))
         sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), -1)
+        block = ids % blocks
         for x in range(len(rows)):
             # within a block each pair once, between two blocks only across
-            ok = (np.arange(len(rows)) > x) & (comp != comp[x]) & (np.minimum(n, n[x]) * p.den >= np.maximum(n, n[x]) * p.num)
+            ok = (np.arange(len(rows)) > x) & (comp != comp[x]) & (ids != ids[x]) & (np.minimum(n, n[x]) * p.den >= np.maximum(n, n[x]) * p.num)
             if i != j:
                 ok &= own != own[x]
             at = np.flatnonzero(ok)
             if len(at):
-                for y in at[(sig[at] == sig[x]).mean(axis=1) >= p.screen]:
-                    a, b = sorted((int(ids[x]), int(ids[y])))
-                    if a != b:
-                        yield a, b
+                at = at[(sig[at] == sig[x]).mean(axis=1) >= p.screen]
+                for y in np.unique(block[at]):
+                    yield min(block[x], y), max(block[x], y), ids[x], ids[at[block[at] == y]]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
+    def grouped(it: Iterator[pa.RecordBatch], columns: tuple[str, ...], width: int) -> Iterator[list[tuple]]:
         group: list[tuple] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-                out.clear()
-
         for batch in it:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "id", "comp", "n", "sig")), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    out.extend(compare(group))
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if group and group[0][:width] != row[:width]:
+                    yield group
                     group = []
-                    if len(out) > 20_000:
-                        yield from flush()
                 group.append(row)
         if group:
-            out.extend(compare(group))
-        yield from flush()
+            yield group
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "id", "comp", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for group in grouped(it, ("key", "i", "j", "own", "id", "comp", "n", "sig"), 3):
+            out.extend(screen(group))
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), listed, strict=True)], schema=listed)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), listed, strict=True)], schema=listed)
+
+    def confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, now, sets, top = WordHashes(), None, {}, {}
+
+        def root(v: int) -> int:
+            while top.setdefault(v, v) != v:
+                top[v] = v = top[top[v]]
+            return v
+
+        for batch in it:
+            out = []
+            for x, y, i, others, text in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "id", "ids")), binary(batch.column("text")), strict=True):
+                if (x, y) != now:
+                    now, sets, top = (x, y), {}, {}
+                if others is None:
+                    sets.setdefault(i, []).append(shingle_set(text, p.shingle, hashes))
+                    continue
+                for o in others:
+                    if root(i) != root(o) and any(similar(s, t, p) for s in sets.get(i, ()) for t in sets.get(o, ())):
+                        top[root(i)] = root(o)
+                        out.append((i, o))
+            yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    ranked = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "id", "comp", "n", "sig")
+    lists = ranked.mapInArrow(run, "x long, y long, id long, ids array<long>").groupBy("x", "y", "id").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    lists = stored(lists, "lists")
+    tasks = lists.select("x", "y").distinct()
+    sides = tasks.select("x", "y", F.col("x").alias("block")).unionByName(tasks.where("x <> y").select("x", "y", F.col("y").alias("block")))
+    held = texts.join(ids, "id", "left_semi").withColumn("block", F.pmod("id", F.lit(blocks))).join(sides, "block").select("x", "y", "id", F.lit(None).cast("array<long>").alias("ids"), "text")
+    both = held.unionByName(lists.withColumn("text", F.lit(None).cast("string")))
+    # texts first: their list is null
+    return both.repartition("x", "y").sortWithinPartitions("x", "y", F.col("ids").isNotNull()).mapInArrow(confirm, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: MinHash | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,8 +264,7 @@ def near_duplicates(docs: DataFrame, p: MinHash | None = None, id_col: str = "do
 
     inside = met.where("m > 2").select("key", "id", "m").join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("comp"))
     split = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = stored(_leftover_pairs(inside.join(split, "key"), sigs, p).join(near.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    last = stored(_linked(left, texts, p), "links")
+    last = stored(_leftover_links(stored(inside.join(split, "key"), "leftover"), sigs, texts, p), "links")
     if not last.isEmpty():
         comp = connected_components(links.unionByName(last), "a", "b")
     release(sk.sparkSession)

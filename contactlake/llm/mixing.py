@@ -21,7 +21,7 @@ class Mixing:
 
     sample_rows: about so many labelled rows (by a hash of the id) train the classifier, the documented bound; buckets:
     hashed words. A word counts if it was seen min_count times in the sample and speaks for a domain by `least` nats
-    or more; `most` bounds what it can say. Rates are found when every domain is within `near` of its target.
+    or more; `most` bounds what it can say. No document enters more than max_rate times on average. Rates are found when every domain is within `near` of its target.
     """
 
     targets: dict[str, float] = field(default_factory=lambda: dict(TARGETS))
@@ -31,6 +31,7 @@ class Mixing:
     min_count: int = 4
     least: float = 0.7
     most: float = 4.0
+    max_rate: float = 4.0
     steps: int = 40
     near: float = 1e-4
 
@@ -100,17 +101,20 @@ def memberships(docs: DataFrame, model: dict, m: Mixing, id_col: str = "doc_id",
 
 
 def fitted_rates(rows: DataFrame, m: Mixing) -> DataFrame:
-    """rows (with n_tokens, p_<domain>) with rate: nonnegative, with expected domain tokens at their targets.
+    """rows (with n_tokens, p_<domain>) with rate: from 0 to max_rate, with expected domain tokens at their targets.
 
-    Minimises (A'r - T)' W (A'r - T) over r >= 0 from r = 1 by projected gradient steps, A's row a document's expected
-    tokens by domain and W the inverse of A'A, under which a step of one is safe. Each step is one pass of sums;
-    only a number per domain reaches the driver.
+    Minimises the sum over domains of w (expected - target)^2, w the inverse of its target weight (0.01 at least), from r = 1 by
+    projected gradient steps in the metric of documents' tokens; the step is the inverse of the curvature, from a
+    matrix of one number per pair of domains. Each step is one pass of sums; only a number per domain reaches the
+    driver. Steps end at the targets, or where the totals no longer move (targets that no rates can meet). Rates are
+    rounded to hundredths.
     """
     names = list(m.targets)
-    a = [F.col("n_tokens") * F.col(f"p_{d}") for d in names]
+    p = [F.col(f"p_{d}") for d in names]
+    a = [F.col("n_tokens") * x for x in p]
     k = len(names)
-    first = rows.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in a], *[F.coalesce(F.sum(a[i] * a[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
-    now, gram = np.array(first[:k]), np.array(first[k:]).reshape(k, k)
+    first = rows.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in a], *[F.coalesce(F.sum(a[i] * p[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
+    now, curve = np.array(first[:k]), np.array(first[k:]).reshape(k, k)
     share = np.array([m.targets[d] for d in names]) / sum(m.targets.values())
     whole = now.sum()
     if m.keep in names and share[names.index(m.keep)] > 0:
@@ -119,20 +123,24 @@ def fitted_rates(rows: DataFrame, m: Mixing) -> DataFrame:
     rows = rows.withColumn("rate", F.lit(1.0))
     if not whole:
         return rows
-    inverse = np.linalg.pinv(gram, rcond=1e-12)
+    curve /= whole
+    w = 1 / np.maximum(share, 0.01)
+    step = 1 / np.linalg.eigvalsh(np.sqrt(w)[:, None] * curve * np.sqrt(w)).max()
     last = None
-    for step in range(1, m.steps + 1):
+    for n in range(1, m.steps + 1):
         if np.abs(now - target).max() <= m.near * whole:
             break
-        g = inverse @ (now - target)
-        rows = rows.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - sum((x * F.lit(float(y)) for x, y in zip(a, g, strict=True)), F.lit(0.0))))
-        if step % 5 == 0:  # a short expression to go on from
+        g = step * w * (now - target) / whole
+        rows = rows.withColumn("rate", F.least(F.lit(m.max_rate), F.greatest(F.lit(0.0), F.col("rate") - sum((x * F.lit(float(y)) for x, y in zip(p, g, strict=True)), F.lit(0.0)))))
+        if n % 5 == 0:  # a short expression to go on from
             rows, old = stored(rows, "rates"), last
             last = rows
             if old is not None:
                 discard(old)
-        now = np.array(rows.agg(*[F.coalesce(F.sum(x * F.col("rate")), F.lit(0.0)) for x in a]).first())
-    return rows
+        before, now = now, np.array(rows.agg(*[F.coalesce(F.sum(x * F.col("rate")), F.lit(0.0)) for x in a]).first())
+        if np.abs(now - before).max() <= 0.1 * m.near * whole:
+            break
+    return rows.withColumn("rate", F.round("rate", 2))
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, m: Mixing | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,8 +149,8 @@ def mix_sources(docs: DataFrame, labels: DataFrame, m: Mixing | None = None, id_
     copies: how often the row enters the mix, the whole part of the rate and one more with the odds of the rest, by a
     hash of id and text, so equal rows are treated alike and any rerun agrees. A null text has no tokens and the
     prior's posteriors; its rate stays 1. A null source stays null; a null id is hashed like any other. Other columns
-    are ignored. An empty table gives an empty result; targets that no document can serve are met as nearly as least
-    squares can.
+    are ignored. An empty table gives an empty result; targets that no rates can meet are
+    met as nearly as least squares can.
     """
     m = m or Mixing()
     model = train(docs, labels, m, id_col, text_col)
