@@ -60,6 +60,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """Writes df to the shared folder in buckets of key, as many as there are shuffle partitions; joins on key then leave its rows where they are."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = []
+        atexit.register(_sweep, spark, app)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{tag}_{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/work-{app}/{name}"
+    # dealt out as the buckets are, so each task writes one file
+    df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    _made[app].append(path)
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Drops the files of a stored() table that nothing reads any more."""
     path = getattr(df, "_stored_at", None)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import bucketed, release, stored
 from .shingles import binary, mix
 
 _BASE = 0xD6E8FEB86659FD93
@@ -272,6 +272,9 @@ def repeated_ranges(docs: DataFrame, lay: Layout, symbols: Callable, cut: Callab
     of symbols lo to hi for arrays of both; engine(rows of (h, uid, lo, data)) the repeated (uid, lo, hi).
     """
     spark = docs.sparkSession
+    # texts are moved once, to buckets of their uid; the joins below bring only lists of places to them
+    docs = bucketed(docs, "uid", "texts")
+    release(spark)
     texts = docs.select("uid", "text")
     found = stored(_classified(_runs_of(texts, lay, symbols), lay), "runs")
     release(spark)
