@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
-from .shingles import binary
+from .common import bucketed, release, stored
+from .shingles import WordHashes, binary
 
 #: Context bytes; with the byte to come they fill 48 bits of a key, the latest context byte on top.
 DEPTH = 5
 END = b"\xff"  # never a byte of UTF-8
-STEP = 4 << 20
+STEP = 2 << 20
 U = np.uint64
 _SMALL = np.array([math.lgamma(max(i, 1) / 2) for i in range(4001)])
 
@@ -182,10 +181,6 @@ def byte_scores(counts: DataFrame) -> DataFrame:
     return by_context.mapInArrow(scores, "g long, lp double")
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     keys = np.concatenate([k for k, _ in parts])
     n = np.concatenate([c for _, c in parts])
@@ -193,10 +188,17 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray
     return [(keys, np.rint(np.bincount(at, n)).astype(np.int64))]
 
 
+def tokens_of(text: bytes, hashes: WordHashes) -> np.ndarray:
+    """A negative key for each blank-separated word and the end, by 63 bits of the word's hash; grams are never negative."""
+    words = text.split()
+    words.append(b"")
+    return (hashes.of(words) | U(1 << 63)).view(np.int64)
+
+
 def _units(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, g, word, n) from rows sorted by chunk: what the chunk's texts hold, with counts over training texts."""
-    types = pa.schema([("chunk", pa.int64()), ("g", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
-    now, parts, words = None, [], Counter()
+    """(chunk, k, n) from rows sorted by chunk: the keys a chunk's texts hold, with counts over training texts."""
+    types = pa.schema([("chunk", pa.int64()), ("k", pa.int64()), ("n", pa.int64())])
+    now, parts, hashes = None, [], WordHashes()
     waiting, size = {True: [], False: []}, 0
 
     def absorb() -> None:
@@ -206,7 +208,7 @@ def _units(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys, n = np.unique(np.concatenate(arrays), return_counts=True)
                 parts.append((keys, n if train else np.zeros(len(keys), np.int64)))
         waiting, size = {True: [], False: []}, 0
-        if len(parts) > 8:
+        if len(parts) > 4:
             parts = _merged(parts)
 
     def told() -> Iterator[pa.RecordBatch]:
@@ -215,44 +217,57 @@ def _units(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, n = _merged(parts)[0]
             for a in range(0, len(keys), 100_000):
                 k = keys[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), now)), pa.array(k), pa.nulls(len(k), pa.binary()), pa.array(n[a : a + 100_000])], schema=types)
-        listed = list(words.items())
-        for a in range(0, len(listed), 50_000):
-            w, n = zip(*listed[a : a + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), now)), pa.nulls(len(w), pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], schema=types)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), now)), pa.array(k), pa.array(n[a : a + 100_000])], schema=types)
 
     for batch in it:
         for chunk, i, text in zip(batch.column("chunk").to_pylist(), batch.column("doc_id").to_pylist(), binary(batch.column("text")), strict=True):
             if chunk != now:
                 if now is not None:
                     yield from told()
-                now, parts, words = chunk, [], Counter()
+                now, parts = chunk, []
             text, train = (text or b"").lower(), not held_out(i)
-            for g in gram_blocks(text):
+            for g in (tokens_of(text, hashes), *gram_blocks(text)):
                 waiting[train].append(g)
                 size += len(g)
-                if size > STEP:
-                    absorb()
-            own = text.split()
-            own.append(b"")
-            if train:
-                words.update(own)
-            else:
-                for w in own:
-                    words.setdefault(w, 0)
+            if size > STEP:
+                absorb()
     if now is not None:
         yield from told()
 
 
+class Lookup:
+    """Values by 64-bit key, for arrays of keys: keys lie in order of a hash, with the start of each hash's run."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys)).bit_length())
+        slot = self.slot(keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.start = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(np.bincount(slot, minlength=1 << self.bits), out=self.start[1:])
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """Every wanted key is there."""
+        at = self.start[self.slot(wanted)].astype(np.int64)
+        left = np.flatnonzero(self.keys[at] != wanted)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] != wanted[left]]
+        return self.values[at]
+
+
 def score_texts(docs: DataFrame, chunk_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Learns from the texts whose crc32(id as text) mod 5 is not 1; a null id counts as one of them. Texts are taken
     with A-Z lower-cased. base_score: a smoothed unigram over blank-separated words and one end (the empty word
-    here). score: log10 probability of the text's bytes and an end mark under the weighted context tree, whose counts
+    here); words are told apart by 63 bits of a hash. score: log10 probability of the text's bytes and an end mark under the weighted context tree, whose counts
     come from all training texts; a byte's code length is -log2 of its share.
 
-    Texts are dealt to chunks of about chunk_bytes at random. A chunk tells which keys and words it holds, once each;
+    Texts are dealt to chunks of about chunk_bytes at random, and moved once. A chunk tells which keys and words it holds, once each;
     counts are summed over chunks, the tree is weighted a two-byte context at a time, and each chunk gets back
     the scores of its own keys. So the model, which grows with the corpus, is never held in one place.
 
@@ -263,34 +278,37 @@ def score_texts(docs: DataFrame, chunk_bytes: int = 32 << 20, id_col: str = "doc
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks))).repartition("chunk")
-    units = stored(dealt.sortWithinPartitions("chunk").mapInArrow(_units, "chunk long, g long, word binary, n long"), "units")
+    dealt = bucketed(rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks))), "chunk", "chunks")
     release(spark)
-    counts = stored(units.where("g is not null").groupBy("g").agg(F.sum("n").alias("n")), "counts")
-    scores = stored(byte_scores(counts), "scores")
-    words = units.where("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    units = stored(dealt.sortWithinPartitions("chunk").mapInArrow(_units, "chunk long, k long, n long"), "units")
+    counts = stored(units.where("k >= 0").groupBy(F.col("k").alias("g")).agg(F.sum("n").alias("n")), "counts")
     release(spark)
-    by_gram = units.where("g is not null").select("chunk", "g").join(scores, "g").select("chunk", "g", F.lit(None).cast("binary").alias("word"), F.col("lp").alias("v"))
-    by_word = units.where("word is not null").select("chunk", "word").join(words, "word").select("chunk", F.lit(None).cast("long").alias("g"), "word", F.col("c").cast("double").alias("v"))
-    told = by_gram.unionByName(by_word)
+    scores = byte_scores(counts)
+    words = units.where("k < 0").groupBy("k").agg(F.sum("n").alias("c"))
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     below = total + 0.5 * (distinct + 1)
+    # a known word's score is kept apart from an unknown one's by its sign: -1 stands for count 0
+    values = scores.select(F.col("g").alias("k"), F.col("lp").alias("v")).unionByName(words.select("k", F.when(F.col("c") > 0, F.col("c").cast("double")).otherwise(-1.0).alias("v")))
+    values = stored(values, "values")
+    release(spark)
+    told = units.select("chunk", "k").join(values, "k").select("chunk", "k", "v")
 
     def score(texts: pa.Table, facts: pa.Table) -> pa.Table:
-        g, v, w = (facts.column(c).combine_chunks() for c in ("g", "v", "word"))
-        is_gram = np.array(g.is_valid())
-        keys, lp = np.array(g.drop_null(), np.int64), np.array(v, np.float64)[is_gram]
-        order = np.argsort(keys)
-        keys, lp = keys[order], lp[order]
-        c = np.array(v, np.float64)[~is_gram]
-        word_score = dict(zip(w.drop_null().to_pylist(), zip(np.log10((c + 0.5) / below).tolist(), (c > 0).tolist(), strict=True), strict=True))
-        out = []
-        for i, text in zip(texts.column("doc_id").to_pylist(), binary(texts.column("text").combine_chunks()), strict=True):
-            text = (text or b"").lower()
-            tokens = [word_score[x] for x in text.split()]
-            tokens.append(word_score[b""])
-            s = sum(float(lp[np.searchsorted(keys, x)].sum()) for x in gram_blocks(text))
-            out.append((i, held_out(i), len(tokens), sum(k for _, k in tokens), int(total), math.fsum(x for x, _ in tokens), s))
+        k, v = (np.array(facts.column(c).combine_chunks()) for c in ("k", "v"))
+        word = k < 0
+        grams_of, c = Lookup(k[~word], v[~word]), v[word]
+        words_of = Lookup(k[word], np.where(c > 0, np.log10((np.maximum(c, 0) + 0.5) / below), -math.inf))
+        unknown = math.log10(0.5 / below)
+        hashes, out = WordHashes(), []
+        del k, v, c, word, facts
+        for column in texts.select(["doc_id", "text"]).to_batches(max_chunksize=200):
+            for i, text in zip(column.column("doc_id").to_pylist(), binary(column.column("text")), strict=True):
+                text = (text or b"").lower()
+                base = words_of(tokens_of(text, hashes))
+                known = np.isfinite(base)
+                n = int(known.sum())
+                s = sum(float(grams_of(x).sum()) for x in gram_blocks(text))
+                out.append((i, held_out(i), len(base), n, int(total), float(base[known].sum()) + unknown * (len(base) - n), s))
         types = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), types, strict=True)], schema=types) if out else types.empty_table()
 
