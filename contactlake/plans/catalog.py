@@ -1,4 +1,16 @@
-"""All queries of the reference's own operators, with their DuckDB oracles."""
+"""All queries of the warehouse, with their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import relational, scalar  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export of every visible contact."""
+    return QUERIES["union_contacts_export"](spark, sf_dir)
+
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
