@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, scalar  # noqa: F401
+from . import pagequeries, relational, resolution, scalar, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
