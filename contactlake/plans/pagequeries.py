@@ -129,7 +129,7 @@ def people_press(t):
 
 @query("people_press_reversed", f"select event_id, {WHO} as name, 'Group Chairman' as role from events")
 def people_press_reversed(t):
-    line = F.concat(F.lit("as told by Group Chairman Mr. "), F.expr(WHO), F.lit(" today"))
+    line = F.concat(F.lit("as told by Group Chairman Mr. "), F.expr(WHO), F.lit(", in Rome"))
     found = t.events.select("event_id", F.explode(people.pressed_reversed(line)).alias("p"))
     return found.select("event_id", F.regexp_replace("p.name", r"\.$", "").alias("name"), F.col("p.role").alias("role"))
 
