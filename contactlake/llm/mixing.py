@@ -167,14 +167,14 @@ def mix_sources(docs: DataFrame, labels: DataFrame, m: Mixing | None = None, id_
 def mixed(docs: DataFrame, labels: DataFrame, m: Mixing | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, each as often as its copies say; columns as they are."""
     m = m or Mixing()
-    key = lambda: (F.col(id_col).alias("_i"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("\0"))).alias("_t"))
-    keyed = docs.withColumn("_k", F.struct(*key()))
+    key = lambda: (F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("\0"))).alias("t"))
+    keyed = docs.withColumn("__mix_key", F.struct(*key()))
     model = train(docs, labels, m, id_col, text_col)
     rows = memberships(docs.select(F.col(id_col), F.col(text_col)), model, m, id_col, text_col)
     draw = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))), F.lit(1 << 30)) / float(1 << 30)
-    rows = stored(rows.withColumn("draw", draw).withColumn("_k", F.struct(*key())).drop(id_col, text_col), "memberships")
+    rows = stored(rows.withColumn("draw", draw).withColumn("__mix_key", F.struct(*key())).drop(id_col, text_col), "memberships")
     rates = fitted_rates(rows, m)
     copies = (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    by_key = rates.groupBy("_k").agg(F.first(copies).alias("_n"))  # equal keys have equal rates
-    met = keyed.alias("d").join(by_key.alias("r"), F.col("d._k").eqNullSafe(F.col("r._k"))).where("_n > 0")
-    return met.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    by_key = rates.groupBy("__mix_key").agg(F.first(copies).alias("__mix_n"))  # equal keys have equal rates
+    met = keyed.alias("d").join(by_key.alias("r"), F.col("d.__mix_key").eqNullSafe(F.col("r.__mix_key"))).where("__mix_n > 0")
+    return met.withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
