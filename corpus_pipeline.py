@@ -15,8 +15,8 @@ from contactlake.llm.sharding import assign_shards, grown_tree, hash_tree
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of docs whose id has a verdict among `verdicts` (doc_id)."""
-    ids = verdicts.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    ids = verdicts.select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
