@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, p: MinHash | None = None, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sk = stored(sketches(rows, p, "id", "text"), "sketch")
     classes = sk.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    member = stored(sk.select("id", "n", "fp").join(classes, "fp", "left").select("id", "n", "rep"), "member")
+    member = stored(sk.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp")).join(classes, "fp", "left").select("id", "n", "rep"), "member")
     # an id with several different texts joins their classes
     varied = member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("id", "lo")
     same_id = member.join(varied, "id").select(F.col("lo").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
