@@ -17,7 +17,7 @@ from .shingles import WordHashes, binary
 #: Context bytes; with the byte to come they fill 48 bits of a key, the latest context byte on top.
 DEPTH = 5
 END = b"\xff"  # never a byte of UTF-8
-STEP = 2 << 20
+STEP = 1 << 20
 U = np.uint64
 _SMALL = np.array([math.lgamma(max(i, 1) / 2) for i in range(4001)])
 

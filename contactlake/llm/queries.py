@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .licenses import scan_licenses
 from .minhash import MinHash, near_duplicates
 from .mixing import mix_sources
+from .oracles import ORACLES
 from .phrases import remove_repeated_phrases
 from .quality import quality_verdicts
 from .sharding import assign_shards, grown_tree, hash_tree
@@ -81,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
