@@ -74,11 +74,14 @@ def _stripped(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, r: QualityRules) -> DataFrame:
+def measured(docs: DataFrame, id_col: str, text_col: str, r: QualityRules, whole: bool = False) -> DataFrame:
+    """The counts of each row, with its text; whole: also the row itself, as a struct."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("words", blank_words(F.col("text")))
+    row = [F.struct("*").alias("row")] if whole else []
+    rows = docs.select(*row, F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("words", blank_words(F.col("text")))
     t = F.col("text")
     return rows.select(
+        *(["row"] if whole else []),
         "doc_id",
         "text",
         F.size("words").cast("long").alias("n_words"),
@@ -120,17 +123,8 @@ def order_rules(sample: DataFrame, conditions: dict[str, Column], repeats: int =
     return sorted(found, key=found.__getitem__)
 
 
-def quality_verdicts(docs: DataFrame, r: QualityRules | None = None, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for every row.
-
-    kept is false if base_failed (under min_words words, or over max_repeat_percent of the words in repeated runs),
-    else if any rule rejects. Rules run as one CASE, in the order measured on a sample unless `order` names one, so a
-    rejected row costs no later rule. A null text counts as empty and fails the base. Repeated rows are judged alike;
-    other columns of docs are ignored. An empty table gives an empty result.
-    """
-    r = r or QualityRules()
+def _judged(docs: DataFrame, r: QualityRules, id_col: str, text_col: str, order: list[str] | None, whole: bool) -> DataFrame:
     conditions = rules(r)
-    rows = measured(docs, id_col, text_col, r)
     if order is None:
         total = docs.count()
         mod = max(1, total // r.sample_rows)
@@ -142,5 +136,21 @@ def quality_verdicts(docs: DataFrame, r: QualityRules | None = None, id_col: str
     cascade = F.when(F.col("base_failed"), False)
     for name in order:
         cascade = cascade.when(conditions[name], False)
-    out = rows.withColumn("base_failed", base).withColumn("kept", cascade.otherwise(True))
+    return measured(docs, id_col, text_col, r, whole).withColumn("base_failed", base).withColumn("kept", cascade.otherwise(True))
+
+
+def quality_verdicts(docs: DataFrame, r: QualityRules | None = None, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for every row.
+
+    kept is false if base_failed (under min_words words, or over max_repeat_percent of the words in repeated runs),
+    else if any rule rejects. Rules run as one CASE, in the order measured on a sample unless `order` names one, so a
+    rejected row costs no later rule. A null text counts as empty and fails the base. Repeated rows are judged alike;
+    other columns of docs are ignored. An empty table gives an empty result.
+    """
+    out = _judged(docs, r or QualityRules(), id_col, text_col, order, False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def passing(docs: DataFrame, r: QualityRules | None = None, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
+    """The rows of docs that quality_verdicts() keeps, as they are; rows stay where they lie."""
+    return _judged(docs, r or QualityRules(), id_col, text_col, order, True).where("kept").select("row.*")
