@@ -9,7 +9,7 @@ from contactlake.llm.common import stored, table
 from contactlake.llm.decontaminate import contamination
 from contactlake.llm.minhash import MinHash, near_duplicates
 from contactlake.llm.mixing import mixed
-from contactlake.llm.quality import quality_verdicts
+from contactlake.llm.quality import passing
 from contactlake.llm.sharding import assign_shards, grown_tree, hash_tree
 
 
@@ -21,7 +21,7 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return _kept(docs, quality_verdicts(docs).where("kept"))
+    return passing(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
