@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         if jsc.getCheckpointDir().isDefined():
             return jsc.getCheckpointDir().get()
         at = tempfile.mkdtemp(prefix="contactlake-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
         return jsc.getCheckpointDir().get()
     return at
