@@ -27,6 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; an id that repeats stays once."""
     kept = _kept(docs, near_duplicates(docs, MinHash(shingle=5)).where("kept"))
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():  # then nothing more has to move
+        return kept
     return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
 
 
