@@ -16,6 +16,10 @@ from .graph import connected_components
 from .shingles import WordHashes, batches, binary, mix, shingle_set
 
 
+#: Blocks of texts that a member's list of partners spans at most.
+PART = 16
+
+
 @dataclass(frozen=True)
 class MinHash:
     """shingle: words in a shingle. A pair links at num * union <= den * intersection, so num/den is the similarity.
@@ -33,7 +37,7 @@ class MinHash:
     screen: float = 0.63
     seed: int = 1
     block: int = 1024
-    confirm: int = 4096
+    confirm: int = 2048
 
     def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
         r = np.random.default_rng(self.seed)
@@ -60,6 +64,18 @@ def similar(s: np.ndarray, t: np.ndarray, p: MinHash) -> bool:
     return p.den * both >= p.num * (len(s) + len(t) - both) > 0
 
 
+def similar_all(s: np.ndarray, others: list[np.ndarray], p: MinHash) -> np.ndarray:
+    """similar() of one set with each of several, none of them empty."""
+    if not len(s):
+        return np.zeros(len(others), bool)
+    sizes = np.array([len(t) for t in others])
+    joined = np.concatenate(others)
+    at = np.searchsorted(s, joined)
+    at[at == len(s)] = 0
+    both = np.add.reduceat(s[at] == joined, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return p.den * both >= p.num * (len(s) + sizes - both)
+
+
 def sketches(docs: DataFrame, p: MinHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, fp, bands, sig) of every row: set size, digest of the set, band keys, 16 bits of each minimum."""
 
@@ -129,7 +145,7 @@ def _leftover_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, p: Mi
 
     members: (key, id, comp, m) with m the bucket's size. A bucket of more than `block` members is dealt to blocks; a
     task screens two blocks' signatures at a time, so it holds 2 * block of them whatever the bucket's size. Screened
-    pairs go on as one list per member and block of partners, and are confirmed on full sets two blocks of texts at a
+    pairs go on as one list per member and part of its partners, and are confirmed on full sets two blocks of texts at a
     time, skipping what the links found there already join. So neither rows nor memory grow with pairs.
     """
     k = F.ceil(F.col("m") / p.block)
@@ -138,13 +154,13 @@ def _leftover_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, p: Mi
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp").join(sigs.select("id", "n", "sig"), "id")
     ids = stored(members.select("id").distinct(), "ids")
     blocks = max(1, -(-ids.count() // p.confirm))
-    listed = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    listed = pa.schema([("id", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def screen(rows: list[tuple]) -> Iterator[tuple]:
         i, j = rows[0][1], rows[0][2]
         own, ids, comp, n = (np.array([r[x] for r in rows], np.int64) for x in (3, 4, 5, 6))
         sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), -1)
-        block = ids % blocks
+        part = ids % blocks // PART
         for x in range(len(rows)):
             # within a block each pair once, between two blocks only across
             ok = (np.arange(len(rows)) > x) & (comp != comp[x]) & (ids != ids[x]) & (np.minimum(n, n[x]) * p.den >= np.maximum(n, n[x]) * p.num)
@@ -153,8 +169,8 @@ def _leftover_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, p: Mi
             at = np.flatnonzero(ok)
             if len(at):
                 at = at[(sig[at] == sig[x]).mean(axis=1) >= p.screen]
-                for y in np.unique(block[at]):
-                    yield min(block[x], y), max(block[x], y), ids[x], ids[at[block[at] == y]]
+                for y in np.unique(part[at]):
+                    yield (int(ids[x]), int(y)), ids[at[part[at] == y]]
 
     def grouped(it: Iterator[pa.RecordBatch], columns: tuple[str, ...], width: int) -> Iterator[list[tuple]]:
         group: list[tuple] = []
@@ -168,14 +184,24 @@ def _leftover_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, p: Mi
             yield group
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        """What a task's buckets say about a member goes on as one list."""
+        met: dict[tuple[int, int], list[np.ndarray]] = {}
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            keys = list(met)
+            lists = [np.unique(np.concatenate(met[k])) for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=listed)
+
         for group in grouped(it, ("key", "i", "j", "own", "id", "comp", "n", "sig"), 3):
-            out.extend(screen(group))
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), listed, strict=True)], schema=listed)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), listed, strict=True)], schema=listed)
+            for key, partners in screen(group):
+                met.setdefault(key, []).append(partners)
+                size += len(partners)
+            if size > 2_000_000:
+                yield told()
+                met, size = {}, 0
+        if met:
+            yield told()
 
     def confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, now, sets, top = WordHashes(), None, {}, {}
@@ -193,15 +219,22 @@ def _leftover_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, p: Mi
                 if others is None:
                     sets.setdefault(i, []).append(shingle_set(text, p.shingle, hashes))
                     continue
-                for o in others:
-                    if root(i) != root(o) and any(similar(s, t, p) for s in sets.get(i, ()) for t in sets.get(o, ())):
-                        top[root(i)] = root(o)
-                        out.append((i, o))
+                for at in range(0, len(others), 256):
+                    apart = [o for o in others[at : at + 256] if root(o) != root(i)]
+                    texts = [(o, t) for o in apart for t in sets.get(o, ()) if len(t)]
+                    for s in sets.get(i, ()) if texts else ():
+                        for (o, _), ok in zip(texts, similar_all(s, [t for _, t in texts], p), strict=True):
+                            if ok and root(i) != root(o):
+                                top[root(i)] = root(o)
+                                out.append((i, o))
             yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in out], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     ranked = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "id", "comp", "n", "sig")
-    lists = ranked.mapInArrow(run, "x long, y long, id long, ids array<long>").groupBy("x", "y", "id").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    lists = stored(lists, "lists")
+    lists = ranked.mapInArrow(run, "id long, part long, ids array<long>").groupBy("id", "part").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    other = F.explode(F.sequence(F.col("part") * PART, F.least(F.col("part") * PART + PART - 1, F.lit(blocks - 1)).cast("long")))
+    lists = lists.withColumn("other", other).select("id", "other", F.filter("ids", lambda v: F.pmod(v, F.lit(blocks)) == F.col("other")).alias("ids")).where(F.size("ids") > 0)
+    block = F.pmod("id", F.lit(blocks))
+    lists = stored(lists.select(F.least(block, "other").alias("x"), F.greatest(block, "other").alias("y"), "id", "ids"), "lists")
     tasks = lists.select("x", "y").distinct()
     sides = tasks.select("x", "y", F.col("x").alias("block")).unionByName(tasks.where("x <> y").select("x", "y", F.col("y").alias("block")))
     held = texts.join(ids, "id", "left_semi").withColumn("block", F.pmod("id", F.lit(blocks))).join(sides, "block").select("x", "y", "id", F.lit(None).cast("array<long>").alias("ids"), "text")
