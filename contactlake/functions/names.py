@@ -37,7 +37,7 @@ def is_company(name: Column, company: Column, marks: str = "-") -> Column:
 
 
 def adjacent_dup(t: Column) -> Column:
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.get(t, i) == F.get(t, i - 1))
+    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.coalesce(F.get(t, i) == F.get(t, i - 1), F.lit(False)))
 
 
 def is_noise(name: Column, title: Column, email: Column, company: Column, stop: list[str] | None = None) -> Column:

@@ -270,10 +270,14 @@ def url_path_class_press(t):
     return hrefs(t).select("event_id", url.press_page(F.col("href")).alias("press"))
 
 
-@query("keyword_boundary_match", f"select event_id, kw {FROM_HREFS}, (values ('team'), ('company'), ('about'), ('our-team')) k(kw) where regexp_matches(href, concat('(?i)(?:^|[^\\p{{L}}\\p{{N}}_])', kw, '(?:$|[^\\p{{L}}\\p{{N}}_])'))")
+KEYWORDS = ("team", "company", "about", "our-team")
+
+
+@query("keyword_boundary_match", " union all ".join(f"select event_id, '{k}' as kw {FROM_HREFS} where regexp_matches(href, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_]){k}(?:$|[^\\p{{L}}\\p{{N}}_])')" for k in KEYWORDS))
 def keyword_boundary_match(t):
-    kw = F.explode(F.array(*map(F.lit, ("team", "company", "about", "our-team"))))
-    return hrefs(t).select("event_id", "href", kw.alias("kw")).where(F.regexp_like("href", F.concat(F.lit("(?i)" + url.EDGE), F.col("kw"), F.lit(url.EDGE_AFTER)))).select("event_id", "kw")
+    # each pattern is a constant, compiled once
+    hits = F.array(*[F.when(url.has_word(F.col("href"), [k]), F.lit(k)) for k in KEYWORDS])
+    return hrefs(t).select("event_id", F.explode(F.array_compact(hits)).alias("kw"))
 
 
 @query("url_decode_ddg", "select page_id, url as target from pages")
