@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, discard, let, lower_ascii, stored
+from .common import blank_words, discard, let, stored
 
 #: The domains that labels tell apart, and their share of the mixed tokens.
 TARGETS = {"clean": 0.90, "poor": 0.07, "toxic": 0.03}
@@ -54,7 +54,7 @@ def train(docs: DataFrame, labels: DataFrame, m: Mixing, id_col: str = "doc_id",
     mod = max(1, known.count() // m.sample_rows)
     picked = lambda c: F.pmod(F.xxhash64(F.lit("mixing"), c.cast("long")), F.lit(mod)) == 0
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(picked(F.col("id")))
-    joined = texts.join(known.where(picked(F.col("id"))), "id").select("domain", F.array_distinct(F.transform(blank_words(lower_ascii(F.col("text"))), lambda w: _bucket(w, m.buckets))).alias("b"))
+    joined = texts.join(known.where(picked(F.col("id"))), "id").select("domain", F.array_distinct(F.transform(blank_words(F.lower(F.col("text"))), lambda w: _bucket(w, m.buckets))).alias("b"))
     joined = stored(joined, "labelled")
     sizes = {r[0]: r[1] for r in joined.groupBy("domain").count().collect()}
     counts = {d: np.zeros(m.buckets) for d in m.targets}
@@ -79,7 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, m: Mixing, id_col: str = "doc_id",
 
 def memberships(docs: DataFrame, model: dict, m: Mixing, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_tokens and p_<domain>: posteriors that add up to one; evidence is what the distinct words say on average, times the root of their number."""
-    words = blank_words(lower_ascii(F.col(text_col).cast("string")))
+    words = blank_words(F.lower(F.col(text_col).cast("string")))
     names = list(m.targets)
 
     def adder(evidence: Column):
