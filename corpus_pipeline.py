@@ -13,10 +13,18 @@ from contactlake.llm.quality import passing
 from contactlake.llm.sharding import assign_shards, grown_tree, hash_tree
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose id has a verdict among `verdicts` (doc_id)."""
-    ids = verdicts.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__kept_id")), "left_semi")
+#: Tells rows apart within a stage; ids can be null or repeat.
+ROW = "__row_id"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with an id of their own for each row, written once, so every later read sees the same one."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _kept(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The numbered rows among ids (ROW), without their numbers."""
+    return rows.join(ids.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +33,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; an id that repeats stays once."""
-    kept = _kept(docs, near_duplicates(docs, MinHash(shingle=5)).where("kept"))
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():  # then nothing more has to move
-        return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One row of each group of near-duplicates, the one with the smallest id (null ids last); every row counts by its own text, whatever its id."""
+    rows = _numbered(docs)
+    near = near_duplicates(rows, MinHash(shingle=5), id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    named = near.join(rows.select(ROW, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW).alias("rank")), ROW)
+    return _kept(rows, named.groupBy("component_id").agg(F.min("rank").alias("first")).select(F.col(f"first.{ROW}").alias(ROW)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark's passages."""
-    return _kept(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    """Rows without a benchmark's passages."""
+    rows = _numbered(docs)
+    found = contamination(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return _kept(rows, found.where("not contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,17 @@ def test_stages(spark, stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[4][1].count()
+
+
+def test_rows_have_their_own_decisions(spark, tmp_path):
+    """Null ids, and one id with different texts: copies go, everything else stays."""
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    a, b, c, d = map(text, "abcd")
+    docs = spark.createDataFrame([(5, a), (5, b), (9, b), (None, c), (None, c), (None, d), (7, d), (5, a), (None, None)], "doc_id long, text string")
+    got = corpus_pipeline.dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(5, a), (5, b), (None, c), (7, d), (None, None)], key=str)
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, a), (None, b), (None, None), (5, a), (5, b)], "doc_id long, text string")
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, b), (None, None), (5, b)], key=str)
