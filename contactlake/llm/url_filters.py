@@ -57,34 +57,58 @@ def url_node(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with `/`, its `.` and `..` segments followed."""
+    none = F.array().cast("array<string>")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    step = lambda a, x: F.when(x == ".", a).when(x == "..", up(a)).otherwise(F.concat(a, F.array(x)))
+    at = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), none, step)
+    # a last dot segment names a directory
+    done = F.concat(F.lit("/"), F.array_join(at, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(at) > 0), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), done).otherwise(path)
+
+
 def _resolved(base: Column, target: Column) -> Column:
-    """target as an absolute url: itself, or seen from base's host if it starts with `/` or `//`; else null."""
+    """target as an absolute url, seen from base; null if it has another scheme without `//`, such as `mailto:`."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    own = url_path(base)
+    own = F.when(own == "", "/").otherwise(own)
+    path, query = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    site = F.concat(scheme, F.lit("://"), url_host(base))
     return (
         F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), url_host(base), target))
+        .when(target.startswith("#"), base)
+        .when(path == "", F.concat(site, own, query))
+        .when(path.startswith("/"), F.concat(site, _without_dots(path), query))
+        .otherwise(F.concat(site, _without_dots(F.concat(F.regexp_extract(own, r"(?s)^(.*/)", 1), path)), query))
     )
 
 
 TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(u, v) between the nodes of pages and of their redirect and canonical-link targets.
 
     Targets come from `<link rel=canonical href=…>` and `<meta http-equiv=refresh content="…url=…">` anywhere in the
-    html; attribute values may be quoted either way or bare.
+    html; attribute values may be quoted either way or bare. Relative ones are seen from the page's url, or from its
+    first `<base href=…>`.
     """
     value = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
     html = F.col("html")
     marked = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(F.col("url").isNotNull() & html.rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?\s*refresh"))
-    tags = marked.select("url", F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag"))
+    told = F.regexp_replace(F.regexp_extract(html, BASE, 1), "&amp;", "&")
+    base = F.coalesce(F.when(told != "", _resolved(F.col("url"), told)), F.col("url"))
+    tags = marked.select("url", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag"))
     tag = F.col("tag")
     canonical = F.when(tag.rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), F.regexp_extract(tag, r"(?i)\bhref" + value, 1))
     refresh = F.when(tag.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"), F.regexp_extract(tag, r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
     target = F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&")
-    return tags.select("url", target.alias("target")).where("target <> ''").select(url_node(F.col("url")).alias("u"), url_node(_resolved(F.col("url"), F.col("target"))).alias("v")).where("u <> v").distinct()
+    seen = tags.select("url", "base", target.alias("target")).where("target <> ''")
+    return seen.select(url_node(F.col("url")).alias("u"), url_node(_resolved(F.col("base"), F.col("target"))).alias("v")).where("u <> v").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:

@@ -321,6 +321,20 @@ def test_urls(spark):
     assert by_id(judge_urls(pages, redirects=log))[11][2:] == (None, "block")
 
 
+def test_urls_relative(spark):
+    """Aliases by relative canonical links and refreshes: each page shares the rule of one on shop.net or example.net/en/."""
+    canonical, refresh = "<link rel=canonical href='{}'>".format, '<meta http-equiv=refresh content="0; url={}">'.format
+    block, allow = canonical("https://shop.net/"), canonical("https://example.net/en/")
+    cases = [("/d/e/x?q", canonical("page2.html"), "/d/e/page2.html"), ("/d/e/x", refresh("../y/./z?k=1#f"), "/d/y/z?k=1"), ("/d/e/x", refresh("?id=3"), "/d/e/x?id=3"), ("", canonical("p"), "/p"), ("", canonical("?p"), "/?p"), ("/d/e/x", canonical("../../../.."), "/"), ("/d/e/x", canonical(".."), "/d/"), ("/d/x", canonical("/a/../b"), "/b"), ("/d/x", "<base href='/o/q/'>" + canonical("r"), "/o/q/r")]
+    rows = []
+    for i, (at, html, to) in enumerate(cases):
+        rows += [(2 * i, f"https://h{i}.example.org{at}", html), (2 * i + 1, f"https://h{i}.example.org{to}", block)]
+    rows += [(100, "https://k.example.com/de/a", canonical("../b")), (101, "https://k.example.com/b", ""), (102, "https://m.example.org/d/a", canonical("mailto:x")), (103, "https://m.example.org/d/mailto:x", block), (104, "https://n.example.org/d/a", canonical("#top")), (105, "https://o.example.org/d/a", refresh("b")), (106, "https://o.example.org/d/b", allow), (107, "https://o.example.org/d/b", canonical("https://other.net/"))]
+    got = {i: x[2:] for i, x in by_id(judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"))).items()}
+    assert {i: v for i, (_, v) in got.items() if i < 100} == {i: "block" for i in range(2 * len(cases))}
+    assert [got[i][1] for i in range(100, 108)] == ["block", "block", "allow", "block", "allow", "allow", "allow", "allow"]
+
+
 # mixing and licences
 
 
