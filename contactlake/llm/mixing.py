@@ -1,8 +1,10 @@
-"""Mixing sources to target weights: soft domain membership and rates by projected gradient. DataFrame functions only."""
+"""Mixing sources to target weights: soft domain membership and least-squares rates within bounds. DataFrame functions only."""
 
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +23,8 @@ class Mixing:
 
     sample_rows: about so many labelled rows (by a hash of the id) train the classifier, the documented bound; buckets:
     hashed words. A word counts if it was seen min_count times in the sample and speaks for a domain by `least` nats
-    or more; `most` bounds what it can say. No document enters more than max_rate times on average. Rates are found when every domain is within `near` of its target.
+    or more; `most` bounds what it can say. No document enters more than max_rate times on average. Rates are found when no domain is
+    further than `near` from the least-squares optimum; `steps` bounds the search for it, which fails if it takes more.
     """
 
     targets: dict[str, float] = field(default_factory=lambda: dict(TARGETS))
@@ -100,47 +103,81 @@ def memberships(docs: DataFrame, model: dict, m: Mixing, id_col: str = "doc_id",
     return rows.withColumns({f"p_{d}": odds[d] / whole for d in names}).drop("_j", "_s")
 
 
+#: What a rate's distance from one weighs against a missed target: enough for one answer, far too little to move a share by `near`.
+EASE = 1e-5
+
+
+def multipliers(sums: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], share: np.ndarray, m: Mixing) -> tuple[np.ndarray, np.ndarray]:
+    """(x, shares reached) at the optimum, where a row's rate is 1 - p x cut to 0 and max_rate.
+
+    sums(x), by tokens: the mean of r (1 - p x) - r^2 / 2, the domains' shares, and the mean of p p' over rows whose rate
+    isn't cut. Newton steps on the dual, which is convex and has a bend only where a row meets a bound; a step that
+    doesn't bring it down far enough is halved.
+    """
+    w = 1 / np.maximum(share, 0.01)
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        h, now, free = sums(x)
+        return EASE / 2 * (x * x / w).sum() + share @ x + h, EASE * x / w + share - now, np.diag(EASE / w) + free, now
+
+    x = np.zeros(len(share))
+    value, slope, bend, now = at(x)
+    for _ in range(m.steps):
+        if np.abs(slope).max() <= 0.1 * m.near:
+            return x, now
+        move = -np.linalg.solve(bend, slope)
+        part = 1.0
+        while (there := at(x + part * move))[0] > value + 1e-4 * part * (slope @ move) + 1e-15:
+            part /= 2
+            if part < 1e-9:
+                raise RuntimeError(f"mixing rates: no way down, {np.abs(slope).max():.1e} from the optimum")
+        x = x + part * move
+        value, slope, bend, now = there
+    if np.abs(slope).max() <= 0.1 * m.near:
+        return x, now
+    raise RuntimeError(f"mixing rates: still {np.abs(slope).max():.1e} from the optimum after {m.steps} steps")
+
+
 def fitted_rates(rows: DataFrame, m: Mixing) -> DataFrame:
     """rows (with n_tokens, p_<domain>) with rate: from 0 to max_rate, with expected domain tokens at their targets.
 
-    Minimises the sum over domains of w (expected - target)^2, w the inverse of its target weight (0.01 at least), from r = 1 by
-    projected gradient steps in the metric of documents' tokens; the step is the inverse of the curvature, from a
-    matrix of one number per pair of domains. Each step is one pass of sums; only a number per domain reaches the
-    driver. Steps end at the targets, or where the totals no longer move (targets that no rates can meet). Rates are
-    rounded to hundredths.
+    Minimises the sum over domains of w (expected - target)^2, w the inverse of its target weight (0.01 at least); of
+    rates that do so alike, those nearest to 1. The search is over one number per domain; each trial is one pass of
+    sums, of which only a few numbers reach the driver. It ends at the optimum or fails. Targets that no rates can meet
+    are met as nearly as least squares can, with a warning that gives the shares. Rates are rounded to hundredths.
     """
     names = list(m.targets)
     p = [F.col(f"p_{d}") for d in names]
-    a = [F.col("n_tokens") * x for x in p]
     k = len(names)
-    first = rows.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in a], *[F.coalesce(F.sum(a[i] * p[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
-    now, curve = np.array(first[:k]), np.array(first[k:]).reshape(k, k)
+    first = rows.agg(*[F.coalesce(F.sum(F.col("n_tokens") * x), F.lit(0.0)) for x in p]).first()
+    now = np.array(list(first))
     share = np.array([m.targets[d] for d in names]) / sum(m.targets.values())
     whole = now.sum()
     if m.keep in names and share[names.index(m.keep)] > 0:
         whole = max(whole, now[names.index(m.keep)] / share[names.index(m.keep)])
-    target = whole * share
-    rows = rows.withColumn("rate", F.lit(1.0))
     if not whole:
-        return rows
-    curve /= whole
-    w = 1 / np.maximum(share, 0.01)
-    step = 1 / np.linalg.eigvalsh(np.sqrt(w)[:, None] * curve * np.sqrt(w)).max()
-    last = None
-    for n in range(1, m.steps + 1):
-        if np.abs(now - target).max() <= m.near * whole:
-            break
-        g = step * w * (now - target) / whole
-        rows = rows.withColumn("rate", F.least(F.lit(m.max_rate), F.greatest(F.lit(0.0), F.col("rate") - sum((x * F.lit(float(y)) for x, y in zip(p, g, strict=True)), F.lit(0.0)))))
-        if n % 5 == 0:  # a short expression to go on from
-            rows, old = stored(rows, "rates"), last
-            last = rows
-            if old is not None:
-                discard(old)
-        before, now = now, np.array(rows.agg(*[F.coalesce(F.sum(x * F.col("rate")), F.lit(0.0)) for x in a]).first())
-        if np.abs(now - before).max() <= 0.1 * m.near * whole:
-            break
-    return rows.withColumn("rate", F.round("rate", 2))
+        return rows.withColumn("rate", F.lit(1.0))
+
+    def rates(x: np.ndarray) -> tuple[Column, Column]:
+        raw = F.lit(1.0) - sum((c * F.lit(float(y)) for c, y in zip(p, x, strict=True)), F.lit(0.0))
+        return raw, F.least(F.lit(float(m.max_rate)), F.greatest(F.lit(0.0), raw))
+
+    def sums(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        raw, cut = rates(x)
+        t = rows.withColumn("_raw", raw).withColumn("rate", cut).withColumn("_a", F.col("n_tokens") / F.lit(float(whole)))
+        free = F.when(F.col("_raw") == F.col("rate"), F.col("_a")).otherwise(0.0)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        value = F.col("_a") * F.col("rate") * (F.col("_raw") - F.col("rate") / 2)
+        got = t.agg(F.sum(value), *[F.sum(F.col("_a") * c * F.col("rate")) for c in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
+        bend = np.zeros((k, k))
+        for (i, j), y in zip(pairs, got[k + 1 :], strict=True):
+            bend[i, j] = bend[j, i] = y
+        return got[0], np.array(got[1 : k + 1]), bend
+
+    x, reached = multipliers(sums, share, m)
+    if np.abs(reached - share).max() > m.near:
+        warnings.warn(f"mixing: no rates from 0 to {m.max_rate} meet the targets; shares are " + ", ".join(f"{d} {y:.4f} for {z:.4f}" for d, y, z in zip(names, reached, share, strict=True)), stacklevel=2)
+    return rows.withColumn("rate", F.round(rates(x)[1], 2))
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, m: Mixing | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

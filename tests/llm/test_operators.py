@@ -16,7 +16,7 @@ from contactlake.llm.decontaminate import contamination
 from contactlake.llm.graph import connected_components
 from contactlake.llm.licenses import scan_licenses
 from contactlake.llm.minhash import MinHash, near_duplicates
-from contactlake.llm.mixing import Mixing, mix_sources, mixed
+from contactlake.llm.mixing import Mixing, fitted_rates, mix_sources, mixed
 from contactlake.llm.phrases import remove_repeated_phrases
 from contactlake.llm.quality import QualityRules, quality_verdicts
 from contactlake.llm.sharding import Node, assign_shards, grown_tree, hash_tree
@@ -361,6 +361,35 @@ def test_mixing_meets_targets(spark):
     assert sorted(again) == sorted(i for i, k in n.items() for _ in range(k))
 
 
+@pytest.mark.parametrize("tokens", [(0.45, 0.50, 0.05), (0.60, 0.10, 0.30), (0.05, 0.05, 0.90), (0.95, 0.045, 0.005), (0.97, 0.03, 0.0)])
+def test_mixing_skewed_shares_reach_the_optimum(spark, tokens):
+    g, rows = np.random.default_rng(2), []
+    for d, t in enumerate(tokens):
+        for _ in range(int(t * 400)):
+            q = g.dirichlet([0.02, 0.02, 0.02]) * 0.002
+            q[d] += 1 - q.sum()
+            rows.append((100, *map(float, q)))
+    a = np.array(rows)
+    m = Mixing()
+    p, share = a[:, 1:], np.array(list(m.targets.values()))
+    whole = max(len(a), p[:, 0].sum() / share[0])
+    got = np.array([x.rate for x in fitted_rates(spark.createDataFrame(rows, "n_tokens long, p_clean double, p_poor double, p_toxic double"), m).collect()])
+    # the same problem by many plain steps
+    w, rate = 1 / share, np.ones(len(a))
+    step = 1 / np.linalg.eigvalsh(np.sqrt(w)[:, None] * (p.T @ p / whole) * np.sqrt(w)).max()
+    for _ in range(50_000):
+        rate = np.clip(rate - step * p @ (w * (p.T @ rate / whole - share)), 0, m.max_rate)
+    assert np.abs(p.T @ got / whole - p.T @ rate / whole).max() < 0.005  # rates are in hundredths
+
+
+def test_mixing_fails_if_not_at_the_optimum(spark):
+    rows = spark.createDataFrame([(10, 0.9, 0.1), (10, 0.2, 0.8)], "n_tokens long, p_clean double, p_poor double")
+    with pytest.raises(RuntimeError, match="optimum"):
+        fitted_rates(rows, Mixing(targets={"clean": 0.7, "poor": 0.3}, keep=None, steps=0))
+    with pytest.warns(UserWarning, match="no rates"):
+        fitted_rates(rows.where("p_clean > 0.5"), Mixing(targets={"clean": 0.2, "poor": 0.8}, keep=None))
+
+
 def test_mixing_odd(spark, odd, none):
     lab = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (9, 0, 0), (99, 1, 1), (None, 1, 0), (10, None, None)], "doc_id long, quality int, toxic int")
     out = mix_sources(odd, lab).collect()
