@@ -1,8 +1,11 @@
-"""License scans: TF-IDF cosine of lines and licence files to templates, then inheritance down directories. DataFrames only."""
+"""License scans: TF-IDF cosine of lines, header blocks, word windows and whole files to templates, then inheritance down directories. DataFrames only."""
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,68 +35,113 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), "[^a-z0-9]+"), "")
 
 
-def _template_rows(spark, templates) -> DataFrame:
-    import re
+@dataclass(frozen=True)
+class Template:
+    """words: each with its share of the template's vector, whose length is one. size: its words, repeats counted."""
 
-    rows = [(i, spdx, w, n) for i, (spdx, text) in enumerate(templates) for w, n in Counter(re.findall("[a-z0-9]+", text.lower())).items()]
-    return spark.createDataFrame(rows, "template int, license string, word string, tf int")
+    license: str
+    words: dict[str, float]
+    size: int
 
+    def leads(self, threshold: float) -> list[str]:
+        """The heaviest words, so many that the others can't reach threshold: a match holds one of them."""
+        out, rest = [], sum(x * x for x in self.words.values())
+        for w, x in sorted(self.words.items(), key=lambda e: (-e[1], e[0])):
+            if rest < threshold**2 - SLACK:
+                break
+            out.append(w)
+            rest -= x * x
+        return out
 
-#: Words of which every template has one.
-CUES = tuple("license licensed permission redistribution mit cc cc0 public".split())
 
+#: For rounding, when bounds are compared.
+SLACK = 1e-5
 
-def _noted(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """rows with n_words, the words of templates they hold, and their text only if a cue is among them: a line without one
-    shares too little weight with every template."""
 
-    def of(w: Column) -> Column:
-        held = F.array_intersect(w, F.array(*map(F.lit, vocabulary)))
-        return F.struct(F.size(w).alias("n"), held.alias("held"))
+def _words(templates) -> list[tuple[str, Counter]]:
+    return [(lic, c) for lic, text in templates if (c := Counter(re.findall("[a-z0-9]+", text.lower())))]
 
-    noted = rows.withColumn("_x", let(tokens(F.coalesce("text", F.lit(""))), of))
-    cue = F.arrays_overlap("_x.held", F.array(*map(F.lit, CUES)))
-    return noted.select("rid", "doc_id", "path", F.col("_x.n").alias("n_words"), F.col("_x.held").alias("held"), F.when(cue, F.col("text")).alias("text"))
 
+def _weights(rows: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
+    """idf of the templates' words, and of a word that no row has: ln((1 + N) / (1 + rows with the word)) + 1."""
+    held = F.array_intersect(tokens(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary)))
+    n = rows.count()
+    df = {r[0]: r[1] for r in rows.select(F.explode(held).alias("word")).groupBy("word").count().collect()}  # as many as the templates have words
+    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}, math.log(1 + n) + 1
 
-def line_matches(noted: DataFrame, posting: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(rid, license, cosine, n_line) of each row's best line, for rows of _noted() with one at or over threshold.
 
-    idf is ln((1 + N) / (1 + rows with the word)) + 1 over all rows, for words of templates; any other word of a line
-    counts as one no row has, so it weighs against a match at full. Ties go to the licence's name, then the template.
+def _sum_of(words: Column, values: dict[str, float], other: float = 0.0) -> Column:
+    """The sum of the words' values."""
+    known = F.create_map(*[F.lit(x) for e in values.items() for x in e])
+    return F.aggregate(words, F.lit(0.0), lambda a, x: a + F.coalesce(F.element_at(known, x), F.lit(other)))
+
+
+def _reaches(held: Column, t: Template, threshold: float) -> Column:
+    """Whether words that hold no more of the template than `held` can reach threshold: by Cauchy and Schwarz the cosine is at most the root of the sum."""
+    return _sum_of(held, {w: x * x for w, x in t.words.items()}) >= threshold**2 - SLACK
+
+
+def _norm(words: Column, idf: dict[str, float], unseen: float) -> Column:
+    """Length of the words' TF-IDF vector; each repeat of a word in sorted order adds what its count grows the square by."""
+    squares = F.create_map(*[F.lit(x) for w, i in idf.items() for x in (w, i * i)])
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["word"] == x, a["run"] + 1).otherwise(0.0)
+        return F.struct(x.alias("word"), run.alias("run"), (a["sum"] + (2 * run + 1) * F.coalesce(F.element_at(squares, x), F.lit(unseen * unseen))).alias("sum"))
+
+    zero = F.struct(F.lit("").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    return F.sqrt(F.aggregate(F.array_sort(words), zero, step, lambda a: a["sum"]))
+
+
+def _windows(words: Column, held: Column, t: Template, threshold: float) -> Column:
+    """The windows of words, as long as the template, that hold one of its leading words."""
+    last = F.size(words) - t.size
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(t.leads(threshold)))
+    starts = F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(F.lit(0), F.least(i - (t.size - 1), last)), F.least(i, last)))))
+    cut = F.transform(starts, lambda i: F.slice(words, i + 1, t.size))
+    return F.when((last >= 0) & _reaches(held, t, threshold), cut).otherwise(F.array().cast("array<array<string>>"))
+
+
+def best_matches(noted: DataFrame, made: list[Template], idf: dict[str, float], unseen: float, threshold: float) -> DataFrame:
+    """(rid, license, cosine, n_line) of the best match of each row of noted (rid, text) with one at or over threshold.
+
+    A line, a block of lines up to a blank one, the whole text and every window of a template's length are compared.
+    A word of no template counts as one no row has, so it weighs against a match at full. Ties go to the licence's
+    name, then the template. n_line: the words of the longest match with that licence.
     """
-    spark = noted.sparkSession
-    n = F.lit(float(noted.count()))
-    df = noted.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = posting.select("word").distinct().join(df, "word", "left").select("word", (F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
-    weights = {r.word: float(r.idf) for r in idf.collect()}  # as many as the templates have words
-    unseen = F.log(n + 1) + 1
-
-    # a template's weights, normed; a line's dot product with it needs only the words they share
-    norms: dict[int, float] = {}
-    rows = [tuple(r) for r in posting.collect()]
-    for i, _, w, tf in rows:
-        norms[i] = norms.get(i, 0.0) + (tf * weights[w]) ** 2
-    table = spark.createDataFrame([(i, lic, w, tf * weights[w] ** 2 / norms[i] ** 0.5) for i, lic, w, tf in rows], "template int, license string, word string, weight double")
-    idfs = spark.createDataFrame(list(weights.items()), "word string, idf double")
-
-    lines = noted.where("text is not null").select("rid", F.posexplode(F.split("text", "\n")).alias("line", "t")).withColumn("w", tokens(F.col("t")))
-    lines = lines.where(F.arrays_overlap("w", F.array(*map(F.lit, CUES))))
-    counted = lines.select("rid", "line", F.size("w").alias("n_line"), F.explode("w").alias("word")).groupBy("rid", "line", "n_line", "word").agg(F.count("*").alias("tf"))
-    weighed = counted.join(F.broadcast(idfs), "word", "left").withColumn("i", F.coalesce("idf", unseen)).select("rid", "line", "n_line", "word", "tf", F.col("idf").isNotNull().alias("known"), "i")
-    norm = weighed.groupBy("rid", "line", "n_line").agg(F.sqrt(F.sum((F.col("tf") * F.col("i")) ** 2)).alias("norm"))
-    dots = weighed.where("known").join(F.broadcast(table), "word").groupBy("rid", "line", "template", "license").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
-    cosine = dots.join(norm, ["rid", "line"]).select("rid", "line", "n_line", "license", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = cosine.groupBy("rid").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license", "template", "line", "n_line")).alias("b"))
-    return best.select("rid", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), F.col("b.n_line").alias("n_line"))
+    vocabulary = F.array(*map(F.lit, idf))
+    apart = lambda mark: F.transform(F.split("text", mark), tokens)
+
+    def near(w: Column) -> Column:
+        held = F.array_intersect(w, vocabulary)
+        return F.concat(F.array(w), *[_windows(w, held, t, threshold) for t in made])
+
+    parts = F.array_distinct(F.concat(apart("\n"), apart(r"\n[\x20\t\r]*\n"), let(tokens(F.col("text")), near)))
+    parts = noted.select("rid", F.explode(parts).alias("w"))
+
+    def judged(w: Column) -> Column:
+        def of(norm: Column) -> Column:
+            # a word's share of the dot product comes once with each of its places
+            cosines = [F.struct((-F.round(_sum_of(w, {x: y * idf[x] for x, y in t.words.items()}) / norm, 6)).alias("c"), F.lit(t.license).alias("license"), F.lit(i).alias("template")) for i, t in enumerate(made)]
+            return F.filter(F.array(*cosines), lambda x: x["c"] <= -threshold)
+
+        held = F.array_intersect(w, vocabulary)
+        able = let(held, lambda h: F.array(*[_reaches(h, t, threshold) for t in made]))
+        return F.when(F.array_contains(able, True), let(_norm(w, idf, unseen), of))
+
+    found = parts.select("rid", F.size("w").alias("n"), F.explode(let(F.col("w"), judged)).alias("m"))
+    of_licence = found.groupBy("rid", "m.license").agg(F.min("m").alias("m"), F.max("n").alias("n"))
+    best = of_licence.groupBy("rid").agg(F.min(F.struct("m", "n")).alias("b"))
+    return best.select("rid", F.col("b.m.license").alias("license"), (-F.col("b.m.c")).alias("cosine"), F.col("b.n").alias("n_line"))
 
 
 def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", file_percent: int = 20) -> DataFrame:
     """(doc_id, path, license, cosine, origin, from_dir) for every row of files.
 
-    Every line of the whole text is compared with every template; the best at or over threshold is the row's own
-    licence (origin `header`; `file` if the line holds file_percent of the text's words or more, which makes the row
-    its directory's licence file). A row without one takes the licence of the nearest directory above it that has a
+    Every line, every block of lines, every window of a template's length and the whole text are compared with every
+    template; the best at or over threshold is the row's own licence (origin `header`; `file` if a match with it holds
+    file_percent of the text's words or more, which makes the row its directory's licence file). Only texts whose
+    words can't reach threshold with any template are passed over, by an exact bound. A row without one takes the licence of the nearest directory above it that has a
     licence file (origin `inherited`, from_dir names it); of several files in a directory the closest counts, then
     the first by path. Else license is null and origin `none`.
 
@@ -101,11 +149,23 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = 0.8,
     repeated rows included. Other columns are ignored. An empty table gives an empty result.
     """
     rows = files.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
-    posting = _template_rows(files.sparkSession, templates)
-    vocabulary = sorted({r.word for r in posting.select("word").collect()})
-    # texts are read once; what goes on is small
-    noted = stored(_noted(rows, vocabulary), "notices")
-    own = noted.select("rid", "doc_id", "path", "n_words").join(line_matches(noted, posting, threshold), "rid", "left")
+    counted = _words(templates) or [("", Counter([""]))]  # no text has such a word
+    vocabulary = sorted({w for _, c in counted for w in c})
+    # texts are read once for the words' weights and once for the notices; what goes on is small
+    idf, unseen = _weights(rows, vocabulary)
+    made = []
+    for lic, c in counted:
+        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+        made.append(Template(lic, {w: n * idf[w] / norm for w, n in c.items()}, sum(c.values())))
+
+    def noted_of(w: Column) -> Column:
+        able = let(F.array_intersect(w, F.array(*map(F.lit, vocabulary))), lambda h: F.array_contains(F.array(*[_reaches(h, t, threshold) for t in made]), True))
+        return F.struct(F.size(w).alias("n"), able.alias("able"))
+
+    noted = rows.withColumn("_x", let(tokens(F.coalesce("text", F.lit(""))), noted_of))
+    noted = stored(noted.select("rid", "doc_id", "path", F.col("_x.n").alias("n_words"), F.when(F.col("_x.able"), F.col("text")).alias("text")), "notices")
+    matches = best_matches(noted.where("text is not null").select("rid", "text"), made, idf, unseen, threshold)
+    own = noted.select("rid", "doc_id", "path", "n_words").join(matches, "rid", "left")
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))
     own = own.withColumn("dir", folder).withColumn("is_file", F.col("license").isNotNull() & (100 * F.col("n_line") >= file_percent * F.col("n_words")))
     of_dir = own.where("is_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "license")).alias("b")).select(F.col("dir").alias("at"), F.col("b.license").alias("lic"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -414,6 +417,64 @@ def test_licenses(spark):
     assert got == [(1, "MIT", "file", None), (2, "GPL-3.0", "inherited", "a/b"), (2, "GPL-3.0", "inherited", "a/b"), (3, "Apache-2.0", "header", None), (4, None, "none", None), (5, None, "none", None), (6, None, "none", None), (7, "GPL-3.0", "file", None)]
 
 
+def license_brute(texts, templates, threshold=0.8):
+    """Best (license, cosine) of each text over all lines, blocks, windows and the whole, without any bound."""
+    words = lambda t: re.findall("[a-z0-9]+", t.translate(brute.UPPER))
+    known = {w for _, t in templates for w in words(t)}
+    df = Counter(w for t in texts for w in set(words(t or "")))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + (df[w] if w in known else 0))) + 1
+    vector = lambda w: {x: n * idf(x) for x, n in Counter(w).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = []
+    for text in texts:
+        t = text or ""
+        w = words(t)
+        found = []
+        for i, (lic, template) in enumerate(templates):
+            tv, n = vector(words(template)), len(words(template))
+            for part in [w, *map(words, t.split("\n")), *map(words, re.split(r"\n[ \t\r]*\n", t)), *(w[j : j + n] for j in range(len(w) - n + 1))]:
+                if part:
+                    v = vector(part)
+                    c = round(sum(x * tv.get(k, 0) for k, x in v.items()) / size(v) / size(tv), 6)
+                    found += [(-c, lic, i)] if c >= threshold else []
+        out.append((min(found)[1], -min(found)[0]) if found else (None, None))
+    return out
+
+
+ZLIB = "This software is provided as-is, without any express or implied warranty."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+
+
+def test_licenses_without_cues_and_across_lines(spark):
+    from contactlake.llm.licenses import TEMPLATES
+
+    filler = " ".join(f"f{i}" for i in range(50))
+    whole = ". ".join(" ".join(f"clause{j} w{i}" for i in range(j, j + 12)) for j in range(20))
+    templates = (*TEMPLATES, ("Zlib", ZLIB), ("Full", whole))
+    g = random.Random(4)
+    pool = " ".join(t for _, t in templates[:-1]).split() + ["zz", "yy"]
+    texts = [
+        BSD.replace("Redistribution and use", "Use"),
+        BSD.replace("or without ", "or without\n * ").replace("that the", "that\n * the"),
+        f"{filler} {BSD} {filler}",
+        f"{filler}\n\n# This software is provided as-is,\n# without any express or implied\n# warranty.\n\n{filler}",
+        whole.replace(". ", ".\n").replace("clause7 w7 ", "Copyright holder "),
+        "nothing here",
+        None,
+        "",
+        *(" ".join(g.choice(pool) + g.choice(["", "", "", "\n", "\n\n"]) for _ in range(40)) for _ in range(8)),
+        *(" ".join(w for w in g.choice(templates)[1].split() if g.random() < 0.85) + "\n" + filler for _ in range(14)),
+    ]
+    f = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {x.doc_id: x for x in scan_licenses(f, templates).collect()}
+    want = license_brute(texts, templates)
+    for i, (lic, c) in enumerate(want):
+        assert got[i].license == lic and (c is None or abs(got[i].cosine - c) < 2e-6), (i, got[i], lic, c)
+    assert [x[0] for x in want[:8]] == ["BSD-3-Clause"] * 3 + ["Zlib", "Full", None, None, None]
+    assert [got[i].origin for i in (0, 1, 2, 3, 4)] == ["file", "file", "header", "header", "file"]
+    assert scan_licenses(f, ()).where("license is not null").count() == 0
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
