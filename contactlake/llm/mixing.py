@@ -1,10 +1,9 @@
-"""Mixing sources to target weights: soft domain membership and least-squares rates within bounds. DataFrame functions only."""
+"""Mixing sources to target weights: soft domain membership and projected-gradient least-squares rates. DataFrame functions only."""
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,23 +18,26 @@ TARGETS = {"clean": 0.90, "poor": 0.07, "toxic": 0.03}
 
 @dataclass(frozen=True)
 class Mixing:
-    """targets: weights by domain. keep: a domain whose expected tokens aren't lowered; the whole grows instead.
+    """targets: weights by domain. keep: a domain whose tokens aren't lowered: the whole grows instead, and a document
+    that most likely belongs to it has a rate of 1 or more.
 
     sample_rows: about so many labelled rows (by a hash of the id) train the classifier, the documented bound; buckets:
-    hashed words. A word counts if it was seen min_count times in the sample and speaks for a domain by `least` nats
-    or more; `most` bounds what it can say. No document enters more than max_rate times on average. Rates are found when no domain is
-    further than `near` from the least-squares optimum; `steps` bounds the search for it, which fails if it takes more.
+    hashed words, of which those seen in min_count sampled rows or more count; most: bounds what one word can say.
+    caution and weight: how many standard errors evidence is drawn towards nothing, and what it is multiplied by; the
+    pair that does best on held-out halves of the sample is taken. max_rate: how often a document may enter. Rates are found when no domain's share is further than `near` from the least-squares optimum; `steps` bounds
+    the search, which fails if it takes more.
     """
 
     targets: dict[str, float] = field(default_factory=lambda: dict(TARGETS))
     keep: str | None = "clean"
     sample_rows: int = 8000
-    buckets: int = 4096
-    min_count: int = 4
-    least: float = 0.7
+    buckets: int = 1 << 15
+    min_count: int = 3
     most: float = 4.0
-    max_rate: float = 4.0
-    steps: int = 40
+    caution: tuple[float, ...] = (2.0, 3.0)
+    weight: tuple[float, ...] = (1.0, 0.5, 0.25, 0.12)
+    max_rate: float = math.inf
+    steps: int = 100_000
     near: float = 1e-4
 
 
@@ -43,175 +45,215 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "poor").when((quality == 1) & (toxic == 0), "clean")
 
 
-def _bucket(word: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(n)).cast("int")
+def features(text: Column, buckets: int) -> Column:
+    """The distinct buckets of a text's lower-cased words; runs of ASCII punctuation are words of their own."""
+    apart = F.regexp_replace(F.lower(text), r"([!-/:-@\[-`{-~]+)", " $1 ")
+    return F.array_distinct(F.transform(blank_words(apart), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
 
 
-def train(docs: DataFrame, labels: DataFrame, m: Mixing, id_col: str = "doc_id", text_col: str = "text") -> dict[str, tuple[float, list[float]]]:
-    """By domain: ln prior and the evidence of each bucket, from words' document counts in the labelled sample.
+def numbers(values) -> Column:
+    """A constant array of doubles, parsed once by the optimizer."""
+    return F.split(F.lit(",".join(f"{x:.4g}" for x in values)), ",").cast("array<double>")
 
-    What comes to the driver is a count per bucket and domain: a fixed number. An id with several labels takes the
-    first by (domain); labels that name no domain are left out. Without any labels all domains are equally likely.
+
+def evidence(counts: np.ndarray, sizes: np.ndarray, m: Mixing, caution: float) -> np.ndarray:
+    """[domain, bucket]: ln of how much likelier a document with the word is in the domain than elsewhere.
+
+    Pseudo-counts follow the domains' shares, so a small domain gains nothing from a word that nobody uses, and the
+    result is drawn towards 0 by `caution` standard errors, so what chance explains says nothing.
     """
-    known = labels.select(F.col("doc_id").alias("id"), domain(F.col("quality"), F.col("toxic")).alias("domain")).where("id is not null and domain is not null").groupBy("id").agg(F.min("domain").alias("domain"))
-    mod = max(1, known.count() // m.sample_rows)
-    picked = lambda c: F.pmod(F.xxhash64(F.lit("mixing"), c.cast("long")), F.lit(mod)) == 0
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(picked(F.col("id")))
-    joined = texts.join(known.where(picked(F.col("id"))), "id").select("domain", F.array_distinct(F.transform(blank_words(F.lower(F.col("text"))), lambda w: _bucket(w, m.buckets))).alias("b"))
-    joined = stored(joined, "labelled")
-    sizes = {r[0]: r[1] for r in joined.groupBy("domain").count().collect()}
-    counts = {d: np.zeros(m.buckets) for d in m.targets}
-    for d, b, n in joined.select("domain", F.explode("b").alias("b")).groupBy("domain", "b").count().collect():
-        if d in counts:
-            counts[d][b] = n
-    discard(joined)
-    total, out = sum(sizes.values()), {}
-    all_n = sum(counts.values())
-    for d in m.targets:
-        own = sizes.get(d, 0)
-        if not own or own == total:
-            out[d] = (math.log((own + 1) / (total + len(m.targets))), [0.0] * m.buckets)
-            continue
-        # the odds of a document with the word in the domain against those elsewhere
-        inside, outside = (counts[d] + 0.5) / (own + 1), (all_n - counts[d] + 0.5) / (total - own + 1)
-        e = np.clip(np.log(inside / outside), -m.most, m.most)
-        e[(np.abs(e) < m.least) | (all_n < m.min_count)] = 0
-        out[d] = (math.log((own + 1) / (total + len(m.targets))), np.round(e, 3).tolist())
-    return out
-
-
-def memberships(docs: DataFrame, model: dict, m: Mixing, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_tokens and p_<domain>: posteriors that add up to one; evidence is what the distinct words say on average, times the root of their number."""
-    words = blank_words(F.lower(F.col(text_col).cast("string")))
-    names = list(m.targets)
+    out = np.zeros(counts.shape)
+    total, seen = sizes.sum(), counts.sum(axis=0)
+    for d, own in enumerate(sizes):
+        if 0 < own < total:
+            s = own / total
+            a, b = counts[d] + s, seen - counts[d] + 1 - s
+            odds = np.log(a / (own + 2 * s)) - np.log(b / (total - own + 2 * (1 - s)))
+            out[d] = np.sign(odds) * np.maximum(0, np.abs(odds) - caution * np.sqrt(1 / a + 1 / b))
+    out[:, seen < m.min_count] = 0
+    return np.clip(out, -m.most, m.most)
+
 
-    def adder(evidence: Column):
-        return lambda a, x: a + F.get(evidence, x)
+def logits(b: Column, prior: np.ndarray, e: np.ndarray) -> list[Column]:
+    """ln prior and summed evidence of each domain, for a column of buckets."""
+    adder = lambda known: lambda a, x: a + F.get(known, x)
+    return [F.lit(float(p)) + F.aggregate(b, F.lit(0.0), adder(numbers(x))) for p, x in zip(prior, e, strict=True)]
 
-    def judged(w: Column) -> Column:
-        def of(b: Column) -> Column:
-            return F.struct(*[F.aggregate(b, F.lit(0.0), adder(F.lit(model[d][1]))).alias(d) for d in names])
 
-        return F.struct(F.size(w).cast("long").alias("n"), let(F.array_distinct(F.transform(w, lambda x: _bucket(x, m.buckets))), of).alias("s"))
+def posteriors(raw: list[Column]) -> list[Column]:
+    """Softmax."""
+    top = F.greatest(*raw) if len(raw) > 1 else raw[0]
+    odds = [F.exp(x - top) for x in raw]
+    return [x / sum(odds[1:], odds[0]) for x in odds]
 
-    rows = docs.withColumn("_j", let(words, judged))
-    raw = {d: F.lit(model[d][0]) + F.col(f"_s.{d}") for d in names}
-    rows = rows.withColumn("_s", F.col("_j.s")).withColumn("n_tokens", F.col("_j.n"))
-    top = F.greatest(*raw.values()) if len(names) > 1 else next(iter(raw.values()))
-    odds = {d: F.exp(raw[d] - top) for d in names}
-    whole = sum(odds.values(), F.lit(0.0))
-    return rows.withColumns({f"p_{d}": odds[d] / whole for d in names}).drop("_j", "_s")
 
+@dataclass(frozen=True)
+class Model:
+    """names: the domains with labels; prior and evidence by domain."""
 
-#: What a rate's distance from one weighs against a missed target: enough for one answer, far too little to move a share by `near`.
-EASE = 1e-5
+    names: tuple[str, ...]
+    prior: np.ndarray
+    evidence: np.ndarray
 
 
-def multipliers(sums: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], share: np.ndarray, m: Mixing) -> tuple[np.ndarray, np.ndarray]:
-    """(x, shares reached) at the optimum, where a row's rate is 1 - p x cut to 0 and max_rate.
+def train(docs: DataFrame, labels: DataFrame, m: Mixing, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Priors and evidence from words' document counts in the labelled sample.
 
-    sums(x), by tokens: the mean of r (1 - p x) - r^2 / 2, the domains' shares, and the mean of p p' over rows whose rate
-    isn't cut. Newton steps on the dual, which is convex and has a bend only where a row meets a bound; a step that
-    doesn't bring it down far enough is halved.
+    What comes to the driver is a count per bucket, domain and half: a fixed number. Each half is scored by what the
+    other taught, to choose caution and weight by log loss. An id with several labels takes the first by (domain);
+    labels that name no domain are left out. A target domain without a label in the sample has no evidence: no document
+    is held to belong to it, and its target is dropped with a warning. Without any labels nothing can be told apart and
+    all domains are equally likely.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), domain(F.col("quality"), F.col("toxic")).alias("domain")).where("id is not null").where(F.col("domain").isin(*m.targets)).groupBy("id").agg(F.min("domain").alias("domain"))
+    mod = max(1, known.count() // m.sample_rows)
+    hashed = F.xxhash64(F.lit("mixing"), F.col("id"))
+    picked = F.pmod(hashed, F.lit(mod)) == 0
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(picked)
+    half = F.pmod(F.shiftright(hashed, 20), F.lit(2)).cast("int")
+    sample = stored(texts.join(known.where(picked), "id").select("domain", half.alias("half"), features(F.col("text"), m.buckets).alias("b")), "labelled")
+    rows = {(r[0], r[1]): r[2] for r in sample.groupBy("domain", "half").count().collect()}
+    names = tuple(d for d in m.targets if rows.get((d, 0), 0) + rows.get((d, 1), 0))
+    if not names:
+        discard(sample)
+        return Model(tuple(m.targets), np.zeros(len(m.targets)), np.zeros((len(m.targets), m.buckets)))
+    if len(names) < len(m.targets):
+        warnings.warn("mixing: no labels, so no target, for " + ", ".join(d for d in m.targets if d not in names), stacklevel=3)
+    sizes = np.array([[rows.get((d, h), 0) for d in names] for h in (0, 1)])
+    counts = np.zeros((2, len(names), m.buckets))
+    cells = [F.count_if((F.col("half") == h) & (F.col("domain") == d)) for h in (0, 1) for d in names]
+    for b, *n in sample.select("domain", "half", F.explode("b").alias("b")).groupBy("b").agg(*cells).collect():
+        counts[:, :, b] = np.array(n).reshape(2, len(names))
+    prior = lambda s: np.log((s + 0.5) / (s + 0.5).sum())
+    best = (m.caution[0], m.weight[0])
+    if (sizes.sum(axis=1) > 0).all() and len(names) > 1:
+        first = F.col("half") == 0
+
+        def by_half(values: list[list[Column]]) -> list[Column]:
+            """What the second half told where a row lies in the first, and the other way round."""
+            return [F.when(first, x).otherwise(y) for x, y in zip(values[1], values[0], strict=True)]
+
+        told = [by_half([logits(F.col("b"), np.zeros(len(names)), evidence(counts[h], sizes[h], m, c)) for h in (0, 1)]) for c in m.caution]
+        scored = sample.select("domain", "half", *[F.array(*x).alias(f"s{i}") for i, x in enumerate(told)])
+        priors = by_half([[F.lit(float(x)) for x in prior(sizes[h])] for h in (0, 1)])
+        own = F.array_position(F.array(*map(F.lit, names)), F.col("domain")).cast("int") - 1
+        pairs = [(c, w) for c in m.caution for w in m.weight]
+        loss = [F.sum(-F.log(F.greatest(F.get(F.array(*posteriors([x + F.col(f"s{m.caution.index(c)}")[d] * w for d, x in enumerate(priors)])), own), F.lit(1e-12)))) for c, w in pairs]
+        best = min(zip(scored.agg(*loss).first(), pairs, strict=True))[1]
+    discard(sample)
+    whole = sizes.sum(axis=0)
+    return Model(names, prior(whole), evidence(counts.sum(axis=0), whole, m, best[0]) * best[1])
+
+
+def memberships(docs: DataFrame, model: Model, m: Mixing, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens and p_<domain>, posteriors that add up to one (0 for a domain without labels)."""
+    text = F.col(text_col).cast("string")
+    scores = let(features(text, m.buckets), lambda b: F.struct(*[x.alias(d) for d, x in zip(model.names, logits(b, model.prior, model.evidence), strict=True)]))
+    rows = docs.withColumn("_s", scores).withColumn("n_tokens", F.size(blank_words(text)).cast("long"))
+    told = dict(zip(model.names, posteriors([F.col(f"_s.{d}") for d in model.names]), strict=True))
+    return rows.withColumns({f"p_{d}": told.get(d, F.lit(0.0)) for d in m.targets}).drop("_s")
+
+
+def projected_gradient(tokens: np.ndarray, p: np.ndarray, share: np.ndarray, low: np.ndarray, m: Mixing) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, shares reached): least squares of the shares' weighted distance, over rates from low to max_rate.
+
+    tokens: each cell's part of the whole. Steps of the gradient, scaled by a cell's tokens, start at 1 with the
+    longest safe stride, carry momentum that is dropped when it points uphill, and are cut to the bounds. The search
+    ends when a step moves no domain's share by 0.01 of near, or fails.
     """
     w = 1 / np.maximum(share, 0.01)
-
-    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        h, now, free = sums(x)
-        return EASE / 2 * (x * x / w).sum() + share @ x + h, EASE * x / w + share - now, np.diag(EASE / w) + free, now
-
-    x = np.zeros(len(share))
-    value, slope, bend, now = at(x)
+    stride = 1 / max(1e-300, np.linalg.eigvalsh(np.sqrt(w)[:, None] * ((p * tokens[:, None]).T @ p) * np.sqrt(w)).max())
+    reached = lambda r: (tokens * r) @ p
+    rate = ahead = np.clip(np.ones(len(tokens)), low, m.max_rate)
+    pace = 1.0
     for _ in range(m.steps):
-        if np.abs(slope).max() <= 0.1 * m.near:
-            return x, now
-        move = -np.linalg.solve(bend, slope)
-        part = 1.0
-        while (there := at(x + part * move))[0] > value + 1e-4 * part * (slope @ move) + 1e-15:
-            part /= 2
-            if part < 1e-9:
-                raise RuntimeError(f"mixing rates: no way down, {np.abs(slope).max():.1e} from the optimum")
-        x = x + part * move
-        value, slope, bend, now = there
-    if np.abs(slope).max() <= 0.1 * m.near:
-        return x, now
-    raise RuntimeError(f"mixing rates: still {np.abs(slope).max():.1e} from the optimum after {m.steps} steps")
+        after = np.clip(ahead - stride * p @ (w * (reached(ahead) - share)), low, m.max_rate)
+        plain = np.clip(rate - stride * p @ (w * (reached(rate) - share)), low, m.max_rate)
+        if np.abs(reached(plain) - reached(rate)).max() <= 1e-4 * m.near and np.abs(reached(after) - reached(rate)).max() <= 1e-2 * m.near:
+            return rate, reached(rate)
+        if (tokens * (ahead - after) * (after - rate)).sum() > 0:
+            pace, after = 1.0, plain
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, rate, pace = after + (pace - 1) / faster * (after - rate), after, faster
+    raise RuntimeError(f"mixing rates: not at the optimum after {m.steps} steps")
 
 
 def fitted_rates(rows: DataFrame, m: Mixing) -> DataFrame:
-    """rows (with n_tokens, p_<domain>) with rate: from 0 to max_rate, with expected domain tokens at their targets.
-
-    Minimises the sum over domains of w (expected - target)^2, w the inverse of its target weight (0.01 at least); of
-    rates that do so alike, those nearest to 1. The search is over one number per domain; each trial is one pass of
-    sums, of which only a few numbers reach the driver. It ends at the optimum or fails. Targets that no rates can meet
-    are met as nearly as least squares can, with a warning that gives the shares. Rates are rounded to hundredths.
+    """rows (with n_tokens, p_<domain>) with rate, so that expected domain tokens meet their targets.
+
+    Minimises the sum over domains of w (expected - target)^2, w the inverse of its target weight (0.01 at least),
+    by projected gradient from rates of 1. A rate's gradient depends on its document's posteriors alone, so documents of
+    nearly equal ones (a cell of at most 20,000) take every step together: one distributed pass sums tokens and expected
+    domain tokens by cell, which is all a step needs, and the steps run on these sums. Cells' posteriors are means by
+    tokens, so the totals are those of the documents. Targets that no rates can meet are met as nearly as
+    least squares can, with a warning that gives the shares. Domains no document belongs to have no target.
     """
     names = list(m.targets)
-    p = [F.col(f"p_{d}") for d in names]
     k = len(names)
-    first = rows.agg(*[F.coalesce(F.sum(F.col("n_tokens") * x), F.lit(0.0)) for x in p]).first()
-    now = np.array(list(first))
-    share = np.array([m.targets[d] for d in names]) / sum(m.targets.values())
+    bins = max(2, min(100, int(10_000 ** (1 / max(1, k - 1)))) - 1)
+    p = [F.col(f"p_{d}") for d in names]
+    likely = F.lit(False)
+    if m.keep in names:
+        likely = p[names.index(m.keep)] >= F.greatest(*p) if k > 1 else F.lit(True)
+    cell = likely.cast("int")
+    for x in p[:-1]:
+        cell = cell * (bins + 1) + F.round(x * bins).cast("int")
+    n = F.col("n_tokens")
+    sums = rows.groupBy(cell.alias("cell")).agg(F.sum(n), *[F.sum(n * x) for x in p]).collect()  # a row per cell
+    tokens = np.array([float(r[1] or 0) for r in sums])
+    if not tokens.sum():
+        return rows.withColumn("rate", F.lit(1.0))
+    held = np.array([[float(x or 0) for x in r[2:]] for r in sums])
+    mean = held / np.maximum(tokens, 1)[:, None]
+    now = held.sum(axis=0)
+    share = np.array([m.targets[d] if y > 0 else 0.0 for d, y in zip(names, now, strict=True)])
+    share = share / share.sum() if share.sum() else share
     whole = now.sum()
+    codes = np.array([r[0] for r in sums])
+    low = np.zeros(len(codes))
     if m.keep in names and share[names.index(m.keep)] > 0:
         whole = max(whole, now[names.index(m.keep)] / share[names.index(m.keep)])
-    if not whole:
-        return rows.withColumn("rate", F.lit(1.0))
-
-    def rates(x: np.ndarray) -> tuple[Column, Column]:
-        raw = F.lit(1.0) - sum((c * F.lit(float(y)) for c, y in zip(p, x, strict=True)), F.lit(0.0))
-        return raw, F.least(F.lit(float(m.max_rate)), F.greatest(F.lit(0.0), raw))
-
-    def sums(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        raw, cut = rates(x)
-        t = rows.withColumn("_raw", raw).withColumn("rate", cut).withColumn("_a", F.col("n_tokens") / F.lit(float(whole)))
-        free = F.when(F.col("_raw") == F.col("rate"), F.col("_a")).otherwise(0.0)
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        value = F.col("_a") * F.col("rate") * (F.col("_raw") - F.col("rate") / 2)
-        got = t.agg(F.sum(value), *[F.sum(F.col("_a") * c * F.col("rate")) for c in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
-        bend = np.zeros((k, k))
-        for (i, j), y in zip(pairs, got[k + 1 :], strict=True):
-            bend[i, j] = bend[j, i] = y
-        return got[0], np.array(got[1 : k + 1]), bend
-
-    x, reached = multipliers(sums, share, m)
+        low[codes // (bins + 1) ** (k - 1) == 1] = 1.0
+    rate, reached = projected_gradient(tokens / whole, mean, share, low, m)
     if np.abs(reached - share).max() > m.near:
-        warnings.warn(f"mixing: no rates from 0 to {m.max_rate} meet the targets; shares are " + ", ".join(f"{d} {y:.4f} for {z:.4f}" for d, y, z in zip(names, reached, share, strict=True)), stacklevel=2)
-    return rows.withColumn("rate", F.round(rates(x)[1], 2))
+        warnings.warn("mixing: no rates meet the targets; shares are " + ", ".join(f"{d} {y:.4f} for {z:.4f}" for d, y, z in zip(names, reached, share, strict=True)), stacklevel=2)
+    of_cell = np.ones(2 * (bins + 1) ** (k - 1))
+    of_cell[codes] = rate
+    return rows.withColumn("rate", F.round(F.coalesce(F.get(numbers(of_cell), cell), F.lit(1.0)), 4))
+
+
+def _drawn(rows: DataFrame, id_col: str, text_col: str) -> Column:
+    """A number from 0 to 1 by a hash of id and text."""
+    return F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))), F.lit(1 << 30)) / float(1 << 30)
+
+
+def _copies() -> Column:
+    return F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, m: Mixing | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, n_tokens, p_<domain>…, rate, copies) for every row of docs.
 
     copies: how often the row enters the mix, the whole part of the rate and one more with the odds of the rest, by a
-    hash of id and text, so equal rows are treated alike and any rerun agrees. A null text has no tokens and the
-    prior's posteriors; its rate stays 1. A null source stays null; a null id is hashed like any other. Other columns
-    are ignored. An empty table gives an empty result; targets that no rates can meet are
-    met as nearly as least squares can.
+    hash of id and text, so equal rows are treated alike and any rerun agrees. A null text has no tokens, the
+    prior's posteriors and the rate they give. A null source stays null; a null id is hashed like any other. Repeated
+    rows each count. Equal posteriors tie: the domain that is kept wins. Other columns are ignored. An empty table
+    gives an empty result; see train() on domains without labels and fitted_rates() on targets out of reach.
     """
     m = m or Mixing()
     model = train(docs, labels, m, id_col, text_col)
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.col(text_col).cast("string").alias("text"))
-    rows = memberships(rows, model, m, "doc_id", "text")
-    draw = F.pmod(F.xxhash64(F.lit("copies"), F.col("doc_id").cast("string"), F.xxhash64("text")), F.lit(1 << 30)) / float(1 << 30)
-    rows = stored(rows.withColumn("draw", draw).drop("text"), "memberships")
-    out = fitted_rates(rows, m)
-    copies = F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
-    return out.select("doc_id", "source", "n_tokens", *[f"p_{d}" for d in m.targets], "rate", copies.cast("long").alias("copies"), "draw").drop("draw")
+    rows = memberships(rows.withColumn("draw", _drawn(rows, "doc_id", "text")), model, m)
+    out = fitted_rates(stored(rows.drop("text"), "memberships"), m)
+    return out.select("doc_id", "source", "n_tokens", *[f"p_{d}" for d in m.targets], "rate", _copies().cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, m: Mixing | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, each as often as its copies say; columns as they are."""
+    """The rows of docs, each as often as its copies say; columns as they are. Rows stay where they lie."""
     m = m or Mixing()
-    key = lambda: (F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("\0"))).alias("t"))
-    keyed = docs.withColumn("__mix_key", F.struct(*key()))
     model = train(docs, labels, m, id_col, text_col)
-    rows = memberships(docs.select(F.col(id_col), F.col(text_col)), model, m, id_col, text_col)
-    draw = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))), F.lit(1 << 30)) / float(1 << 30)
-    rows = stored(rows.withColumn("draw", draw).withColumn("__mix_key", F.struct(*key())).drop(id_col, text_col), "memberships")
-    rates = fitted_rates(rows, m)
-    copies = (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    by_key = rates.groupBy("__mix_key").agg(F.first(copies).alias("__mix_n"))  # equal keys have equal rates
-    met = keyed.alias("d").join(by_key.alias("r"), F.col("d.__mix_key").eqNullSafe(F.col("r.__mix_key"))).where("__mix_n > 0")
-    return met.withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = memberships(rows.withColumn("draw", _drawn(rows, "doc_id", "text")), model, m)
+    out = fitted_rates(stored(rows.drop("doc_id", "text"), "mixed"), m)
+    return out.withColumn("n", _copies().cast("int")).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
