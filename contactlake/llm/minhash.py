@@ -26,7 +26,8 @@ class MinHash:
 
     40 bands of 5 minima miss a pair of similarity 0.8 with odds of 1.3e-7. A pair goes on to the full sets if its
     signatures agree in at least `screen` of 200 places, six deviations below 0.8. Buckets are screened in blocks of
-    `block` members, texts confirmed in blocks of `confirm`.
+    `block` members, texts confirmed in blocks of about `confirm`, fewer if their sets take more than `confirm_bytes`.
+    Copies of one set are dealt over `salts` keys.
     """
 
     shingle: int = 5
@@ -38,6 +39,8 @@ class MinHash:
     seed: int = 1
     block: int = 1024
     confirm: int = 2048
+    confirm_bytes: int = 64 << 20
+    salts: int = 64
 
     def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
         r = np.random.default_rng(self.seed)
@@ -151,16 +154,18 @@ def _leftover_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, p: Mi
     k = F.ceil(F.col("m") / p.block)
     own = F.pmod(F.xxhash64("id"), k)
     dealt = members.withColumn("k", k).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp").join(sigs.select("id", "n", "sig"), "id")
-    ids = stored(members.select("id").distinct(), "ids")
-    blocks = max(1, -(-ids.count() // p.confirm))
+    ids = stored(members.select("id").distinct().join(sigs.groupBy("id").agg(F.sum("n").alias("n")), "id"), "ids")
+    size = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // p.confirm), -(-8 * size[1] // p.confirm_bytes))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", block("id").alias("block")).join(sigs.select("id", "n", "sig"), "id")
     listed = pa.schema([("id", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def screen(rows: list[tuple]) -> Iterator[tuple]:
         i, j = rows[0][1], rows[0][2]
-        own, ids, comp, n = (np.array([r[x] for r in rows], np.int64) for x in (3, 4, 5, 6))
+        own, ids, comp, n, part = (np.array([r[x] for r in rows], np.int64) for x in (3, 4, 5, 6, 8))
         sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), -1)
-        part = ids % blocks // PART
+        part //= PART
         for x in range(len(rows)):
             # within a block each pair once, between two blocks only across
             ok = (np.arange(len(rows)) > x) & (comp != comp[x]) & (ids != ids[x]) & (np.minimum(n, n[x]) * p.den >= np.maximum(n, n[x]) * p.num)
@@ -193,7 +198,7 @@ def _leftover_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, p: Mi
             lists = [np.unique(np.concatenate(met[k])) for k in keys]
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=listed)
 
-        for group in grouped(it, ("key", "i", "j", "own", "id", "comp", "n", "sig"), 3):
+        for group in grouped(it, ("key", "i", "j", "own", "id", "comp", "n", "sig", "block"), 3):
             for key, partners in screen(group):
                 met.setdefault(key, []).append(partners)
                 size += len(partners)
@@ -229,15 +234,14 @@ def _leftover_links(members: DataFrame, sigs: DataFrame, texts: DataFrame, p: Mi
                                 out.append((i, o))
             yield pa.RecordBatch.from_arrays([pa.array([v[c] for v in out], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-    ranked = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "id", "comp", "n", "sig")
+    ranked = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "id", "comp", "n", "sig", "block")
     lists = ranked.mapInArrow(run, "id long, part long, ids array<long>").groupBy("id", "part").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
     other = F.explode(F.sequence(F.col("part") * PART, F.least(F.col("part") * PART + PART - 1, F.lit(blocks - 1)).cast("long")))
-    lists = lists.withColumn("other", other).select("id", "other", F.filter("ids", lambda v: F.pmod(v, F.lit(blocks)) == F.col("other")).alias("ids")).where(F.size("ids") > 0)
-    block = F.pmod("id", F.lit(blocks))
-    lists = stored(lists.select(F.least(block, "other").alias("x"), F.greatest(block, "other").alias("y"), "id", "ids"), "lists")
+    lists = lists.withColumn("other", other).select("id", "other", F.filter("ids", lambda v: block(v) == F.col("other")).alias("ids")).where(F.size("ids") > 0)
+    lists = stored(lists.select(F.least(block("id"), "other").alias("x"), F.greatest(block("id"), "other").alias("y"), "id", "ids"), "lists")
     tasks = lists.select("x", "y").distinct()
     sides = tasks.select("x", "y", F.col("x").alias("block")).unionByName(tasks.where("x <> y").select("x", "y", F.col("y").alias("block")))
-    held = texts.join(ids, "id", "left_semi").withColumn("block", F.pmod("id", F.lit(blocks))).join(sides, "block").select("x", "y", "id", F.lit(None).cast("array<long>").alias("ids"), "text")
+    held = texts.join(ids, "id", "left_semi").withColumn("block", block("id")).join(sides, "block").select("x", "y", "id", F.lit(None).cast("array<long>").alias("ids"), "text")
     both = held.unionByName(lists.withColumn("text", F.lit(None).cast("string")))
     # texts first: their list is null
     return both.repartition("x", "y").sortWithinPartitions("x", "y", F.col("ids").isNotNull()).mapInArrow(confirm, "a long, b long").distinct()
@@ -254,15 +258,20 @@ def near_duplicates(docs: DataFrame, p: MinHash | None = None, id_col: str = "do
     3. Buckets that still hold several components are compared in full, block against block, so no link is lost to
        the star form; components follow from all links by alternating large-star and small-star.
 
-    Nothing is capped. Texts without words (null, empty, blank) have n_shingles 0 and stand alone. Rows with the
+    Ids are whole numbers, or texts of such; anything else fails the cast. Nothing is capped. Texts without words (null, empty, blank) have n_shingles 0 and stand alone. Rows with the
     same id are one node, with the links of any of them. Rows with a null id are never linked: component_id is null
     and kept true. Other columns of docs are ignored. An empty table gives an empty result.
     """
     p = p or MinHash()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sk = stored(sketches(rows, p, "id", "text"), "sketch")
-    classes = sk.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    member = stored(sk.select("id", "n", F.when(F.col("id").isNotNull(), F.col("fp")).alias("fp")).join(classes, "fp", "left").select("id", "n", "rep"), "member")
+    # a class's copies, and rows without a class, are dealt over salts: no task meets all of them
+    salt = F.pmod(F.xxhash64("id"), F.lit(p.salts))
+    parts = sk.where("n > 0 and id is not null").groupBy("fp", salt.alias("salt")).agg(F.min("id").alias("low"))
+    classes = parts.groupBy("fp").agg(F.min("low").alias("rep"))
+    told = parts.join(classes, "fp").select("fp", "salt", "rep")
+    apart_key = F.coalesce(F.when(F.col("id").isNotNull(), F.col("fp")), F.concat(F.lit("-"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4096)).cast("string")).cast("binary"))
+    member = stored(sk.select("id", "n", apart_key.alias("fp"), salt.alias("salt")).join(told, ["fp", "salt"], "left").select("id", "n", "rep"), "member")
     # an id with several different texts joins their classes
     varied = member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("id", "lo")
     same_id = member.join(varied, "id").select(F.col("lo").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
