@@ -7,13 +7,18 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactlake.functions import email, url
+from contactlake.functions import classify, url
 from contactlake.functions.text import slug
 from contactlake.operators import blocklist as suppression
 from contactlake.operators import directory as d
+from contactlake.operators import scrape as sc
+from contactlake.operators.frontier import best_domain
 from contactlake.operators.keep import keep_first
 from contactlake.operators.merge import coalesced, inserted, merged, new_value, non_empty
+from contactlake.operators.resolve import verified_people
+from contactlake.sources.seed import seeded
 from contactlake.sources.settings import effective
+from contactlake.streaming.worker import Worker
 
 KEYS = {"emails": ["company_id", "email"], "phones": ["company_id", "phone"], "socials": ["company_id", "network"], "people": ["company_id", "name"], "scrapes": ["company_id"]}
 POLICIES = {"category": new_value, "url": new_value, "status": new_value, "pages_checked": new_value, "title": non_empty}
@@ -92,14 +97,75 @@ class Engine:
             out[name] = merged(old, batch, KEYS[name], policies, "ord" if "ord" in batch.columns else None)
         return self._with(**out)
 
-    def discover(self, results: DataFrame) -> DataFrame:
-        """(domain, title, name, outcome) of search results (ord, title, url): the first of each domain, judged against block rules, the directory and the blocklist."""
-        rows = keep_first(results.withColumn("domain", url.url_domain(F.col("url"))), ["domain"])
+    def scrape(self, pages: DataFrame, found: dict[str, DataFrame], open_people: DataFrame, mx: DataFrame, smtp: DataFrame, catchall: DataFrame, force: bool = False) -> Engine:
+        """The tables after a scrape of the companies in pages (company_id, pages_checked).
+
+        Companies scraped before are left alone unless force. found: what the pages told (emails, phones, socials, people,
+        each with company_id and ord); companies without people take those of open_people. Addresses are verified before
+        they are saved, and merges never lose what was known.
+        """
+        todo = pages if force else pages.join(self.scrapes.select("company_id"), "company_id", "left_anti")
+        mine = lambda df: df.join(todo.select("company_id"), "company_id", "left_semi")
+        emails = keep_first(mine(found["emails"]), KEYS["emails"]).drop("verdict")
+        people = sc.with_fallback(sc.clean_people(mine(found["people"]), self.companies), todo.select("company_id"), open_people)
+        people = people.withColumn("id", F.xxhash64("company_id", "name"))
+        told = sc.verdicts(emails.select("email").unionByName(people.where("email is not null").select("email")), mx, smtp, catchall)
+        emails = emails.join(told, "email", "left")
+        none = people.sparkSession.createDataFrame([], "id long, pos int, email string")
+        judged = verified_people(people.select("id", "email", "email_status"), told, none)
+        people = sc.saved_people(people.drop("email", "email_status").join(judged, "id").drop("id"))
+        n = emails.groupBy("company_id").agg(F.count("*").alias("n"))
+        status = sc.scrape_status(F.col("pages_checked"), F.coalesce("n", F.lit(0)))
+        scrapes = todo.join(n, "company_id", "left").select("company_id", status.alias("status"), "pages_checked")
+        return self.save(emails=emails, people=people, phones=sc.distinct_phones(mine(found["phones"])), socials=sc.distinct_socials(mine(found["socials"])), scrapes=scrapes)
+
+    def discover(self, results: DataFrame, homes: DataFrame | None = None, trusted: DataFrame | None = None, block: list[str] | None = None) -> DataFrame:
+        """(domain, title, name, outcome) of search results (ord, title, url), and of trusted ones (ord, name, domain) before them: the first of each domain.
+
+        outcome: blocked by the rules for web domains; rejected if homes (domain, title, meta, body) are given and the
+        domain's isn't relevant or is missing, unless it is trusted; known in the directory; suppressed by the blocklist;
+        else new.
+        """
+        rows = results.select("ord", "title", url.url_domain(F.col("url")).alias("domain"), F.lit(1).alias("stage"))
+        if trusted is not None:
+            rows = rows.unionByName(trusted.select("ord", F.col("name").alias("title"), "domain", F.lit(0).alias("stage")))
+        rows = keep_first(rows.withColumn("at", F.struct("stage", "ord")), ["domain"], "at")
         known = self.companies.select("domain", F.lit(True).alias("known")).dropDuplicates(["domain"])
         rows = rows.withColumn("id", F.xxhash64("domain")).withColumn("name", url.company_from_title(F.col("title"), F.col("domain")))
         hit = suppression.matches(rows, self.blocklist).select(F.col("company_id").alias("id")).distinct().withColumn("hit", F.lit(True))
-        out = F.when(url.blocked(F.col("domain")), "blocked").when(F.col("known"), "known").when(F.col("hit"), "suppressed").otherwise("new")
-        return rows.join(known, "domain", "left").join(hit, "id", "left").select("domain", "title", "name", out.alias("outcome"))
+        rows = rows.join(known, "domain", "left").join(hit, "id", "left").withColumn("ok", F.lit(True))
+        if homes is not None:
+            text = lambda c: F.coalesce(c, F.lit(""))
+            judged = homes.select("domain", classify.relevance(text(F.col("title")), text(F.col("meta")), text(F.col("body")))[0].alias("relevant"))
+            rows = rows.join(judged, "domain", "left").withColumn("ok", (F.col("stage") == 0) | F.coalesce("relevant", F.lit(False)))
+        out = F.when(url.blocked(F.col("domain"), block) & (F.col("stage") == 1), "blocked").when(~F.col("ok"), "rejected").when(F.col("known"), "known").when(F.col("hit"), "suppressed").otherwise("new")
+        return rows.select("domain", "title", "name", out.alias("outcome"))
+
+    def with_discovered(self, found: DataFrame, country: str) -> Engine:
+        """The directory with the new domains of discover()."""
+        new = found.where("outcome = 'new'").select(slug_id(F.col("domain")).alias("id"), "name", "domain", F.concat(F.lit("https://"), "domain").alias("website"), F.lit(country).alias("country"), url.country_code(F.lit(country)).alias("country_code"), F.lit("Fleet Management Software").alias("category"), F.lit(False).alias("blocked"))
+        return self._with(companies=self.companies.unionByName(new.select(*[c for c in new.columns if c in self.companies.columns]), allowMissingColumns=True))
+
+    def lookups(self, queries: DataFrame, probes: DataFrame) -> DataFrame:
+        """(query_id, q, outcome, domain) of queries (query_id, q): existing by name or domain; else the best of the
+        domains that answered, probes (query_id, name, pos, domain, title), which is added unless the blocklist fits."""
+        low = queries.withColumn("k", F.lower(F.trim("q")))
+        names = self.companies.select(F.lower("name").alias("k")).unionByName(self.companies.select(F.lower("domain").alias("k"))).distinct().withColumn("known", F.lit(True))
+        rows = low.join(names, "k", "left").join(best_domain(probes, "query_id").select("query_id", "domain"), "query_id", "left")
+        listed = self.companies.select("domain", F.lit(True).alias("listed")).dropDuplicates(["domain"])
+        hit = suppression.matches(rows.where("domain is not null").select(F.col("query_id").alias("id"), F.col("q").alias("name"), "domain"), self.blocklist).select(F.col("company_id").alias("query_id")).distinct().withColumn("hit", F.lit(True))
+        rows = rows.join(hit, "query_id", "left").join(listed, "domain", "left")
+        out = F.when(F.col("known"), "existing").when(F.col("domain").isNull(), "unresolved").when(F.col("hit"), "blocked").when(F.col("listed"), "existing").otherwise("added")
+        return rows.select("query_id", "q", out.alias("outcome"), F.when(F.col("known").isNull(), F.col("domain")).alias("domain"))
+
+    def start(self, legacy: tuple[str, ...] = ()) -> Engine:
+        """Seeds the directory, removes legacy entries from the blocklist and applies it; safe to repeat."""
+        gone = [x.strip().lower() for x in legacy]
+        kept = self.blocklist.where(~F.lower(F.trim("name")).isin(*gone)) if gone else self.blocklist
+        engine = self._with(companies=seeded(self.companies), blocklist=kept)
+        flags = suppression.flags(engine.companies, kept).select("id", F.col("blocked").alias("_b"))
+        rows = engine.companies.join(flags, "id").withColumn("blocked", F.col("blocked") | F.col("_b"))
+        return engine._with(companies=rows.select(*engine.companies.columns))
 
     # verification
 
@@ -110,12 +176,7 @@ class Engine:
 
     def verify(self, addresses: DataFrame, mx: DataFrame, smtp: DataFrame, catchall: DataFrame) -> DataFrame:
         """(email, verdict) of addresses from facts: mx (domain, …), smtp (email, code, refused), catchall (domain, probe)."""
-        rows = addresses.select("email").distinct().withColumn("domain", email.domain(F.col("email")))
-        has = mx.select("domain", F.lit(True).alias("m")).dropDuplicates(["domain"])
-        s = smtp.select("email", email.smtp_class(F.col("code"), F.col("refused")).alias("s")).dropDuplicates(["email"])
-        rows = rows.join(has, "domain", "left").join(s, "email", "left").join(catchall.dropDuplicates(["domain"]), "domain", "left")
-        ok = F.col("m").isNotNull()
-        return rows.select("email", email.verdict(F.col("email"), ok, F.col("s"), email.catchall_class(F.col("probe"), ok)).alias("verdict"))
+        return sc.verdicts(addresses, mx, smtp, catchall)
 
     # suppression
 
@@ -151,6 +212,10 @@ class Engine:
         new = s.sparkSession.createDataFrame([(k, str(v)) for k, v in values.items()], "key string, value string")
         return self._with(settings=merged(s, new, ["key"], {"value": new_value}))
 
+    def worker(self, events: DataFrame, jobs: dict, at: str | None = None) -> Worker:
+        """The worker over a stream of events; at: the folder that its state survives in. It has start, stop, wake and status."""
+        return Worker(self.companies.sparkSession, events, jobs, at=at)
+
     def worker_tail(self, limit: int = 50) -> DataFrame:
         return self.worker_log.orderBy(F.col("id").desc()).limit(max(1, min(limit, 300)))
 

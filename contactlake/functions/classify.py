@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import alnum_tokens, slug
+from .text import alnum_tokens, let, slug
 from .values import JUNK_MARKERS, NEGATIVE, POSITIVE, TITLE_STRONG
 
 
@@ -14,15 +14,31 @@ def hits(text: Column, words) -> Column:
     return F.filter(F.array(*map(F.lit, words)), lambda w: text.contains(w))
 
 
-def relevance(title: Column, meta: Column, body: Column, positive=POSITIVE, negative=NEGATIVE, strong=TITLE_STRONG) -> tuple[Column, Column]:
-    """(relevant, reason) of a home page: a negative word decides, then positive ones, then strong words in the title."""
-    low = F.lower(title)
-    blob = F.concat_ws(" ", low, F.lower(meta), F.substring(F.lower(body), 1, 4000))
-    no, yes, head = hits(blob, negative), hits(blob, positive), hits(low, strong)
+def verdict(title: Column, meta: Column, body: Column, positive=POSITIVE, negative=NEGATIVE, strong=TITLE_STRONG) -> Column:
+    """(ok, why) of a home page: a negative word decides, then positive ones, then strong words in the title.
+
+    The page is cut and lowered once; a list is only gone through where the ones before it don't decide.
+    """
     first = lambda h: F.array_join(F.slice(h, 1, 3), ", ")
-    ok = F.when(F.size(no) > 0, False).otherwise((F.size(yes) > 0) | (F.size(head) > 0))
-    why = F.when(F.size(no) > 0, F.concat(F.lit("negative signal: "), F.get(no, F.lit(0)))).when(F.size(yes) > 0, F.concat(F.lit("signals: "), first(yes))).when(F.size(head) > 0, F.concat(F.lit("title signal: "), first(head))).otherwise("no signal on homepage")
-    return ok, why
+    told = lambda ok, why: F.struct(F.lit(ok).alias("ok"), why.alias("why"))
+
+    def by_title(head: Column) -> Column:
+        return F.when(F.size(head) > 0, told(True, F.concat(F.lit("title signal: "), first(head)))).otherwise(told(False, F.lit("no signal on homepage")))
+
+    def of(page: Column) -> Column:
+        blob, low = page["blob"], page["low"]
+        positives = let(hits(blob, positive), lambda yes: F.when(F.size(yes) > 0, told(True, F.concat(F.lit("signals: "), first(yes)))).otherwise(let(hits(low, strong), by_title)))
+        return let(hits(blob, negative), lambda no: F.when(F.size(no) > 0, told(False, F.concat(F.lit("negative signal: "), F.get(no, F.lit(0))))).otherwise(positives))
+
+    cut = F.substring(F.lower(F.substring(body, 1, 4000)), 1, 4000)
+    page = F.struct(F.concat_ws(" ", F.lower(title), F.lower(meta), cut).alias("blob"), F.lower(title).alias("low"))
+    return let(page, of)
+
+
+def relevance(title: Column, meta: Column, body: Column, **lists) -> tuple[Column, Column]:
+    """(relevant, reason) by verdict()."""
+    told = verdict(title, meta, body, **lists)
+    return told["ok"], told["why"]
 
 
 def junk_markers(titles: Column) -> Column:

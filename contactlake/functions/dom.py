@@ -21,6 +21,8 @@ CARD_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p span div strong b li figcaption dt dd
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿĀ-ɏ"
 WORD = re.compile(rf"[{LETTER}][{LETTER}.'’\-]*")
 NAME_WORD = re.compile(rf"[A-ZÀ-ÖØ-ÞĀ-ɏ][{LETTER}.'’\-]*")
+#: The longest text of a card, and what class names tell name and role.
+CARD_TEXT = 90
 NAME_CLASS = re.compile(r"(?:member|team|staff|person|leadership|bio)[\w-]*name", re.I)
 ROLE_CLASS = re.compile(r"(?:member|team|staff|person|leadership|bio)[\w-]*(?:role|title|position|job)", re.I)
 PROFILE = re.compile(r"linkedin\.com/in/", re.I)
@@ -41,16 +43,23 @@ class Node:
             yield n
             todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
-    def text(self, joint: str = " ") -> str:
+    def text(self, joint: str = " ", most: int | None = None) -> str:
+        """The text below; with most, nothing as soon as it is longer."""
         out: list[str] = []
         todo: list = [self]
+        size = 0
         while todo:
             n = todo.pop()
             if isinstance(n, str):
-                out.append(n.strip())
+                n = n.strip()
+                if n:
+                    size += len(n) + (len(joint) if out else 0)
+                    if most is not None and size > most:
+                        return ""
+                    out.append(n)
             elif n.tag not in SILENT:
                 todo.extend(reversed(n.children))
-        return joint.join(x for x in out if x)
+        return joint.join(out)
 
     def ancestors(self, k: int) -> Iterator[Node]:
         n = self
@@ -244,8 +253,8 @@ def sibling_role(node: Node, reach: int = 2) -> str | None:
         return None
     after = [c for c in node.parent.children if isinstance(c, Node)]
     for n in after[after.index(node) + 1 :][:reach]:
-        text = n.text()
-        if text and len(text) <= 60 and any(w.lower() in TITLES for w in WORD.findall(text)):
+        text = n.text(most=60)
+        if text and any(w.lower() in TITLES for w in WORD.findall(text)):
             return text
     return None
 
@@ -256,8 +265,8 @@ def cards(root: Node, company: str = "") -> Iterator[tuple]:
     for node in root.walk():
         if node.tag not in CARD_TAGS:
             continue
-        text = node.text()
-        if not text or len(text) > 90 or text in seen:
+        text = node.text(most=CARD_TEXT)
+        if not text or text in seen:
             continue
         seen.add(text)
         hit = split_role(text)
@@ -277,12 +286,12 @@ def cards(root: Node, company: str = "") -> Iterator[tuple]:
 def class_cards(root: Node) -> Iterator[tuple]:
     """Cards whose class names tell name and role, the role within three ancestors."""
     for node in root.walk():
-        name = node.text() if NAME_CLASS.search(node.attrs.get("class", "")) else ""
+        name = node.text(most=CARD_TEXT) if NAME_CLASS.search(node.attrs.get("class", "")) else ""
         if not looks_like_name(name):
             continue
         for card in node.ancestors(3):
-            role = next((n.text() for n in card.walk() if ROLE_CLASS.search(n.attrs.get("class", ""))), "")
-            if role and len(role) <= 90:
+            role = next((n.text(most=CARD_TEXT) for n in card.walk() if ROLE_CLASS.search(n.attrs.get("class", ""))), "")
+            if role:
                 mail, phone, profile = contact_near(card, 0)
                 yield found("class_card", name=name, title=role, email=mail, phone=phone, link=profile)
                 break
@@ -290,8 +299,8 @@ def class_cards(root: Node) -> Iterator[tuple]:
 
 def text_blocks(root: Node) -> Iterator[tuple]:
     """Distinct texts of card tags, up to 90 characters."""
-    texts = (n.text() for n in root.walk() if n.tag in CARD_TAGS)
-    for t in dict.fromkeys(t for t in texts if t and len(t) <= 90):
+    texts = (n.text(most=CARD_TEXT) for n in root.walk() if n.tag in CARD_TAGS)
+    for t in dict.fromkeys(t for t in texts if t):
         yield found("block", value=t)
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import HONORIFICS, NAME_TOKEN, PLAIN_STOP, ROLE_LOCALS, TITLE_BLOCKLIST, TITLE_WORDS
+from .values import BUSINESS_STOP, NAME_TOKEN, PAGE_STOP, PROSE_STOP, TECH_STOP, TITLE_BLOCKLIST, TITLE_WORDS
 
-STOP = sorted({*PLAIN_STOP, *ROLE_LOCALS, *TITLE_WORDS, *HONORIFICS})
+STOP = sorted({*PAGE_STOP, *BUSINESS_STOP, *TECH_STOP, *PROSE_STOP})
 
 
 def words(c: Column) -> Column:

@@ -6,11 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .email import EMAIL
-from .values import NAME_TOKEN, REVERSED_ROLE, ROLE_CORE
+from .values import NAME_THEN_ADDRESS, NAME_THEN_ROLE, ROLE_CORE, ROLE_THEN_NAME
 
-PAIR = rf"(?:^|[^\p{{L}}\p{{N}}_])({NAME_TOKEN}(?:\s+{NAME_TOKEN}){{1,3}})\s*(?:,|\(|—|–|-|·|:)\s*({EMAIL})"
-PRESS = rf"(?:^|[^\p{{L}}\p{{N}}_])({NAME_TOKEN}(?:\s+{NAME_TOKEN}){{1,3}})(?:\s*,|\s+is\s+the|\s+is\s+|\s+was\s+the|\s+was\s+)\s*(?:the\s+|our\s+|as\s+|new\s+|its\s+|company'?s\s+)?((?:{ROLE_CORE})(?![\p{{L}}\p{{N}}_])(?:\s+of\s+[A-Za-z&]+(?:\s+[A-Za-z&]+)?)?)"
-REVERSED = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])({REVERSED_ROLE})(?:\s+(?:mr|ms|mrs|miss|dr|prof)\.?)?\s+({NAME_TOKEN}(?:\s+{NAME_TOKEN}){{1,2}})"
+PAIR = rf"{NAME_THEN_ADDRESS}({EMAIL})"
 
 
 def name_email(text: Column) -> tuple[Column, Column]:
@@ -20,14 +18,14 @@ def name_email(text: Column) -> tuple[Column, Column]:
 
 def pressed(text: Column) -> Column:
     """Array of (name, role) from sentences like `Ann Lee, Chief Executive Officer of X`."""
-    return F.arrays_zip(F.regexp_extract_all(text, F.lit(PRESS), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(PRESS), F.lit(2)).alias("role"))
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(NAME_THEN_ROLE), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(NAME_THEN_ROLE), F.lit(2)).alias("role"))
 
 
 def pressed_reversed(text: Column) -> Column:
     """Array of (name, role) from `Group Chairman Mr. Bo Ek`; names must look like names."""
     from .names import looks_like
 
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(REVERSED), F.lit(2)).alias("name"), F.regexp_extract_all(text, F.lit(REVERSED), F.lit(1)).alias("role"))
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(ROLE_THEN_NAME), F.lit(2)).alias("name"), F.regexp_extract_all(text, F.lit(ROLE_THEN_NAME), F.lit(1)).alias("role"))
     return F.filter(both, lambda x: looks_like(x["name"]))
 
 

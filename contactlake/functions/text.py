@@ -10,6 +10,11 @@ MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèé
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcCcDdEeEeEeEeGgGgGgIiIiIiIKkLlLlLlNnNnNnOoOoRrRrRrSsSsSsSsTtTtUuUuUuUuUuWwYyYZzZzZzSsTt"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once per row, where the optimizer would repeat it at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def accent_fold(c: Column) -> Column:
     """Letters without their marks; letters that only look marked (ł, ø, ß) stay."""
     return F.translate(c, MARKED, PLAIN)

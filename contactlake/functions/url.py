@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import BLOCKED_DOMAINS, COUNTRIES, LINK_WORDS, PEOPLE_PAGE, PRESS_PAGE, SOCIAL_EXCLUDED, SOCIAL_PATTERNS
+from .values import BLOCKED_DOMAINS, COUNTRIES, LINK_WORDS, PEOPLE_PAGE, PRESS_PAGE, SOCIAL_EXCLUDED, SOCIAL_PATTERNS, TITLE_COUNT, TITLE_HEAD, TITLE_TAIL
 
 EDGE = r"(?:^|[^\p{L}\p{N}_])"
 EDGE_AFTER = r"(?:$|[^\p{L}\p{N}_])"
@@ -113,22 +113,20 @@ def company_from_title(title: Column, domain: Column) -> Column:
 
 def name_from_title(title: Column) -> Column:
     """A candidate company name: list and review wording dropped; null unless 3 to 60 characters."""
-    out = F.regexp_replace(F.trim(title), r"(?i)\s*[-–|]\s*(?:source|review|top|best|compare|list|directory).*$", "")
-    out = F.regexp_replace(out, r"(?i)^top\s+[0-9]+\s+", "")
-    out = F.btrim(F.regexp_replace(out, r"(?i)^[0-9]+\s+(?:top|best)\s+", ""), F.lit(" -–|"))
+    out = F.regexp_replace(F.trim(title), TITLE_TAIL, "")
+    out = F.regexp_replace(out, TITLE_HEAD, "")
+    out = F.btrim(F.regexp_replace(out, TITLE_COUNT, ""), F.lit(" -–|"))
     return F.when((F.length(F.trim(title)) >= 4) & F.length(out).between(3, 60), out)
 
 
 def _country(which: int, country: Column, default: str | None) -> Column:
-    rows = [x.strip().rsplit(" ", 2) for x in COUNTRIES.replace("\n", " ").split(";")]
-    pairs = [F.lit(x) for r in rows for x in (r[0].strip(), ("Q" if which == 2 else "") + r[which])]
-    found = F.try_element_at(F.create_map(*pairs), F.lower(country))
+    found = F.try_element_at(F.create_map(*[F.lit(x) for name, told in COUNTRIES.items() for x in (name, told[which])]), F.lower(country))
     return F.coalesce(found, F.lit(default)) if default else found
 
 
 def country_code(country: Column, default: str = "ZZ") -> Column:
-    return _country(1, country, default)
+    return _country(0, country, default)
 
 
 def country_item(country: Column) -> Column:
-    return _country(2, country, None)
+    return _country(1, country, None)

@@ -86,7 +86,44 @@ def dashboard(companies: DataFrame, emails: DataFrame, phones: DataFrame, people
     h = visible(phones, companies).agg(F.count("*").alias("phones"))
     s = visible(scrapes, companies).agg(F.count_if(F.col("status").isin("ok", "partial")).alias("scraped_companies"))
     u = without(live, scrapes).agg(F.count("*").alias("unscraped"))
-    return one_row(c, e, p, h, s, u).select("companies", "countries", "emails", "phones", "people", "scraped_companies", (F.col("ve") + F.col("vp")).alias("verified"), "derived", "unscraped")
+    b = companies.agg(F.count_if("blocked").alias("blocked"))
+    return one_row(c, e, p, h, s, u, b).select("companies", "countries", "emails", "phones", "people", "scraped_companies", (F.col("ve") + F.col("vp")).alias("verified"), "derived", "blocked", "unscraped")
+
+
+def snapshot(companies: DataFrame, emails: DataFrame, people: DataFrame, scrapes: DataFrame, final: tuple[str, ...]) -> DataFrame:
+    """The worker's eleven KPIs over companies that aren't blocked, and what its queues still hold as a nested record."""
+    live = companies.where(~F.col("blocked"))
+    pending = F.col("verdict").isNull() | ~F.col("verdict").isin(*final)
+    status = lambda s: F.count_if(F.col("email_status") == s)
+    rows = one_row(
+        live.agg(F.count("*").alias("companies"), F.count_distinct("country").alias("countries")),
+        visible(people, companies).agg(F.count("*").alias("people"), status("verified").alias("verified_people"), status("pattern-derived").alias("derived_people"), status("published").alias("published_people")),
+        visible(emails, companies).agg(F.count("*").alias("emails"), F.count_if(F.col("verdict") == "deliverable").alias("verified_emails"), F.count_if(pending).alias("pending_verify")),
+        without(live, scrapes).agg(F.count("*").alias("unscraped")),
+        without(live, people).agg(F.count("*").alias("zero_people")),
+    )
+    kpis = rows.select("companies", "countries", "people", "verified_people", "derived_people", "published_people", "emails", "verified_emails", "unscraped", "zero_people", "pending_verify")
+    return kpis.withColumn("pipeline", F.struct(F.col("unscraped").alias("scrape_remaining"), F.col("zero_people").alias("people_remaining"), F.col("pending_verify").alias("verify_remaining")))
+
+
+def bench_totals(scrapes: DataFrame, times: DataFrame, emails: DataFrame, phones: DataFrame, people: DataFrame, socials: DataFrame) -> DataFrame:
+    """Outcomes, success rate, mean seconds and six sums over scrapes (company_id, status) with times (company_id, seconds)."""
+    rows = scrapes.select("company_id", "status").join(times, "company_id")
+    of = lambda df, **more: df.groupBy("company_id").agg(*[x.alias(n) for n, x in more.items()])
+    n = F.count("*")
+    for facts in (
+        of(emails, emails=n),
+        of(phones, phones=n),
+        of(people, people=n, linkedin_profiles=F.count_if(F.col("linkedin_type") == "profile"), derived_emails=F.count_if(F.col("email_status") == "pattern-derived")),
+        of(socials, socials=n),
+    ):
+        rows = rows.join(facts, "company_id", "left")
+    count = lambda *s: F.count_if(F.col("status").isin(*s))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c)
+    return rows.agg(
+        n.alias("n"), count("ok").alias("ok"), count("partial").alias("partial"), count("failed").alias("failed"), F.round(100.0 * count("ok", "partial") / n, 1).alias("success_rate"), F.round(F.sum("seconds") / n, 3).alias("avg_seconds"),
+        *map(total, ("emails", "phones", "people", "linkedin_profiles", "socials", "derived_emails")),
+    )
 
 
 def export_rows(companies: DataFrame, emails: DataFrame, phones: DataFrame, people: DataFrame, socials: DataFrame) -> DataFrame:
@@ -108,5 +145,8 @@ def read_csv(spark, schema, path: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """The export as one CSV file with a header, kinds in order. An empty text and none look the same there."""
-    rows.orderBy("ord", "company", "value").drop("ord").coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    """The export as CSV files that follow each other in order, each with a header. An empty text and none look the same there.
+
+    The sort deals rows out by range, so no task holds all of them.
+    """
+    rows.orderBy("ord", "company", "value").drop("ord").write.mode("overwrite").csv(path, header=True, escape='"')

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, keys: list, order: list, k: int = 1) -> DataFrame:
-    """The first k rows of each key."""
+def ranked(df: DataFrame, keys: list, order: list, k: int = 1, keep: str | None = None) -> DataFrame:
+    """The first k rows of each key; keep: a column for their place, from 1."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    out = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    return out.withColumnRenamed("_rn", keep) if keep else out.drop("_rn")
 
 
 def keep_first(df: DataFrame, keys: list, ord_col: str = "ord") -> DataFrame:

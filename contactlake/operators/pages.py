@@ -18,6 +18,12 @@ cloudpickle.register_pickle_by_value(contactlake.functions)
 SCHEMA = "page_id long, stage int, pos int, kind string, name string, title string, email string, phone string, link string, value string"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where fewer partitions hold them, as a small file's do; larger inputs stay where they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def parsed(pages: DataFrame, *stages: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, stage, pos, kind, name, title, email, phone, link, value) of the stages' finds; stage and pos order them."""
     work = [(i, dom.STAGES[s]) for i, s in enumerate(stages)]
@@ -35,7 +41,7 @@ def parsed(pages: DataFrame, *stages: str, id_col: str = "page_id", html_col: st
             columns = list(zip(*out, strict=True)) if out else [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, SCHEMA)
+    return spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))).mapInArrow(run, SCHEMA)
 
 
 def mapped(rows: DataFrame, key: str, value: str, f, schema: str) -> DataFrame:

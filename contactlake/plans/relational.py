@@ -6,11 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contactlake.operators import directory as d
+from contactlake.functions.names import STOP
+from contactlake.functions.values import TITLE_BLOCKLIST, TITLE_WORDS
 from contactlake.operators.keep import digits, keep_first, keep_last, mode_first_seen, ranked
+from contactlake.operators.scrape import clean_people
 
 from .registry import query
 
-L = lambda c: F.col(c).cast("long").alias(c)
+
+def words(listed) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in listed)
+
 
 # scans
 
@@ -30,19 +36,6 @@ def scan_ci_lookup(t):
     return t.companies.where((F.lower("name") == F.lower(F.lit("CUSTOMER#000000011"))) | (F.lower("domain") == F.lower(F.lit("C12.Example.Com")))).select("id", "name")
 
 
-SEEDS = [("Acme Tracking", "acme.example.com", "Germany", "Telematics", 120), ("Borealis", "borealis.example.org", "Norway", "Hardware", None), ("Acme Twin", "acme.example.com", "France", "Software", 7)]
-
-
-@query("source_seed", """
-    select name, domain, concat('https://www.', domain) as website, country, category, cast(employees as int) as employees,
-           concat(name, ' — ', category, ' provider in ', country, '.') as description
-    from (values ('Acme Tracking', 'acme.example.com', 'Germany', 'Telematics', 120), ('Borealis', 'borealis.example.org', 'Norway', 'Hardware', null)) v(name, domain, country, category, employees)""")
-def source_seed(t):
-    rows = t.spark.createDataFrame([(i, *r) for i, r in enumerate(SEEDS)], "ord int, name string, domain string, country string, category string, employees int")
-    first = keep_first(rows, ["domain"])
-    return first.select("name", "domain", F.concat(F.lit("https://www."), "domain").alias("website"), "country", "category", "employees", F.concat("name", F.lit(" — "), "category", F.lit(" provider in "), "country", F.lit(".")).alias("description"))
-
-
 @query("source_pages", "select page_id, url, length(html)::bigint as n from pages where html is not null and url is not null")
 def source_pages(t):
     return t.pages.where("html is not null and url is not null").select("page_id", "url", F.length("html").cast("long").alias("n"))
@@ -51,7 +44,9 @@ def source_pages(t):
 @query("source_search_results", """
     select query_ord, rank, title, url from (select *, min(provider) over (partition by query_ord) as best from search_results) s where provider = best""")
 def source_search_results(t):
-    return t.search_results.withColumn("best", F.min("provider").over(Window.partitionBy("query_ord"))).where("provider = best").select("query_ord", "rank", "title", "url")
+    # a query with very many results is counted before it moves; its rows stay where they lie
+    best = t.search_results.groupBy("query_ord").agg(F.min("provider").alias("provider"))
+    return t.search_results.join(best, ["query_ord", "provider"], "left_semi").select("query_ord", "rank", "title", "url")
 
 
 @query("source_sparql", """
@@ -271,7 +266,7 @@ DASHBOARD = """
            (select count(*) from scrapes s join live on live.id = s.company_id where status in ('ok', 'partial')) as scraped_companies,
            (select count(*) from e where verdict = 'deliverable') + (select count(*) from p where email_status = 'verified') as verified,
            (select count(*) from p where email_status = 'pattern-derived') as derived,
-           (select count(*) from live where id not in (select company_id from scrapes)) as unscraped"""
+           (select count(*) from companies where blocked) as blocked, (select count(*) from live where id not in (select company_id from scrapes)) as unscraped"""
 
 
 @query("agg_stats_dashboard", DASHBOARD)
@@ -287,21 +282,16 @@ def agg_sum_of_counts(t):
 
 
 @query("agg_snapshot", """
-    with live as (select * from companies where not blocked)
-    select (select count(*) from live) as companies, (select count(distinct country) from live) as countries, (select count(*) from emails) as emails, (select count(*) from people) as people,
-           (select count(*) from live where id not in (select company_id from scrapes)) as unscraped, (select count(*) from live where id not in (select company_id from people)) as zero_people,
-           (select count(*) from emails e join live on live.id = e.company_id where verdict is null or verdict not in ('deliverable', 'rejected', 'catchall', 'invalid', 'disposable')) as pending""")
+    with live as (select * from companies where not blocked),
+         e as (select e.* from emails e join live on live.id = e.company_id), p as (select p.* from people p join live on live.id = p.company_id),
+         k as (select (select count(*) from live) as companies, (select count(distinct country) from live) as countries, (select count(*) from p) as people, (select count(*) from p where email_status = 'verified') as verified_people,
+           (select count(*) from p where email_status = 'pattern-derived') as derived_people, (select count(*) from p where email_status = 'published') as published_people, (select count(*) from e) as emails,
+           (select count(*) from e where verdict = 'deliverable') as verified_emails, (select count(*) from live where id not in (select company_id from scrapes)) as unscraped,
+           (select count(*) from live where id not in (select company_id from people)) as zero_people,
+           (select count(*) from e where verdict is null or verdict not in ('deliverable', 'rejected', 'catchall', 'invalid', 'disposable')) as pending_verify)
+    select *, to_json({'scrape_remaining': unscraped, 'people_remaining': zero_people, 'verify_remaining': pending_verify})::varchar as pipeline from k""")
 def agg_snapshot(t):
-    live = d.filtered(t.companies)
-    pending = F.col("verdict").isNull() | ~F.col("verdict").isin(*FINAL)
-    return d.one_row(
-        live.agg(F.count("*").alias("companies"), F.count_distinct("country").alias("countries")),
-        t.emails.agg(F.count("*").alias("emails")),
-        t.people.agg(F.count("*").alias("people")),
-        d.without(live, t.scrapes).agg(F.count("*").alias("unscraped")),
-        d.without(live, t.people).agg(F.count("*").alias("zero_people")),
-        d.visible(t.emails, t.companies).agg(F.count_if(pending).alias("pending")),
-    )
+    return d.snapshot(t.companies, t.emails, t.people, t.scrapes, FINAL).withColumn("pipeline", F.to_json("pipeline"))
 
 
 VERDICTS = ("deliverable", "catchall", "mx-ok", "rejected", "blocked", "invalid", "disposable")
@@ -318,18 +308,23 @@ def agg_verdict_summary(t):
 
 @query("agg_majority_domain", """
     select company_id, value, n from (select company_id, event as value, n, row_number() over (partition by company_id order by n desc, first) as rn
-      from (select company_id, split_part(email, '.', 1) as event, count(*) as n, min(id) as first from emails group by all) x) y where rn = 1""")
+      from (select company_id, split_part(email, '@', 2) as event, count(*) as n, min(id) as first from emails group by all) x) y where rn = 1""")
 def agg_majority_domain(t):
-    return mode_first_seen(t.emails, "company_id", F.split_part("email", F.lit("."), F.lit(1)), "id")
+    return mode_first_seen(t.emails, "company_id", F.split_part("email", F.lit("@"), F.lit(2)), "id")
+
 
+BENCH = """
+    select count(*) as n, count(*) filter (s.status = 'ok') as ok, count(*) filter (s.status = 'partial') as partial, count(*) filter (s.status = 'failed') as failed,
+           round(100.0 * count(*) filter (s.status in ('ok', 'partial')) / count(*), 1)::double as success_rate, round(sum(seconds) / count(*), 3)::double as avg_seconds, sum(coalesce(e.n, 0))::bigint as emails, sum(coalesce(h.n, 0))::bigint as phones,
+           sum(coalesce(p.n, 0))::bigint as people, sum(coalesce(p.profiles, 0))::bigint as linkedin_profiles, sum(coalesce(o.n, 0))::bigint as socials, sum(coalesce(p.derived, 0))::bigint as derived_emails
+    from {scrapes} s join scrape_times using (company_id) left join (select company_id, count(*) as n from emails group by all) e on e.company_id = s.company_id left join (select company_id, count(*) as n from phones group by all) h on h.company_id = s.company_id
+    left join (select company_id, count(*) as n, count(*) filter (linkedin_type = 'profile') as profiles, count(*) filter (email_status = 'pattern-derived') as derived from people group by all) p on p.company_id = s.company_id
+    left join (select company_id, count(*) as n from socials group by all) o on o.company_id = s.company_id"""
 
-@query("agg_bench_totals", """
-    select count(*) as n, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'partial') as partial, count(*) filter (status = 'failed') as failed,
-           round(100.0 * count(*) filter (status = 'ok') / count(*), 1)::double as success_rate, round(sum(pages_checked)::double / count(*), 3) as avg_pages, sum(pages_checked)::bigint as pages from scrapes""")
+
+@query("agg_bench_totals", BENCH.replace("{scrapes}", "scrapes"))
 def agg_bench_totals(t):
-    n = F.count("*")
-    count = lambda s: F.count_if(F.col("status") == s)
-    return t.scrapes.agg(n.alias("n"), count("ok").alias("ok"), count("partial").alias("partial"), count("failed").alias("failed"), F.round(100.0 * count("ok") / n, 1).alias("success_rate"), F.round(F.sum("pages_checked").cast("double") / n, 3).alias("avg_pages"), F.sum("pages_checked").alias("pages"))
+    return d.bench_totals(t.scrapes, t.scrape_times, t.emails, t.phones, t.people, t.socials)
 
 
 @query("agg_scrape_summary", "select count(*) filter (status <> 'failed') as processed, count(*) filter (status = 'failed') as failed, count(*) as total from scrapes")
@@ -369,12 +364,16 @@ def dedupe_social(t):
     return keep_first(t.found_socials.withColumn("k", F.split_part("url", F.lit("?"), F.lit(1))), ["company_id", "network", "k"]).select("company_id", "network", "url", "ord")
 
 
-@query("dedupe_person", """
-    select company_id, name, ord from (select *, row_number() over (partition by company_id order by ord) as k
-      from (select *, row_number() over (partition by company_id, lower(name) order by ord) rn from found_people) x where rn = 1) y where k <= 3""")
+CLEAN_PEOPLE = f"""
+    select company_id, name, ord from (select *, row_number() over (partition by company_id order by ord) as k from (select *, row_number() over (partition by company_id, lower(name) order by ord) as rn from (
+      select p.company_id, p.name, p.ord, string_split(lower(p.name), ' ') as w, lower(coalesce(p.title, '')) as lt, p.email, lower(c.name) as cn from {{found}} p join companies c on c.id = p.company_id) a
+      where not (length(name) < 3 or len(list_intersect(w, [{words(STOP)}])) > 0 or len(w) not between 2 and 4 or len(list_intersect(w, [{words(TITLE_WORDS)}])) > 0 or len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > 0
+        or (len(w) = 4 and w[1] = w[3] and w[2] = w[4]) or lower(name) = cn or (lt = '' and email is null) or len(list_filter([{words(TITLE_BLOCKLIST)}], lambda b: contains(lt, b))) > 0 or len(list_intersect(w, string_split(cn, ' '))) > 0)) x where rn = 1) y where k <= 60"""
+
+
+@query("dedupe_person", CLEAN_PEOPLE.replace("{found}", "found_people"))
 def dedupe_person(t):
-    first = keep_first(t.found_people.withColumn("k", F.lower("name")), ["company_id", "k"])
-    return ranked(first, ["company_id"], [F.col("ord")], 3).select("company_id", "name", "ord")
+    return clean_people(t.found_people, t.companies).select("company_id", "name", "ord")
 
 
 @query("dedupe_first_domain", f"select domain, title from (select {HOST} as domain, title, row_number() over (partition by {HOST} order by query_ord, rank) rn from search_results) x where rn = 1")
@@ -460,18 +459,6 @@ def sample_stride(t):
     return strided.select("id", "country").unionByName(live.where(F.col("domain").isin("c1.example.com", "c2.example.com")).select("id", "country")).distinct()
 
 
-@query("topk_domain_guess", """
-    select company, domain, score from (select *, row_number() over (partition by company order by score desc, pos) rn from (
-      select c.name as company, r.domain, r.rank as pos, (case when contains(lower(r.title), lower(substr(r.title, 1, 4))) then 2.0 else 0.0 end
-        + case when r.domain like '%.com' then 1.0 when r.domain like '%.io' or r.domain like '%.ai' or r.domain like '%.org' then 0.5 else 0.0 end)::double as score
-      from (select name, id from companies where id < 5) c join (select regexp_extract(lower(url), '://([^/?#]*)', 1) as domain, title, rank, query_ord from search_results) r on r.query_ord = c.id) x) y where rn = 1""")
-def topk_domain_guess(t):
-    c = t.companies.where("id < 5").select(F.col("name").alias("company"), F.col("id").alias("query_ord"))
-    r = t.search_results.select(F.regexp_extract(F.lower("url"), "://([^/?#]*)", 1).alias("domain"), "title", F.col("rank").alias("pos"), "query_ord")
-    score = F.when(F.lower("title").contains(F.lower(F.substring("title", 1, 4))), 2.0).otherwise(0.0) + F.when(F.col("domain").endswith(".com"), 1.0).when(F.col("domain").rlike(r"\.(io|ai|org)$"), 0.5).otherwise(0.0)
-    return r.join(c, "query_ord").withColumn("score", score).groupBy("company").agg(F.max_by(F.struct("domain", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("x")).select("company", "x.domain", "x.score")
-
-
 # set operations
 
 
@@ -495,10 +482,9 @@ def union_contacts_export(t):
 
 @query("sink_csv_export", EXPORT.replace("select ord, ", "select ", 1).replace("value, detail", "value, nullif(detail, '') as detail", 1))
 def sink_csv_export(t):
-    import tempfile
+    from contactlake.streaming.worker import folder
 
-    at = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="contactlake-")
-    path = f"{at}/export-{t.spark.sparkContext.applicationId}"
+    path = folder(t.spark, "export")
     rows = d.export_rows(t.companies, t.emails, t.phones, t.people, t.socials)
     d.write_csv(rows, path)
     return d.read_csv(t.spark, rows.drop("ord").schema, path)

@@ -257,36 +257,6 @@ def crawl_frontier(t):
     return frontier(links, 4)
 
 
-@query("source_page_discover", f"""
-    select site, url from (select *, row_number() over (partition by site order by stage, url) as rn from (select site, url, min(stage) as stage from (select distinct {"regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', ''), '^m\\.', '')"} as site, url, case when regexp_matches(url, '/en/') then 0 else 1 end as stage from pages) a group by site, url) b) c where rn <= 10""")
-def source_page_discover(t):
-    rows = t.pages.select(url.url_domain(F.col("url")).alias("site"), "url", F.when(F.col("url").contains("/en/"), 0).otherwise(1).alias("stage"))
-    best = rows.groupBy("site", "url").agg(F.min("stage").alias("stage"))
-    return ranked(best, ["site"], [F.col("stage"), F.col("url")], 10).select("site", "url")
-
-
-@query("source_guess_paths", """
-    select id, path from (select c.id, p.path, row_number() over (partition by c.id order by p.pos) as rn from companies c, (values ('/about/leadership', 0), ('/team', 7), ('/about-us', 17), ('/contact', 21), ('/press', 31)) p(path, pos) where (c.id + p.pos) % 3 <> 0) x where rn <= 3""")
-def source_guess_paths(t):
-    from contactlake.functions.values import GUESS_PATHS
-
-    # one row per path that exists on a site, found by a join with what was fetched
-    known = t.spark.createDataFrame([(p, i) for i, p in enumerate(GUESS_PATHS)], "path string, pos int").where(F.col("path").isin("/about/leadership", "/team", "/about-us", "/contact", "/press"))
-    fetched = t.companies.select("id", F.explode(F.array(*map(F.lit, GUESS_PATHS))).alias("path")).join(F.broadcast(known), "path").where((F.col("id") + F.col("pos")) % 3 != 0)
-    return ranked(fetched, ["id"], [F.col("pos")], 3).select("id", "path")
-
-
-@query("topk_wiki_pages", """
-    select id, title from (select *, row_number() over (partition by id order by score desc, pos) as rn from (select c.id, t.title, t.pos, (case when split_part(lower(t.title), ' ', 1) = 'customer' then 5 else 0 end + case when lower(t.title) = lower(c.name) then 3 else 0 end
-      + case when regexp_matches(t.title, '(?i)\\((company|business)\\)|inc\\.?$') then 4 else 0 end) as score from (select id, name from companies where id < 40) c, (values ('Customer (company)', 0), ('Customer', 1), ('Film', 2), ('Acme Inc.', 3)) t(title, pos)) x where score >= 5) y where rn <= 3""")
-def topk_wiki_pages(t):
-    titles = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(x).alias("title")) for i, x in enumerate(("Customer (company)", "Customer", "Film", "Acme Inc."))])
-    rows = t.companies.where("id < 40").select("id", "name", F.explode(titles).alias("x")).select("id", "name", "x.pos", "x.title")
-    brand = F.get(text.alnum_tokens(F.col("name")), F.lit(0))
-    score = F.when(F.get(text.alnum_tokens(F.col("title")), F.lit(0)) == brand, 5).otherwise(0) + F.when(F.lower("title") == F.lower("name"), 3).otherwise(0) + F.when(F.col("title").rlike(r"(?i)\((company|business)\)|inc\.?$"), 4).otherwise(0)
-    return ranked(rows.withColumn("score", score).where("score >= 5"), ["id"], [F.col("score").desc(), F.col("pos")], 3).select("id", "title")
-
-
 @query("join_setdefault_union", """
     select company_id, lname, source from (select *, row_number() over (partition by company_id, lname order by p) as rn from (select distinct company_id, lower(name) as lname, 'knowledge' as source, 0 as p from people where id % 3 = 0 union all select distinct company_id, lower(name), 'search', 1 from people) x) y where rn = 1""")
 def join_setdefault_union(t):
@@ -304,94 +274,13 @@ def join_bio_links(t):
     return p.join(bios, ["company_id", "k"], "left").select("id", F.coalesce("own", "link").alias("link"))
 
 
-@query("source_wikitext", """
-    with recursive hop as (select page_id as start, page_id as cur, 0 as n from pages where page_id < 40 union all select start, cur - 7, n + 1 from hop where cur % 3 = 0 and cur >= 7 and n < 3)
-    select start, arg_max(cur, n) as final, max(n)::bigint as hops from hop group by start""")
-def source_wikitext(t):
-    """Redirects followed three times at most, never to a page already seen."""
-    pages = t.pages.where("page_id < 40").select(F.col("page_id").alias("start"))
-    redirects = pages.where("start % 3 = 0 and start >= 7").select(F.col("start").alias("from"), (F.col("start") - 7).alias("to"))
-    at = pages.select("start", F.col("start").alias("at"), F.lit(0).cast("long").alias("hops"), F.array("start").alias("seen"))
-    for _ in range(3):
-        at = at.join(redirects, (F.col("at") == F.col("from")) & ~F.array_contains("seen", F.col("to")), "left")
-        at = at.select("start", F.coalesce("to", "at").alias("at"), (F.col("hops") + F.col("to").isNotNull().cast("long")).alias("hops"), F.when(F.col("to").isNotNull(), F.array_append("seen", F.col("to"))).otherwise(F.col("seen")).alias("seen"))
-    return at.select("start", F.col("at").alias("final"), "hops")
-
-
-@query("source_robots", "select page_id, not (page_id % 4 = 0 or (page_id % 4 = 1 and regexp_matches(url, '://[^/]*/(de|fr)/'))) as allowed from pages")
-def source_robots(t):
-    """Longest matching prefix decides, allow before disallow; a refused robots file disallows all, any other failure allows all."""
-    p = url.path(F.col("url"))
-    rules = F.array(*map(F.lit, ("/de/", "/fr/")))
-    status = F.when(F.col("page_id") % 4 == 0, 403).when(F.col("page_id") % 4 == 1, 200).otherwise(404)
-    blocked = F.exists(rules, lambda x: p.startswith(x))
-    return t.pages.select("page_id", F.when(status.isin(401, 403), False).when(status != 200, True).otherwise(~blocked).alias("allowed"))
-
-
 @query("snippet_relevance_guard", "select page_id, contains(lower(title), 'the') or contains(lower(title), 'que') as ok from (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages) x")
 def snippet_relevance_guard(t):
     brand = F.filter(text.alnum_tokens(F.lit("The Que co")), lambda w: F.length(w) >= 3)
     return t.pages.select("page_id", F.exists(brand, lambda w: F.lower(text.html_title(F.col("html"))).contains(w)).alias("ok"))
 
 
-@query("stream_throttle_breaker", """
-    with e as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as i, event_type in ('error', 'click') as bad from events),
-      g as (select *, sum(case when bad then 0 else 1 end) over (partition by user_id order by i) as grp from e), k as (select *, sum(case when bad then 1 else 0 end) over (partition by user_id, grp order by i) as k from g),
-      c as (select user_id, min(i) as cut from k where k >= 3 group by user_id)
-    select e.event_id from e left join c on c.user_id = e.user_id where c.cut is null or e.i <= c.cut""")
-def stream_throttle_breaker(t):
-    """Rows of a run of queries up to the third miss in a row."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = t.events.select("event_id", "user_id", F.col("event_type").isin("error", "click").alias("bad")).withColumn("grp", F.sum((~F.col("bad")).cast("int")).over(w))
-    e = e.withColumn("k", F.sum(F.col("bad").cast("int")).over(Window.partitionBy("user_id", "grp").orderBy("event_id")))
-    return e.withColumn("cut", F.min(F.when(F.col("k") >= 3, F.col("event_id"))).over(Window.partitionBy("user_id"))).where("cut is null or event_id <= cut").select("event_id")
-
-
-@query("stream_queue_drain", "select company_id, name from (select id as company_id, name, row_number() over (order by employees desc nulls last, name, id) as rn from companies where not blocked) x where rn <= 2")
-def stream_queue_drain(t):
-    return t.companies.where("not blocked").orderBy(F.col("employees").desc_nulls_last(), "name", "id").limit(2).select(F.col("id").alias("company_id"), "name")
-
-
-@query("stream_domain_cache", "select distinct split_part(email, '@', 2) as domain from emails")
-def stream_domain_cache(t):
-    return t.emails.select(email.domain(F.col("email")).alias("domain")).dropDuplicates(["domain"])
-
-
 @query("pipeline_clear_legacy", f"select id, name from blocklist where lower(name) not in ({quoted(['customer#000000007', 'customer#000000014'])})")
 def pipeline_clear_legacy(t):
     legacy = t.spark.createDataFrame([("customer#000000007",), ("customer#000000014",)], "k string")
     return t.blocklist.withColumn("k", F.lower("name")).join(F.broadcast(legacy), "k", "left_anti").select("id", "name")
-
-
-@query("pipeline_scrape_company", """
-    select c.id, s.company_id is not null as cached from companies c left join (select * from scrapes where status <> 'failed') s on s.company_id = c.id where not c.blocked""")
-def pipeline_scrape_company(t):
-    done = t.scrapes.where("status <> 'failed'").select(F.col("company_id").alias("id"), F.lit(True).alias("hit"))
-    return t.companies.where("not blocked").join(done, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("cached"))
-
-
-@query("pipeline_discover_country", """
-    with f as (select domain, title from (select regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', ''), '^m\\.', '') as domain, title, row_number() over (partition by regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', ''), '^m\\.', '') order by query_ord, rank) as rn from search_results) x where rn = 1)
-    select domain, case when domain like '%.net' then 'blocked' when domain in (select domain from companies) then 'known' else 'new' end as outcome from f""")
-def pipeline_discover_country(t):
-    rows = t.search_results.withColumn("domain", url.url_domain(F.col("url")))
-    first = ranked(rows, ["domain"], [F.col("query_ord"), F.col("rank")]).select("domain", "title")
-    known = t.companies.select("domain", F.lit(True).alias("k")).dropDuplicates(["domain"])
-    out = F.when(url.blocked(F.col("domain"), ["net"]) | F.col("domain").endswith(".net"), "blocked").when(F.col("k"), "known").otherwise("new")
-    return first.join(known, "domain", "left").select("domain", out.alias("outcome"))
-
-
-@query("pipeline_lookup", "select id, 'existing' as outcome from companies where lower(name) = 'customer#000000004' union all select null, 'guess' where not exists (select 1 from companies where lower(name) = 'customer#000000004')")
-def pipeline_lookup(t):
-    found = t.companies.where(F.lower("name") == "customer#000000004").agg(F.min("id").alias("id"))
-    return found.select("id", F.when(F.col("id").isNotNull(), "existing").otherwise("guess").alias("outcome"))
-
-
-@query("pipeline_startup", f"select id, blocked or exists (select 1 from blocklist e where {rule('c', 'e')}) as blocked from companies c")
-def pipeline_startup(t):
-    return b.flags(t.companies, t.blocklist).select("id", (F.col("was") | F.col("blocked")).alias("blocked"))
-
-
-@query("pipeline_bench", "select count(*) as n, count(*) filter (status = 'ok') as ok, max(pages_checked)::bigint as most from scrapes")
-def pipeline_bench(t):
-    return t.scrapes.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"), F.max("pages_checked").cast("long").alias("most"))

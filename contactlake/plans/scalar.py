@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contactlake.functions import classify, email, markup, names, phone, text, url
 from contactlake.functions.values import BLOCKED_DOMAINS, DISPOSABLE, EMAIL_CATEGORIES, JUNK_MARKERS, LINK_WORDS, NEGATIVE, PEOPLE_PAGE, POSITIVE, PRESS_PAGE, ROLE_LOCALS, TITLE_BLOCKLIST, TITLE_STRONG, TITLE_WORDS, TLDS, TWO_LABEL
+from contactlake.operators.frontier import soft_404
 
 from .registry import query
 
@@ -420,20 +421,10 @@ def html_meta(t):
     return t.events.select("event_id", text.html_meta(h, "description").alias("content"))
 
 
-@query("html_soft404", "select page_id, contains(lower(title), 'not found') or contains(title, '7') as soft from (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages) x")
+@query("html_soft404", "select page_id, contains(lower(title), 'not found') or contains(title, '404') as soft from (select page_id, case page_id % 4 when 0 then 'Page Not Found' when 1 then concat('Error 404', page_id) else regexp_extract(html, '<title>([^<]*)</title>', 1) end as title from pages) x")
 def html_soft404(t):
-    title = F.lower(text.html_title(F.col("html")))
-    return t.pages.select("page_id", (title.contains("not found") | title.contains("7")).alias("soft"))
-
-
-@query("source_sitemap", """
-    select event_id, url from (select *, row_number() over (partition by event_id order by score, pos) as rn from (select event_id, u.url as url, u.pos as pos, case when regexp_matches(u.url, '/(team|leadership)/') then 0 when regexp_matches(u.url, '/about/') then 1 when regexp_matches(u.url, '/news/') then 2 else 9 end as score
-      from events, (values ('https://a.example.com/shop/', 0), ('https://a.example.com/news/', 1), ('https://a.example.com/about/', 2), ('https://a.example.com/team/', 3), ('https://a.example.com/leadership/', 4)) u(url, pos) where event_id < 50) y) x where rn <= 3""")
-def source_sitemap(t):
-    from contactlake.operators.frontier import sitemap_urls
-
-    xml = F.lit("<urlset>" + "".join(f"<url><loc> https://a.example.com/{p}/ </loc></url>" for p in ("shop", "news", "about", "team", "leadership")) + "</urlset>")
-    return sitemap_urls(t.events.where("event_id < 50").select("event_id", xml.alias("xml")), "event_id", 3)
+    title = F.when(F.col("page_id") % 4 == 0, "Page Not Found").when(F.col("page_id") % 4 == 1, F.concat(F.lit("Error 404"), F.col("page_id").cast("string"))).otherwise(text.html_title(F.col("html")))
+    return t.pages.select("page_id", soft_404(title).alias("soft"))
 
 
 @query("json_address", "select event_id, concat_ws(', ', concat(cast(event_id as varchar), ' Rd'), event_type, case when event_id % 3 = 0 then 'DE' end) as address from events")
@@ -491,8 +482,7 @@ def markup_clean_role(t):
       from (select doc_id, lower(ti) as ti, concat_ws(' ', lower(ti), '', substr(lower(text), 1, 4000)) as blob from (select doc_id, text, case doc_id % 4 when 0 then 'Fleet Vehicle Home' when 1 then 'Online dictionary' else 'Welcome' end as ti from documents) z) y) x""")
 def classify_relevance(t):
     title = F.expr("case doc_id % 4 when 0 then 'Fleet Vehicle Home' when 1 then 'Online dictionary' else 'Welcome' end")
-    ok, why = classify.relevance(title, F.lit(""), F.col("text"))
-    return t.documents.select("doc_id", ok.alias("ok"), why.alias("reason"))
+    return t.documents.select("doc_id", classify.verdict(title, F.lit(""), F.col("text")).alias("v")).select("doc_id", "v.ok", F.col("v.why").alias("reason"))
 
 
 @query("detect_junk_serp", f"""

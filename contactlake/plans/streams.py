@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from contactlake.functions.values import EXPANSION_COUNTRIES
+from contactlake.operators import directory as d
 from contactlake.streaming import worker as w
 
 from .registry import query
+from .relational import FINAL
 
 
 def stream(t):
@@ -36,6 +40,65 @@ def stream_incremental_merge(t):
     return w.merged_stream(stream(t), t.spark, ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "value")
 
 
+@query("stream_domain_cache", "select domain, exists (select 1 from mx where mx.domain = e.domain) as has_mx from (select distinct concat('c', user_id, '.example.com') as domain from events) e")
+def stream_domain_cache(t):
+    addresses = stream(t).select(F.concat(F.lit("a@c"), F.col("user_id").cast("string"), F.lit(".example.com")).alias("email"))
+    return w.domain_cache(addresses, t.mx, t.spark)
+
+
+#: Fixed: how much each job takes from its queue in a cycle, and how many companies a country should have.
+TAKES = {"discover": 1, "scrape": 2, "people": 2, "verify": 8}
+ENOUGH = 65
+
+
+def queues(companies, emails, people, scrapes, cursor: int = 0, takes=TAKES, enough: int = ENOUGH):
+    """(queue, pos, item): what each job takes next. discover: the country with the fewest companies if they aren't enough, else one of those it may expand to, in turn by cursor."""
+    live = d.filtered(companies)
+    few = live.where("country <> 'Unknown'").groupBy("country").agg(F.count("*").alias("c")).where(F.col("c") < enough).orderBy("c", "country").limit(takes["discover"]).select("country")
+    pool = companies.sparkSession.createDataFrame(list(enumerate(EXPANSION_COUNTRIES)), "i int, country string")
+    left = pool.join(live.select("country").distinct(), "country", "left_anti")
+    size = left.agg(F.count("*").alias("n")).select(F.when(F.col("n") > 0, F.col("n")).otherwise(F.lit(len(EXPANSION_COUNTRIES))).alias("n"), (F.col("n") == 0).alias("all"))
+    numbered = left.withColumn("all", F.lit(False)).unionByName(pool.withColumn("all", F.lit(True))).withColumn("k", F.row_number().over(Window.partitionBy("all").orderBy("i")) - 1)  # a fixed list
+    turn = numbered.join(F.broadcast(size), "all").where(F.col("k") == F.lit(cursor) % F.col("n")).select("country")
+    countries = few.withColumn("p", F.lit(0)).unionByName(turn.withColumn("p", F.lit(1))).orderBy("p").limit(takes["discover"]).select(F.lit("discover").alias("queue"), F.lit(1).alias("pos"), F.col("country").alias("item"))
+
+    def first(rows, name: str):
+        taken = d.by_size(rows).limit(takes[name])
+        pos = F.row_number().over(Window.orderBy(F.col("employees").desc_nulls_last(), "name", "id"))  # of the few rows taken
+        return taken.select(F.lit(name).alias("queue"), pos.alias("pos"), F.col("name").alias("item"))
+
+    pending = emails.where(F.col("verdict").isNull() | ~F.col("verdict").isin(*FINAL)).orderBy("id").limit(takes["verify"])
+    verify = pending.select(F.lit("verify").alias("queue"), F.row_number().over(Window.orderBy("id")).alias("pos"), F.col("email").alias("item"))
+    return countries.unionByName(first(d.without(live, scrapes), "scrape")).unionByName(first(d.without(live, people), "people")).unionByName(verify)
+
+
+@query("stream_queue_drain", f"""
+    with live as (select * from companies where not blocked)
+    select 'discover' as queue, 1 as pos, coalesce((select country from live where country <> 'Unknown' group by country having count(*) < 65 order by count(*), country limit 1), '{EXPANSION_COUNTRIES[3]}') as item
+    union all select 'scrape', rn::int, name from (select name, row_number() over (order by employees desc nulls last, name, id) as rn from live where id not in (select company_id from scrapes)) a where rn <= 2
+    union all select 'people', rn::int, name from (select name, row_number() over (order by employees desc nulls last, name, id) as rn from live where id not in (select company_id from people)) b where rn <= 2
+    union all select 'verify', rn::int, email from (select email, row_number() over (order by id) as rn from emails where verdict is null or verdict not in ('deliverable', 'rejected', 'catchall', 'invalid', 'disposable')) c where rn <= 8""")
+def stream_queue_drain(t):
+    return queues(t.companies, t.emails, t.people, t.scrapes, cursor=3)
+
+
+@query("stream_throttle_breaker", """
+    with e as (select event_id, user_id, event_id % 7 as found, row_number() over (partition by user_id order by event_id) as i, event_type in ('error', 'click') as bad from events),
+      g as (select *, sum(case when bad then 0 else 1 end) over (partition by user_id order by i) as grp, case when not bad and row_number() over (partition by user_id, found, bad order by i) = 1 then 1 else 0 end as fresh from e),
+      k as (select *, sum(case when bad then 1 else 0 end) over (partition by user_id, grp order by i) as misses, sum(fresh) over (partition by user_id order by i) as have from g),
+      c as (select user_id, min(i) as cut from k where misses >= 3 or have >= 4 group by user_id)
+    select e.event_id from e left join c on c.user_id = e.user_id where c.cut is null or e.i <= c.cut""")
+def stream_throttle_breaker(t):
+    """Queries of a run up to the third miss in a row, or the one after which twice the wanted domains (2) are known."""
+    w_ = Window.partitionBy("user_id").orderBy("event_id")
+    e = t.events.select("event_id", "user_id", (F.col("event_id") % 7).alias("found"), F.col("event_type").isin("error", "click").alias("bad"))
+    fresh = (~F.col("bad")) & (F.row_number().over(Window.partitionBy("user_id", "found", "bad").orderBy("event_id")) == 1)
+    e = e.withColumn("grp", F.sum((~F.col("bad")).cast("int")).over(w_)).withColumn("fresh", fresh.cast("int"))
+    e = e.withColumn("misses", F.sum(F.col("bad").cast("int")).over(Window.partitionBy("user_id", "grp").orderBy("event_id"))).withColumn("have", F.sum("fresh").over(w_))
+    cut = F.min(F.when((F.col("misses") >= 3) | (F.col("have") >= 2 * 2), F.col("event_id"))).over(Window.partitionBy("user_id"))
+    return e.withColumn("cut", cut).where("cut is null or event_id <= cut").select("event_id")
+
+
 def _count(batch) -> None:
     batch.count()
 
@@ -45,38 +108,50 @@ def _fail(batch) -> None:
 
 
 def _ran(t) -> w.Worker:
-    k = w.Worker(t.spark, stream(t), {"discover": _count, "verify": _fail, "scrape": _count})
+    k = w.Worker(t.spark, stream(t), {"discover": _count, "scrape": _count, "people": _count, "verify": _fail})
     k.start(once=True).awaitTermination()
     return k
 
 
-@query("stream_worker_loop")
+JOBS = "(values (0, 'discover'), (1, 'scrape'), (2, 'people'), (3, 'verify')) j(pos, job)"
+
+
+@query("stream_worker_loop", f"select 0::bigint as epoch, pos, job from {JOBS}")
 def stream_worker_loop(t):
-    return t.spark.createDataFrame(_ran(t).log, "epoch long, job string, error string").select("epoch", "job")
+    k = _ran(t)
+    k.close()
+    return k.log().select("epoch", "pos", "job")
 
 
-@query("stream_job_error_isolation")
+@query("stream_job_error_isolation", f"select job, case when job = 'verify' then 'ValueError: no server' end as error from {JOBS}")
 def stream_job_error_isolation(t):
-    return t.spark.createDataFrame(_ran(t).log, "epoch long, job string, error string")
+    k = _ran(t)
+    k.close()
+    return k.log().select("job", "error")
 
 
-@query("stream_heartbeat")
+@query("stream_heartbeat", "select false as running, 1::bigint as cycles, (select count(*) from events) as rows")
 def stream_heartbeat(t):
-    s = _ran(t).status()
-    return t.spark.createDataFrame([(s["running"], s["cycles"])], "running boolean, cycles long")
+    """The status after a run: what the last progress told."""
+    k = _ran(t)
+    s = k.status()
+    k.close()
+    return t.spark.createDataFrame([(s["running"], s["cycles"], s["last"]["numInputRows"])], "running boolean, cycles long, rows long")
 
 
-@query("stream_stop_wake")
+@query("stream_stop_wake", "select true as after_wake, false as after_stop, 1::bigint as cycles")
 def stream_stop_wake(t):
-    k = _ran(t)
-    k.stop()
-    again = k.start(once=True)
-    again.awaitTermination()
+    """Woken, the worker runs a cycle at once and goes on; a second start changes nothing; stopped, it rests."""
+    k = w.Worker(t.spark, stream(t), {"discover": _count}, every="1 hour")
+    k.wake()
+    after_wake = k.running and k.start() is k.query
     k.stop()
-    return t.spark.createDataFrame([(k.status()["running"],)], "running boolean")
+    s = k.status()
+    k.close()
+    return t.spark.createDataFrame([(after_wake, s["running"], s["cycles"])], "after_wake boolean, after_stop boolean, cycles long")
 
 
 @query("window_tumbling_extra", "select date_trunc('hour', ts) as hour, count(*) as n from events group by 1")
 def window_tumbling_extra(t):
-    """Extra: event-time windows, which the reference has none of."""
+    """Extra: event-time windows, which no query above needs."""
     return t.events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "n")

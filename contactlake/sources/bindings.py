@@ -10,6 +10,18 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contactlake.functions.values import GUESS_PATHS
+
+
+def _listed(*columns) -> str:
+    """A literal table's rows."""
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in columns)
+
+
+LOCS = ("/", "/about/", "/wp-content/team/", "/people/", "/our-team/#x", "/leadership", "/founder/notes", "/blog/tag/board/", "/team/data.xml", "/teams-evolve/", "/products/")
+SITEMAP = "<urlset>" + "".join(f"<url><loc> @{p} </loc></url>" for p in LOCS) + "<url><loc>/who-we-are/</loc></url>"
+HREFS = ("/about/", "/about/us", "/x/team", "/news#top", "/careers/jobs", "/shop/a", "https://other.example.com/team/", "/leadership", "/private/team/", "/contact")
+
 BINDINGS = {
     "companies": """
         select c_custkey as id, c_name as name, concat('c', cast(c_custkey as varchar(20)), '.example.com') as domain,
@@ -90,6 +102,40 @@ BINDINGS = {
     "catchall": """
         select domain, case id % 4 when 0 then 'deliverable' when 1 then 'rejected' else 'unknown' end as probe
         from (select distinct concat('c', cast(user_id as varchar(20)), '.example.com') as domain, user_id as id from {events}) d""",
+    "sitemaps": f"""
+        select id as company_id, concat('https://', domain) as base,
+               concat(replace('{SITEMAP}', '@', concat('https://', domain)), case when id % 3 = 0 then '<url><loc>/executive-board/</loc></url>' else '' end, '</urlset>') as xml
+        from {{companies}}""",
+    "fetches": f"""
+        select id as company_id, concat('https://', domain) as base, path, case when (id + pos) % 3 = 0 then 404 else 200 end as status,
+               case when (id + pos) % 5 = 0 then 'Error 404' when (id + pos) % 7 = 0 then 'Page Not Found' else 'About us' end as title
+        from {{companies}} join (select * from (values {_listed(*((p, i) for i, p in enumerate(GUESS_PATHS)))}) v(path, pos)) g on 1 = 1""",
+    "home_links": f"""
+        select id as company_id, concat('https://', domain, '/') as base, href
+        from {{companies}} join (select * from (values {_listed(*((h,) for h in HREFS))}) v(href)) h on 1 = 1""",
+    "robots": """
+        select id as company_id, case id % 5 when 1 then 403 when 2 then 404 else 200 end as status,
+               case id % 5 when 0 then concat('User-agent: *', chr(10), 'Disallow: /private/', chr(10), 'Allow: /private/team/')
+                    when 3 then concat('User-agent: otherbot', chr(10), 'Disallow: /', chr(10), chr(10), 'User-agent: *', chr(10), 'Allow: /about/', chr(10), 'Disallow: /about/us', chr(10), 'Disallow: /news')
+                    when 4 then concat('User-agent: leads', chr(10), 'Disallow: /') end as body
+        from {companies}""",
+    "wiki_hits": """
+        select id as company_id, name, pos, case when pos = 3 then name when pos = 4 then concat(name, ' Ltd') else title end as title
+        from {companies} join (select * from (values (0, 'Customer (company)'), (1, 'Customer'), (2, 'Film'), (3, ''), (4, ''), (5, 'Corporation customer'), (6, 'Incas')) v(pos, title)) t on 1 = 1""",
+    "domain_probes": """
+        select id as company_id, name, pos, concat('customer', substr(name, 10), ext) as domain, case (id + pos) % 3 when 0 then 'Welcome to CUSTOMER' when 1 then 'Parked' end as title
+        from {companies} join (select * from (values (0, '.com'), (1, '.io'), (2, '.co'), (3, '.net'), (4, '.ai')) v(pos, ext)) g on 1 = 1 where (id + pos) % 4 <> 0""",
+    "wiki_redirects": """
+        select page_id as source, case when page_id % 10 = 1 then page_id + 1 when page_id % 10 = 2 then page_id - 1 else page_id - 7 end as target
+        from {pages} where page_id % 10 in (1, 2) or (page_id % 3 = 0 and page_id >= 7)""",
+    "scrape_times": """
+        select company_id, cast(company_id % 97 as double) / 10 as seconds from {scrapes}""",
+    "web_people": """
+        select o_custkey as company_id, concat('Eva ', case o_orderkey % 3 when 0 then 'Berg' when 1 then 'Costa' else 'Duarte' end) as name, 'CEO' as title, o_orderkey as ord
+        from {orders} where o_orderkey % 2 = 0""",
+    "site_homes": """
+        select domain, case page_id % 3 when 0 then 'Fleet Vehicle Home' when 1 then 'Online dictionary' else 'Welcome' end as title, cast(null as varchar(20)) as meta, cast(null as varchar(20)) as body
+        from (select regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', ''), '^m[.]', '') as domain, min(page_id) as page_id from {pages} group by 1) t where page_id % 7 <> 5""",
     "settings": """
         select 'max_pages' as key, '30' as value union all select 'request_delay', '-1.5' union all select 'smtp_timeout', 'abc'
         union all select 'verify_emails', 'true' union all select 'max_candidates', '7'""",
@@ -139,6 +185,8 @@ def with_bindings(sql: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {', '.join(ctes)}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {', '.join(ctes)}, {body[5:]}"
     return f"with {', '.join(ctes)} {body}"

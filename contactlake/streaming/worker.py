@@ -1,9 +1,17 @@
-"""The worker as a stream: bounded micro-batches, merged state, a log, counters that survive a restart."""
+"""The worker as a stream: bounded micro-batches, merged state, a log, counters that survive a restart.
+
+Whatever must survive lies in a folder that all executors share: the streams' checkpoints, and tables written as one
+version per batch. A later process that is given the same folder goes on where the last one stopped.
+"""
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,47 +19,91 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A fresh folder that all executors share."""
-    import tempfile
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="contactlake-")
+    """A fresh folder that all executors share; only where no such place is set, a local one that goes with the process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="contactlake-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     return f"{at}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _files(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+class Versions:
+    """A table of which each batch writes a new version; the last complete one counts, older ones than the one before it go."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def epochs(self) -> list[int]:
+        fs, at = _files(self.spark, self.path)
+        if not fs.exists(at):
+            return []
+        done = [s.getPath() for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith("epoch=")]
+        jvm = self.spark.sparkContext._jvm
+        return sorted(int(p.getName()[6:]) for p in done if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _at(self, epoch: int) -> str:
+        return f"{self.path}/epoch={epoch:012d}"
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        told = [e for e in self.epochs() if before is None or e < before]
+        return self.spark.read.parquet(self._at(told[-1])) if told else None
+
+    def write(self, rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(self._at(epoch))
+        for old in [e for e in self.epochs() if e < epoch][:-1]:
+            fs, p = _files(self.spark, self._at(old))
+            fs.delete(p, True)
+
+
+def events_stream(spark: SparkSession, sf_dir: str, files_a_batch: int | None = None) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    reader = spark.readStream.schema(schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    return reader.parquet(f"{sf_dir}/events.parquet*")
+
+
+def _run(rows: DataFrame, at: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    rows.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
 def log_rows(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("job"), F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"), F.to_json(F.struct("user_id", "value")).alias("payload"))
 
 
-def append_log(events: DataFrame, spark: SparkSession) -> DataFrame:
+def append_log(events: DataFrame, spark: SparkSession, at: str | None = None) -> DataFrame:
     """Appends log rows to files, once each, and reads the log back."""
-    out, state = folder(spark, "log"), folder(spark, "log-state")
+    at = at or folder(spark, "log")
     rows = log_rows(events)
-    q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q = rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows")
 
 
 def newest(log: DataFrame, keep: int = 300) -> DataFrame:
     return log.orderBy(F.col("id").desc()).limit(keep)
 
 
-def counters(events: DataFrame, spark: SparkSession) -> DataFrame:
-    """Counts by job, kept in the stream's own state; the last batch of each job is what holds."""
-    out, state = folder(spark, "counters"), folder(spark, "counters-state")
-    counted = events.groupBy(F.col("event_type").alias("job")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+def counters(events: DataFrame, spark: SparkSession, at: str | None = None) -> DataFrame:
+    """(job, n, errors): counts by job, folded batch by batch into the stored ones."""
+    at = at or folder(spark, "counters")
+    table = Versions(spark, f"{at}/rows")
 
-    def save(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch:09d}")
+    def fold(batch: DataFrame, epoch: int) -> None:
+        new = batch.groupBy(F.col("event_type").alias("job")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+        old = table.read(before=epoch)
+        if old is not None:
+            new = old.unionByName(new).groupBy("job").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
+        table.write(new, epoch)
 
-    q = counted.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(save).start()
-    q.awaitTermination()
-    rows = spark.read.option("basePath", out).parquet(f"{out}/epoch=*").drop("epoch").withColumn("epoch", F.regexp_extract(F.input_file_name(), r"epoch=([0-9]+)", 1).cast("long"))
-    return rows.groupBy("job").agg(F.max_by("n", "epoch").alias("n"), F.max_by("errors", "epoch").alias("errors"))
+    _run(events, at, fold)
+    rows = table.read()
+    return rows if rows is not None else spark.createDataFrame([], "job string, n long, errors long")
 
 
 def run_jobs(batch: DataFrame, jobs: dict) -> list[tuple[str, str | None]]:
@@ -66,27 +118,41 @@ def run_jobs(batch: DataFrame, jobs: dict) -> list[tuple[str, str | None]]:
     return out
 
 
-def merged_stream(events: DataFrame, spark: SparkSession, keys: list[str]) -> DataFrame:
+def merged_stream(events: DataFrame, spark: SparkSession, keys: list[str], at: str | None = None) -> DataFrame:
     """Latest row per key, merged batch by batch: each batch folds into a new version of the table, the last one counts."""
-    out, state = folder(spark, "merged"), folder(spark, "merged-state")
+    at = at or folder(spark, "merged")
+    table = Versions(spark, f"{at}/rows")
     order = F.struct("event_id", "ts")
 
     def latest(df: DataFrame) -> DataFrame:
         return df.groupBy(*keys).agg(F.max_by(F.struct("event_id", "ts", "value"), order).alias("x")).select(*keys, "x.*")
 
-    versions: list[str] = []
+    def fold(batch: DataFrame, epoch: int) -> None:
+        new, old = latest(batch), table.read(before=epoch)
+        table.write(new if old is None else latest(old.unionByName(new)), epoch)
+
+    rows = events.select(*keys, "event_id", "ts", "value")
+    _run(rows, at, fold)
+    out = table.read()
+    return out if out is not None else spark.createDataFrame([], rows.schema)
+
+
+def domain_cache(addresses: DataFrame, facts: DataFrame, spark: SparkSession, at: str | None = None) -> DataFrame:
+    """(domain, has_mx): each domain of a stream of addresses (email) is looked up in facts (domain, …) once, when first seen."""
+    at = at or folder(spark, "domains")
+    table = Versions(spark, f"{at}/rows")
+    known = facts.select("domain", F.lit(True).alias("has_mx")).dropDuplicates(["domain"])
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        new = latest(batch)
-        if versions:
-            new = latest(spark.read.parquet(versions[-1]).unionByName(new))
-        path = f"{out}/v{epoch:09d}"
-        new.write.mode("overwrite").parquet(path)
-        versions.append(path)
-
-    q = events.select(*keys, "event_id", "ts", "value").writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(fold).start()
-    q.awaitTermination()
-    return spark.read.parquet(versions[-1]) if versions else latest(events.sparkSession.createDataFrame([], events.schema))
+        new, old = batch.select(F.substring_index("email", "@", -1).alias("domain")).distinct(), table.read(before=epoch)
+        if old is not None:
+            new = new.join(old, "domain", "left_anti")
+        told = new.join(known, "domain", "left").select("domain", F.coalesce("has_mx", F.lit(False)).alias("has_mx"))
+        table.write(told if old is None else old.unionByName(told), epoch)
+
+    _run(addresses, at, fold)
+    rows = table.read()
+    return rows if rows is not None else spark.createDataFrame([], "domain string, has_mx boolean")
 
 
 class Heartbeat(StreamingQueryListener):
@@ -96,38 +162,83 @@ class Heartbeat(StreamingQueryListener):
         self.status: dict[str, dict] = {}
 
     def onQueryStarted(self, event):
-        self.status[str(event.id)] = {"state": "started"}
+        self.status[str(event.id)] = {"state": "started", "at": event.timestamp}
 
     def onQueryProgress(self, event):
-        self.status[str(event.progress.id)] = {"state": "running", "batch": event.progress.batchId, "rows": event.progress.numInputRows}
+        p = event.progress
+        self.status[str(p.id)] = {"state": "running", "batch": p.batchId, "rows": p.numInputRows, "at": p.timestamp}
 
     def onQueryIdle(self, event):
-        pass
+        self.status.setdefault(str(event.id), {})["at"] = event.timestamp
 
     def onQueryTerminated(self, event):
         self.status.setdefault(str(event.id), {})["state"] = "stopped"
 
 
 class Worker:
-    """Starts once, stops, can be woken; runs its jobs on every micro-batch."""
+    """Starts once, stops, can be woken; runs its jobs on every micro-batch.
 
-    def __init__(self, spark: SparkSession, events: DataFrame, jobs: dict, every: str = "12 seconds"):
+    at: the folder of its checkpoint, log and counters; a Worker on the same folder goes on with them. The log is files,
+    one version per cycle; what the driver holds does not grow.
+    """
+
+    def __init__(self, spark: SparkSession, events: DataFrame, jobs: dict, every: str = "12 seconds", at: str | None = None):
         self.spark, self.events, self.jobs, self.every = spark, events, jobs, every
-        self.state, self.query, self.log = folder(spark, "worker"), None, []
+        self.at, self.query, self.heartbeat = at or folder(spark, "worker"), None, None
+        self.counted = Versions(spark, f"{self.at}/counters")
 
     def _cycle(self, batch: DataFrame, epoch: int) -> None:
-        self.log += [(epoch, *x) for x in run_jobs(batch, self.jobs)]
+        batch.persist()  # the jobs share one read of the batch
+        done = run_jobs(batch, self.jobs)
+        batch.unpersist()
+        rows = self.spark.createDataFrame([(epoch, i, *x) for i, x in enumerate(done)], "epoch long, pos int, job string, error string")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.at}/log/epoch={epoch:012d}")
+        new = rows.groupBy("job").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
+        old = self.counted.read(before=epoch)
+        self.counted.write(new if old is None else old.unionByName(new).groupBy("job").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors")), epoch)
+
+    def log(self) -> DataFrame:
+        """(epoch, pos, job, error) of every cycle, those of earlier processes on the same folder included."""
+        fs, p = _files(self.spark, f"{self.at}/log")
+        schema = "epoch long, pos int, job string, error string"
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.at}/log") if fs.exists(p) else self.spark.createDataFrame([], schema)
+
+    def counters(self) -> DataFrame:
+        rows = self.counted.read()
+        return rows if rows is not None else self.spark.createDataFrame([], "job string, n long, errors long")
+
+    @property
+    def running(self) -> bool:
+        return bool(self.query and self.query.isActive)
 
     def start(self, once: bool = False):
-        if self.query is None or not self.query.isActive:
+        if not self.running:
+            if self.heartbeat is None:
+                self.heartbeat = Heartbeat()
+                self.spark.streams.addListener(self.heartbeat)
             trigger = {"availableNow": True} if once else {"processingTime": self.every}
-            self.query = self.events.writeStream.option("checkpointLocation", self.state).trigger(**trigger).foreachBatch(self._cycle).start()
+            self.query = self.events.writeStream.option("checkpointLocation", f"{self.at}/state").trigger(**trigger).foreachBatch(self._cycle).start()
         return self.query
 
+    def wake(self) -> None:
+        """A cycle now, over what has arrived; then on as before, or from now on if it was not running."""
+        self.stop()
+        self.start(once=True).awaitTermination()
+        self.start()
+
     def stop(self) -> None:
         if self.query is not None:
             self.query.stop()
+            self.query.awaitTermination()
+
+    def close(self) -> None:
+        self.stop()
+        if self.heartbeat is not None:
+            self.spark.streams.removeListener(self.heartbeat)
+            self.heartbeat = None
 
     def status(self) -> dict:
         q = self.query
-        return {"running": bool(q and q.isActive), "cycles": len({e for e, *_ in self.log}), "last": json.loads(q.lastProgress.json) if q and q.lastProgress else None}
+        beat = self.heartbeat.status.get(str(q.id), {}) if self.heartbeat and q else {}
+        cycles = self.log().agg(F.count_distinct("epoch")).first()[0]
+        return {"running": self.running, "cycles": cycles, "heartbeat": beat, "last": json.loads(q.lastProgress.json) if q and q.lastProgress else None}

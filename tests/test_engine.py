@@ -54,3 +54,44 @@ def test_verify(engine, spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     todo = engine.to_verify(5)
     assert todo.count() == 5 and engine.verify(todo, t.mx, t.smtp, t.catchall).count() == todo.select("email").distinct().count()
+
+
+def test_discovery_with_homes_is_added_once(engine, spark):
+    rows = spark.createDataFrame([(1, "Acme Fleet - Home", "https://www.acme.com/"), (2, "Shoe Shop | x", "https://shoes.com/"), (3, "No Home Co - y", "https://nohome.com/")], "ord int, title string, url string")
+    homes = spark.createDataFrame([("acme.com", "Fleet tracking", None, None), ("shoes.com", "Running shoes", None, None)], "domain string, title string, meta string, body string")
+    trusted = spark.createDataFrame([(1, "Trusted Co", "trusted.com")], "ord int, name string, domain string")
+    found = engine.discover(rows, homes, trusted)
+    assert {x.domain: x.outcome for x in found.collect()} == {"acme.com": "new", "shoes.com": "rejected", "nohome.com": "rejected", "trusted.com": "new"}
+    after = engine.with_discovered(found, "Kenya")
+    assert after.companies.count() == engine.companies.count() + 2 and after.companies.where("domain = 'acme.com'").first().country_code == "KE"
+    assert {x.domain: x.outcome for x in after.discover(rows, homes, trusted).collect()}["acme.com"] == "known"
+
+
+def test_scrape_keeps_cached_and_never_loses(engine, spark):
+    pages = spark.createDataFrame([(1, 3), (2, 0), (3, 2)], "company_id long, pages_checked int")
+    before = Engine({**engine.tables, "scrapes": spark.createDataFrame([(1, "ok", 1)], "company_id long, status string, pages_checked int")})
+    mail = spark.createDataFrame([(1, "new@a.com", "General", None, None, 1), (3, "new@a.com", "General", "u", None, 2)], "company_id long, email string, category string, source_url string, mx_status string, ord int").withColumn("verdict", F.lit(None).cast("string"))
+    who = spark.createDataFrame([(3, "Web Team", "CEO", None, None, None, None, 1), (3, "Ann Berg", "CEO", None, None, None, None, 2), (3, "ann berg", "CTO", None, None, None, None, 3)], "company_id long, name string, title string, email string, email_status string, linkedin_url string, linkedin_type string, ord int")
+    open_people = spark.createDataFrame([(2, "Eva Costa", "CEO", 1), (3, "Eva Costa", "CEO", 2)], "company_id long, name string, title string, ord int")
+    phone = spark.createDataFrame([(3, "+1 200", None, None, 1), (3, "1-200", None, None, 2)], "company_id long, phone string, label string, source_url string, ord int")
+    social = spark.createDataFrame([(3, "x", "https://x.com/a", 1)], "company_id long, network string, url string, ord int")
+    mx = spark.createDataFrame([("a.com", "mx.a.com", 1)], "domain string, host string, pref int")
+    smtp = spark.createDataFrame([("new@a.com", 250, False)], "email string, code int, refused boolean")
+    probes = spark.createDataFrame([("a.com", "rejected")], "domain string, probe string")
+    found = {"emails": mail, "people": who, "phones": phone, "socials": social}
+    after = before.scrape(pages, found, open_people, mx, smtp, probes)
+    assert {x.company_id: x.status for x in after.scrapes.collect()} == {1: "ok", 2: "failed", 3: "ok"}
+    assert [(x.company_id, x.verdict) for x in after.emails.where("email = 'new@a.com'").collect()] == [(3, "deliverable")]
+    new = {(x.company_id, x.name, x.linkedin_type) for x in after.people.join(before.people, ["company_id", "name"], "left_anti").collect()}
+    assert new == {(3, "Ann Berg", "search"), (2, "Eva Costa", "search")}
+    assert after.phones.count() == before.phones.count() + 1
+    assert before.scrape(pages, found, open_people, mx, smtp, probes, force=True).emails.where("email = 'new@a.com'").count() == 2
+
+
+def test_worker_from_the_engine(engine, spark, tmp_path):
+    from contactlake.streaming.worker import events_stream
+
+    k = engine.worker(events_stream(spark, "/root/testdata/sf0.001"), {"scrape": lambda b: b.count()}, str(tmp_path / "w"))
+    k.start(once=True).awaitTermination()
+    assert k.status()["cycles"] == 1
+    k.close()

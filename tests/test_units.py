@@ -102,3 +102,52 @@ def test_scan_prunes_columns(spark, column):
     t = Tables(spark, "/root/testdata/sf0.001")
     plan = t.companies.where("country = 'NATION_3'").select(column)._jdf.queryExecution().executedPlan().toString()
     assert "c_acctbal" not in plan and "PushedFilters" in plan
+
+
+def test_markup(spark):
+    from contactlake.functions import markup
+
+    assert column(spark, ["a [[B|C D]]<ref name=x/> [[E]]<ref>[[F]]</ref><BR/>g {{small|h}} i", "[[x|y|z]]"], markup.clean) == ["a C D E, g i", "y|z"]
+    assert column(spark, ["{{ubl|Ann|([[x|CEO]])|{{small|Bo}}}}", "( [[CTO]] )"], markup.prepared) == ["Ann|(CEO)|Bo", "(CTO)"]
+    assert column(spark, ["Ann Lee (1950–2001) et al.", "Bo (born 1970) Ek 1999", "bo", "x" * 61, "(2010) lower case"], markup.clean_name) == ["Ann Lee", "Bo  Ek", None, None, None]
+
+
+def test_now_is_utc(spark):
+    import datetime
+
+    from contactlake.plans.catalog import QUERIES
+
+    got = QUERIES["ts_now_utc"](spark, "/root/testdata/sf0.001").selectExpr("unix_timestamp(now) as s").distinct().collect()
+    assert len(got) == 1 and abs(got[0].s - datetime.datetime.now(datetime.timezone.utc).timestamp()) < 120
+
+
+def test_seed_is_incremental(spark):
+    from contactlake.sources.seed import DIRECTORY, SEGMENTS, seed_rows, seeded
+
+    assert seed_rows(spark).count() == len(DIRECTORY) == 143 and {r[5] for r in DIRECTORY} <= set(SEGMENTS) and len({r[2] for r in DIRECTORY}) == 38
+    first = spark.createDataFrame([(1, "Mine", DIRECTORY[0][1], False)], "id long, name string, domain string, blocked boolean")
+    once = seeded(first)
+    assert once.count() == 143 and once.where("id = 1").first().name == "Mine" and seeded(once).count() == 143
+
+
+def test_robots_first_match_decides(spark):
+    from contactlake.operators.frontier import robots_allowed
+
+    body = "User-agent: *\nAllow: /a/b\nDisallow: /a\n\nUser-agent: leads\nDisallow:\n"
+    rows = [(1, "https://x.com/a/b/c", 200, body), (2, "https://x.com/a/c", 200, body), (3, "https://x.com/", 401, None), (4, "https://x.com/", 500, None), (5, "https://x.com/", 200, None)]
+    df = spark.createDataFrame(rows, "k long, url string, status int, body string")
+    assert {r.k: r.allowed for r in robots_allowed(df, "k", "other/1").collect()} == {1: True, 2: False, 3: False, 4: True, 5: True}
+    assert all(r.allowed for r in robots_allowed(df.where("k < 3"), "k", "Leads/2").collect())
+
+
+def test_redirects_end_and_never_return(spark):
+    from contactlake.operators.frontier import followed
+
+    r = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y"), ("y", "x")], "source string, target string")
+    got = {x.title: (x.final, x.hops) for x in followed(spark.createDataFrame([("a",), ("x",), ("q",)], "title string"), r).collect()}
+    assert got == {"a": ("d", 3), "x": ("y", 1), "q": ("q", 0)}
+
+
+def test_text_stops_early():
+    root = dom.tree("<div>" + "<p>word</p>" * 50 + "</div>")
+    assert root.text(most=90) == "" and root.text(most=10_000) == root.text() and dom.tree("<p>ab<p>c").text(most=4) == "ab c"
