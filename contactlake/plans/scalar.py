@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from contactlake.functions import classify, email, markup, names, phone, text, url
 from contactlake.functions.values import BLOCKED_DOMAINS, DISPOSABLE, EMAIL_CATEGORIES, JUNK_MARKERS, LINK_WORDS, NEGATIVE, PEOPLE_PAGE, POSITIVE, PRESS_PAGE, ROLE_LOCALS, TITLE_BLOCKLIST, TITLE_STRONG, TITLE_WORDS, TLDS, TWO_LABEL
 from contactlake.operators.frontier import soft_404
+from contactlake.operators.pages import spread
 
 from .registry import query
 
@@ -119,9 +120,14 @@ def email_verdict(t):
     return verified(t, rows).select("email", "verdict")
 
 
-@query("join_verify_lookup", VERDICT)
+@query("join_verify_lookup", """
+    select e.id, e.email, m.domain is not null as has_mx, s.k as smtp, case when m.domain is null then 'unknown' when c.probe = 'deliverable' then 'yes' when c.probe = 'rejected' then 'no' else 'unknown' end as catchall
+    from emails e left join (select distinct domain from mx) m on m.domain = split_part(e.email, '@', -1)
+    left join (select email, case when refused then 'blocked' when code in (250, 251, 252) then 'deliverable' when code between 500 and 599 then 'rejected' else 'unknown' end as k from smtp) s on s.email = e.email
+    left join catchall c on c.domain = split_part(e.email, '@', -1)""")
 def join_verify_lookup(t):
-    return email_verdict(t)
+    """What each address's lookups told: mail server, mailbox, catch-all."""
+    return verified(t, t.emails.select("id", "email")).select("id", "email", "has_mx", "smtp", "catchall")
 
 
 FIRST = "lower(strip_accents(split_part(name, ' ', 1)))"
@@ -482,7 +488,7 @@ def markup_clean_role(t):
       from (select doc_id, lower(ti) as ti, concat_ws(' ', lower(ti), '', substr(lower(text), 1, 4000)) as blob from (select doc_id, text, case doc_id % 4 when 0 then 'Fleet Vehicle Home' when 1 then 'Online dictionary' else 'Welcome' end as ti from documents) z) y) x""")
 def classify_relevance(t):
     title = F.expr("case doc_id % 4 when 0 then 'Fleet Vehicle Home' when 1 then 'Online dictionary' else 'Welcome' end")
-    return t.documents.select("doc_id", classify.verdict(title, F.lit(""), F.col("text")).alias("v")).select("doc_id", "v.ok", F.col("v.why").alias("reason"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", classify.verdict(title, F.lit(""), F.col("text")).alias("v")).select("doc_id", "v.ok", F.col("v.why").alias("reason"))
 
 
 @query("detect_junk_serp", f"""
