@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +19,8 @@ def _anchors(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """(key, at, size, starts, words, item_id): each item window waits at its rarest word.
 
     A window is contained only if all its words are, so of its words in order of rarity a prefix of one is enough.
-    Rarity is a word's count over all documents, then its order. at: the key's place in the item; starts: the
-    windows that wait there.
+    Rarity is a word's count over all documents, then its order. words: what the windows that wait there span, under two
+    windows' length; at: the key's place in it; starts: those of the windows.
     """
     tokens = items.select("item", F.explode("words").alias("word"))
     vocabulary = tokens.select("word").distinct()
@@ -34,19 +32,43 @@ def _anchors(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     spread = spread.withColumn("size", size).withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("size") + 1), F.least(F.col("at"), F.col("n_item") - F.col("size")))))
     rarest = spread.groupBy("item", "start", "size").agg(F.min(F.struct("n", "word", "at")).alias("r"))
     held = rarest.groupBy("item", "size", F.col("r.word").alias("key"), F.col("r.at").alias("at")).agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    return held.join(items.select("item", "item_id", "words"), "item").select("key", "at", "size", "starts", "words", "item_id")
+    first = F.get("starts", F.lit(0))
+    span = F.element_at("starts", -1) - first + F.col("size")
+    return held.join(items.select("item", "item_id", "words"), "item").select("key", (F.col("at") - first).alias("at"), "size", F.transform("starts", lambda s: s - first).alias("starts"), F.slice("words", first + 1, span).alias("words"), "item_id")
+
+
+#: Up to so many key words are looked for by name; beyond, by a slot of their hash, and the join tells them apart.
+NAMED_KEYS, SLOTS = 20_000, 1 << 18
+
+
+def _is_key(anchors: DataFrame):
+    """A test of a word column that holds for every key of the anchors. What it keeps on the driver has a fixed bound."""
+    keys = [r[0] for r in anchors.select("key").distinct().limit(NAMED_KEYS + 1).collect()]
+    if len(keys) <= NAMED_KEYS:
+        return lambda w: w.isin(keys or [""])
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
+    taken = bytearray(b"0" * SLOTS)
+    for r in anchors.select(slot(F.col("key"))).distinct().collect():
+        taken[r[0]] = ord("1")
+    marks = F.split(F.lit(",".join(taken.decode())), ",").cast("array<int>")
+    return lambda w: F.get(marks, slot(w)) == 1
 
 
-def _met(rows: DataFrame, anchors: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """(rid, doc_id, n_words, item_id, start, size) of windows found at their keys; one row with nulls for a document without a key."""
+def _met(rows: DataFrame, anchors: DataFrame, is_key, reach: int, small: bool) -> DataFrame:
+    """(rid, doc_id, n_words, item_id, hits) of windows found at their keys; one row with nulls for a document without a key."""
 
     def around(w: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(keys))
+        places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: is_key(F.get(w, i)))
         return F.when(F.size(w) > 0, F.transform(places, lambda i: F.struct(F.get(w, i).alias("key"), i.alias("pos"), F.least(i, F.lit(reach - 1)).alias("off"), F.slice(w, F.greatest(i - (reach - 1), F.lit(0)) + 1, 2 * reach - 1).alias("near"))))
 
     found = rows.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode_outer(let(F.col("words"), around)).alias("c"))
     found = found.select("rid", "doc_id", "n_words", "c.key", "c.pos", "c.off", "c.near")
-    met = found.join(F.broadcast(anchors), "key", "left")
+    if small:
+        met = found.join(F.broadcast(anchors), "key", "left")
+    else:
+        # documents without a key don't share one in the shuffle
+        apart = F.concat(F.lit(" "), F.pmod(F.xxhash64("rid"), F.lit(4096)).cast("string"))
+        met = found.withColumn("key", F.coalesce("key", apart)).join(anchors.hint("merge"), "key", "left")
 
     def holds(s: Column) -> Column:
         """Positional bound first: the window must lie within the document around the key; then all of it is compared."""
@@ -57,29 +79,27 @@ def _met(rows: DataFrame, anchors: DataFrame, keys: list[str], reach: int) -> Da
     return met.select("rid", "doc_id", "n_words", F.when(F.size(starts) > 0, F.col("item_id")).alias("item_id"), F.when(F.size(starts) > 0, starts).alias("hits"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, hit_percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", anchors_a_pass: int = 20_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, hit_percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of docs.
 
     Words are lower-cased runs of digits, letters and non-ASCII characters. A document word in any occurrence of an
     item's window of `window` words (of a shorter item: all of it) is hit; contaminated: some are, and at least
     hit_percent of all. Each document keeps its words near the benchmark's key words, meets the windows that wait at
-    them, and compares whole windows; then its own hits are merged. A pass takes about anchors_a_pass anchors, which
-    bounds what is broadcast; a larger benchmark takes more passes over the documents, never a part of them.
+    them, and compares whole windows; then its own hits are merged. Windows of up to broadcast_bytes in all, by measure,
+    are broadcast; beyond that they and the documents' key words meet in a shuffle.
 
     Null texts have no words, null item ids are ignored, rows with the same item id are one item. Every row of docs
-    gets its own result, repeated ids included. Other columns are ignored. An empty table on either side is fine.
+    gets its own result, repeated and null ids included. Other columns are ignored. An empty table on either side is
+    fine.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), item_words(F.col(text_col)).alias("words"))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.monotonically_increasing_id().alias("item"), F.col(item_col).cast("string").alias("item_id"), item_words(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     items = stored(items, "items")
     anchors = stored(_anchors(rows, items, window), "anchors")
-    passes = max(1, -(-anchors.count() // anchors_a_pass))
-    part = lambda k: anchors.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
-    found = []
-    for k in range(passes):
-        keys = [r[0] for r in part(k).select("key").distinct().collect()]
-        found.append(_met(rows, part(k), keys or [""], window))
-    hits = reduce(DataFrame.unionByName, found)
+    # text, item and key, and what an array's elements take besides
+    size = F.octet_length(F.concat_ws(" ", "words")) + 16 * F.size("words") + 8 * F.size("starts") + F.octet_length("item_id") + F.octet_length("key") + 64
+    small = (anchors.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes
+    hits = _met(rows, anchors, _is_key(anchors), window, small)
     by_row = hits.groupBy("rid", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
     def union_length(h: Column) -> Column:
