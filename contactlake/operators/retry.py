@@ -1,0 +1,23 @@
+"""What a client with retries makes of a log of tries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Fixed: answers that are worth another try.
+RETRYABLE = (429, 500, 502, 503, 504)
+
+
+def retried(tries: DataFrame, key: str, order: str, retries: int = 2, backoff: float = 1.5) -> DataFrame:
+    """(key, status, tries, waited, failed) of tries (key, order, status), in order.
+
+    A try without an answer (null status) or with a retryable one is followed by the next, `retries` times at most, after
+    backoff seconds times its number. failed: the last try made had no answer.
+    """
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    done = (F.col("n") == retries) | ~F.coalesce(F.col("status").isin(*RETRYABLE), F.lit(True))
+    rows = tries.withColumn("n", n).where(F.col("n") <= retries)
+    last = rows.groupBy(key).agg(F.coalesce(F.min(F.when(done, F.col("n"))), F.max("n")).alias("last"))
+    made = rows.join(last, key).where(F.col("n") == F.col("last"))
+    return made.select(key, "status", (F.col("n") + 1).alias("tries"), (F.lit(backoff) * F.col("n") * (F.col("n") + 1) / 2).alias("waited"), F.col("status").isNull().alias("failed"))

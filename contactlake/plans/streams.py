@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contactlake.functions.values import EXPANSION_COUNTRIES
 from contactlake.operators import directory as d
+from contactlake.operators.retry import retried
 from contactlake.streaming import worker as w
 
 from .registry import query
@@ -99,6 +100,18 @@ def stream_throttle_breaker(t):
     return e.withColumn("cut", cut).where("cut is null or event_id <= cut").select("event_id")
 
 
+STATUS = "case event_type when 'click' then 429 when 'signup' then 503 when 'purchase' then 404 when 'view' then 200 end"
+
+
+@query("stream_retry_backoff", f"""
+    with t as (select user_id, {STATUS} as status, row_number() over (partition by user_id order by event_id) - 1 as n from events),
+      l as (select user_id, coalesce(min(n) filter (n = 2 or status in (404, 200)), max(n)) as last from t where n <= 2 group by user_id)
+    select user_id, status::int as status, (n + 1)::int as tries, 1.5::double * n * (n + 1) / 2 as waited, status is null as failed from t join l using (user_id) where n = last""")
+def stream_retry_backoff(t):
+    """Tries of a client that backs off in even steps from busy servers and broken connections."""
+    return retried(t.events.selectExpr("user_id", "event_id", STATUS + " as status"), "user_id", "event_id")
+
+
 def _count(batch) -> None:
     batch.count()
 
