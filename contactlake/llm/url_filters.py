@@ -51,8 +51,10 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
 
 
 def url_node(url: Column) -> Column:
-    """What makes two urls the same page: host, path and query; scheme and fragment don't count. Null without a host."""
+    """What makes two urls the same page: host, path and query; scheme, its default port and fragment don't count. Null without a host."""
     host = url_host(url)
+    scheme = lower_ascii(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
+    host = F.when((scheme == "http") & host.endswith(":80"), F.regexp_replace(host, ":80$", "")).when((scheme == "https") & host.endswith(":443"), F.regexp_replace(host, ":443$", "")).otherwise(host)
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
     return F.when(host != "", F.concat(host, F.when(rest == "", F.lit("/")).otherwise(rest)))
 
@@ -86,6 +88,8 @@ def _resolved(base: Column, target: Column) -> Column:
     )
 
 
+#: What a browser doesn't read as tags: comments and scripts, to the end of the page if they aren't closed.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
 TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 
@@ -94,12 +98,13 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     """(u, v) between the nodes of pages and of their redirect and canonical-link targets.
 
     Targets come from `<link rel=canonical href=…>` and `<meta http-equiv=refresh content="…url=…">` anywhere in the
-    html; attribute values may be quoted either way or bare. Relative ones are seen from the page's url, or from its
+    html but in comments and scripts; attribute values may be quoted either way or bare. Relative ones are seen from the page's url, or from its
     first `<base href=…>`.
     """
     value = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
     html = F.col("html")
     marked = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(F.col("url").isNotNull() & html.rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?\s*refresh"))
+    marked = marked.withColumn("html", F.regexp_replace("html", HIDDEN, " "))
     told = F.regexp_replace(F.regexp_extract(html, BASE, 1), "&amp;", "&")
     base = F.coalesce(F.when(told != "", _resolved(F.col("url"), told)), F.col("url"))
     tags = marked.select("url", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag"))
@@ -118,8 +123,9 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     canonical links in either direction: if the rule of any alias allows, it is allowed; else if the rule of any
     alias blocks, it is blocked; else allowed. Targets that are no pages count as aliases with rules of their own.
     redirects: further (from_url, to_url) edges, such as a crawler's log. A url that is null or has no `://` has an
-    empty host and path, fits no rule, has no aliases and is allowed. Repeated urls share their aliases. Other
-    columns of pages are ignored. An empty table gives an empty result.
+    empty host and path, fits no rule, has no aliases and is allowed. A null html has no links. Repeated urls share
+    their aliases. Of rules of equal length an allow wins. Other columns of pages are ignored. An empty table gives an
+    empty result.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     edges = alias_edges(pages, url_col, html_col)
@@ -133,5 +139,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     shared = comp.join(decided, "component").select("node", "shared")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = rows.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url"))).withColumn("node", url_node(F.col("url")))
-    judged = judged.withColumn("rule", name).withColumn("own", verdict).join(shared, "node", "left")
+    # rows without a node are dealt over many keys that no node has
+    apart = F.concat(F.lit(" "), F.pmod(F.xxhash64("page_id", "url"), F.lit(4096)).cast("string"))
+    judged = judged.withColumn("rule", name).withColumn("own", verdict).withColumn("node", F.coalesce("node", apart)).join(shared, "node", "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("own", "shared", F.lit("allow")).alias("verdict"))
