@@ -17,13 +17,21 @@ BLANK_RE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: By application: folders written, and tables entered in the catalog.
 _made: dict[str, list[str]] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where hardly more partitions than cores read them, as a small table's do; larger inputs stay where they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() <= 2 * cores else rows
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,19 +70,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
-def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
-    """Writes df to the shared folder in buckets of key, as many as there are shuffle partitions; joins on key then leave its rows where they are."""
+def bucketed(df: DataFrame, key: str, tag: str, buckets: int | None = None) -> DataFrame:
+    """Writes df to the shared folder in buckets of key, by default as many as there are shuffle partitions; joins on key then leave its rows where they are."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = []
         atexit.register(_sweep, spark, app)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{tag}_{uuid.uuid4().hex[:12]}"
     path = f"{shared_dir(spark)}/work-{app}/{name}"
     # dealt out as the buckets are, so each task writes one file
     df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
     _made[app].append(path)
+    _tables.setdefault(app, []).append(name)
     return spark.table(name)
 
 
@@ -87,6 +96,8 @@ def discard(df: DataFrame) -> None:
 
 def _sweep(spark: SparkSession, app: str) -> None:
     try:
+        for name in _tables.pop(app, []):
+            spark.sql(f"drop table if exists {name}")
         for path in _made.pop(app, []):
             _delete(spark, path)
     except Exception:  # the JVM may be gone already; then the cluster's own cleaning applies

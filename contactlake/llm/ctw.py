@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, release, stored
+from .common import bucketed, discard, release, stored
 from .shingles import WordHashes, binary
 
 #: Context bytes; with the byte to come they fill 48 bits of a key, the latest context byte on top.
@@ -123,17 +123,23 @@ def blended(log_beta: np.ndarray, at: np.ndarray, own: np.ndarray, deeper: np.nd
 
 def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, counts) of each two-byte context, from rows sorted by key."""
-    keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in it:
-        keys = np.concatenate([keys, np.array(batch.column("g"), np.int64)])
-        n = np.concatenate([n, np.array(batch.column("n"), np.int64)])
+        keys, n = np.array(batch.column("g"), np.int64), np.array(batch.column("n"), np.int64)
+        if not len(keys):
+            continue
         cuts = np.flatnonzero((keys[1:] >> 32) != (keys[:-1] >> 32)) + 1
-        for a, b in zip(np.concatenate([[0], cuts[:-1]]).astype(int), cuts, strict=True) if len(cuts) else ():
-            yield keys[a:b], n[a:b]
-        if len(cuts):
-            keys, n = keys[cuts[-1] :], n[cuts[-1] :]
-    if len(keys):
-        yield keys, n
+        if held and keys[0] >> 32 != held[-1][0][-1] >> 32:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+        for a, b in zip(np.concatenate([[0], cuts]).astype(int), cuts, strict=False):
+            held.append((keys[a:b], n[a:b]))
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+        last = int(cuts[-1]) if len(cuts) else 0
+        held.append((keys[last:], n[last:]))
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
 def _crown(totals: list) -> tuple[np.ndarray, ...]:
@@ -259,7 +265,15 @@ class Lookup:
         return self.values[at]
 
 
-def score_texts(docs: DataFrame, chunk_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _labels(spark, n: int) -> list[int]:
+    """n numbers that Spark's hash deals to n different buckets; beyond a few thousand, chunks are so many that chance deals them evenly."""
+    if n > 4096:
+        return list(range(n))
+    dealt = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n))).agg(F.min("id")).collect()
+    return sorted(r[1] for r in dealt)
+
+
+def score_texts(docs: DataFrame, chunk_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Learns from the texts whose crc32(id as text) mod 5 is not 1; a null id counts as one of them. Texts are taken
@@ -271,14 +285,22 @@ def score_texts(docs: DataFrame, chunk_bytes: int = 32 << 20, id_col: str = "doc
     counts are summed over chunks, the tree is weighted a two-byte context at a time, and each chunk gets back
     the scores of its own keys. So the model, which grows with the corpus, is never held in one place.
 
+    A two-byte context is one group of the tree, the largest that a task holds: it grows with the corpus, to a few
+    hundredths of its distinct six-byte strings.
+
     A null text is empty: its score is that of the end mark. Repeated rows are each learnt and scored. Other columns
     are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    dealt = bucketed(rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks))), "chunk", "chunks")
+    chunks = max(1, -(-size // chunk_bytes), min(spark.sparkContext.defaultParallelism, -(-size // (chunk_bytes // 8))))
+    labels = _labels(spark, chunks)
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(len(labels))).cast("int")
+    # a bucket for each chunk, or several chunks in one
+    buckets = chunks if chunks <= 4096 else None
+    chunk = F.get(F.split(F.lit(",".join(map(str, labels))), ",").cast("array<bigint>"), drawn) if buckets else drawn.cast("long")
+    dealt = bucketed(rows.withColumn("chunk", chunk), "chunk", "chunks", buckets)
     release(spark)
     units = stored(dealt.sortWithinPartitions("chunk").mapInArrow(_units, "chunk long, k long, n long"), "units")
     counts = stored(units.where("k >= 0").groupBy(F.col("k").alias("g")).agg(F.sum("n").alias("n")), "counts")
@@ -290,6 +312,7 @@ def score_texts(docs: DataFrame, chunk_bytes: int = 32 << 20, id_col: str = "doc
     # a known word's score is kept apart from an unknown one's by its sign: -1 stands for count 0
     values = scores.select(F.col("g").alias("k"), F.col("lp").alias("v")).unionByName(words.select("k", F.when(F.col("c") > 0, F.col("c").cast("double")).otherwise(-1.0).alias("v")))
     values = stored(values, "values")
+    discard(counts)
     release(spark)
     told = units.select("chunk", "k").join(values, "k").select("chunk", "k", "v")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 from .ctw import score_texts
 from .decontaminate import contamination
 from .licenses import scan_licenses
@@ -21,17 +21,21 @@ from .suffixes import remove_repeated_bytes
 from .url_filters import judge_urls
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = hash_tree(8)
     return assign_shards(table(spark, sf_dir, "documents"), tree, grown_tree(tree, 8))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), MinHash(shingle=2))
+    return near_duplicates(documents(spark, sf_dir), MinHash(shingle=2))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(table(spark, sf_dir, "documents"))
+    return quality_verdicts(documents(spark, sf_dir))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,28 +43,28 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return remove_repeated_bytes(documents(spark, sf_dir))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_phrases(table(spark, sf_dir, "documents"))
+    return remove_repeated_phrases(documents(spark, sf_dir))
 
 
 def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(documents(spark, sf_dir))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mix_sources(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree: source, language, a folder for each hundred ids."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     folder = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 100).cast("string"))
     return docs.select("doc_id", F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
 
