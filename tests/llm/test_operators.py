@@ -139,6 +139,15 @@ def test_near_duplicates_repeated_and_null_ids(spark):
     assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (3, 3, 1, False), (None, 3, None, True), (None, 0, None, True)], key=str)
 
 
+def test_near_duplicates_patterned_ids_and_one_large_class(spark):
+    """Ids that are multiples of 1000 and a class of many copies: small blocks force the blocked paths."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1000 * i, " ".join(words[i * 4 : i * 4 + 60])) for i in range(40)] + [(1000 * (100 + i), " ".join(words[:60]) + f" z{i}") for i in range(12)] + [(1000 * (200 + i), "one text of many copies " * 3) for i in range(150)]
+    want = brute.near(rows, 2)
+    for p in (MinHash(shingle=2), MinHash(shingle=2, block=4, confirm=5, confirm_bytes=2000, salts=8)):
+        assert {i: x[1] for i, x in by_id(near_duplicates(docs(spark, rows), p)).items()} == want
+
+
 # quality
 
 
@@ -154,6 +163,32 @@ def test_quality_odd_and_order(spark, odd):
     assert by_id(quality_verdicts(odd, QualityRules(), order=["long_words", "capitals", "lines", "short_words", "symbols"])) == want
 
 
+def test_quality_order(spark):
+    """Rejection per cost, steady under noise; a rule that rejects nothing comes last."""
+    from contactlake.llm.quality import QualityRules as Rules, chosen_order, order_rules
+
+    found = {"cheap": (0.01, 100), "dear": (0.64, 100), "idle": (0.001, 0), "rare": (0.01, 1)}
+    assert order_rules(found, 1000) == ["cheap", "rare", "dear", "idle"] or order_rules(found, 1000) == ["cheap", "dear", "rare", "idle"]
+    g = random.Random(1)
+    noisy = [order_rules({n: (t * g.uniform(0.9, 1.1), h) for n, (t, h) in found.items()}, 1000) for _ in range(20)]
+    assert {x[0] for x in noisy} == {"cheap"} and {x[-1] for x in noisy} == {"idle"}
+    table_ = spark.read.parquet(f"{SF}/documents.parquet")
+    got = chosen_order(table_, Rules(), "doc_id", "text")
+    assert set(got) == {"few_words", "repeats", "symbols", "short_words", "long_words", "lines", "capitals"}
+    assert got[0] != "repeats"
+
+
+def test_quality_repeated_rows_and_null_ids(spark):
+    from contactlake.llm.quality import passing
+
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, good), (1, good), (1, "short"), (None, good), (None, None), (2, "# " * 40)]
+    got = sorted((tuple(x) for x in quality_verdicts(docs(spark, rows)).collect()), key=str)
+    assert got == sorted(((i, *brute.quality(t), brute.kept_by_rules(t)) for i, t in rows), key=str)
+    kept = sorted(((x.doc_id, x.text, x.rate) for x in passing(docs(spark, rows)).collect()), key=str)
+    assert kept == sorted([(1, good, "extra"), (1, good, "extra"), (None, good, "extra")], key=str)
+
+
 # repeats
 
 
@@ -208,6 +243,13 @@ def test_repeats_same_ids(spark):
     assert got == [(False, 0, 0), (True, 1, n), (True, 1, n), (True, 2, n)]
 
 
+def test_repeated_bytes_same_ids(spark):
+    rows = [(1, BASE), (1, BASE), (None, BASE), (2, BASE + " x"), (None, None)]
+    got = sorted((x.doc_id is not None, x.doc_id or 0, x.n_bytes, x.n_removed) for x in remove_repeated_bytes(docs(spark, rows)).collect())
+    n = len(brute.utf8(BASE))
+    assert got == [(False, 0, 0, 0), (False, 0, n, 0), (True, 1, n, n), (True, 1, n, n), (True, 2, n + 2, n)]
+
+
 # decontamination
 
 
@@ -217,27 +259,53 @@ def test_contamination_table(spark, small):
     assert got == dict(zip([i for i, _ in small], brute.contaminated(small, items), strict=True))
 
 
-@pytest.mark.parametrize("anchors", [20_000, 3])
-def test_contamination_odd(spark, odd, anchors):
+@pytest.mark.parametrize("way", ["named keys, broadcast", "slots, shuffle"])
+def test_contamination_odd(spark, odd, way, monkeypatch):
+    import contactlake.llm.decontaminate as de
+
     items = [(1, " ".join(BASE.split()[5:30])), (2, "one"), (3, None), (4, ""), (None, BASE), (5, "the of ab0"), (1, "ONE a"), (6, " ".join(BASE.split()[5:30]))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("key", F.lit(1)).withColumn("words", F.lit(1))
-    got = by_id(contamination(odd, bench, anchors_a_pass=anchors))
+    bound = 64 << 20
+    if way.startswith("slots"):
+        monkeypatch.setattr(de, "NAMED_KEYS", 2)
+        monkeypatch.setattr(de, "SLOTS", 16)
+        bound = 0
+    got = by_id(contamination(odd, bench, broadcast_bytes=bound))
     assert got == dict(zip([i for i, _ in ODD], brute.contaminated(ODD, items), strict=True))
-    assert not any(x.n_hit for x in contamination(odd, bench.limit(0)).collect())
+    assert not any(x.n_hit for x in contamination(odd, bench.limit(0), broadcast_bytes=bound).collect())
+
+
+def test_contamination_long_item_and_repeated_ids(spark):
+    """A very long item keeps its anchors small; rows with the same or no id are judged on their own."""
+    import contactlake.llm.decontaminate as de
+
+    g = random.Random(9)
+    long_item = " ".join(f"v{g.randrange(3000)}" for _ in range(20_000))
+    w = long_item.split()
+    rows = [(1, " ".join(w[300:340])), (1, "nothing of it " * 30), (None, " ".join(w[-15:]) + " x"), (None, None), (2, " ".join(w[5000:5012])), (3, " ".join(w[9000:9200] + ["y"] * 50))]
+    bench = spark.createDataFrame([("L", long_item)], "item_id string, text string")
+    got = sorted((tuple(x) for x in contamination(docs(spark, rows), bench).collect()), key=str)
+    assert got == sorted(((i, *c) for (i, _), c in zip(rows, brute.contaminated(rows, [("L", long_item)]), strict=True)), key=str)
+    items = bench.select(F.lit(0).alias("item"), "item_id", de.item_words(F.col("text")).alias("words"))
+    held = de._anchors(docs(spark, rows).select(de.item_words(F.col("text")).alias("words")), items, 13)
+    assert held.agg(F.max(F.size("words"))).first()[0] <= 25
 
 
 # sharding
 
 
-def unit(key, name):
-    h = xxhash.xxh64_intdigest(name.encode(), seed=xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), seed=42))
-    return ((h >> 11) + 0.5) / 2**53
+def leaves(node):
+    return [node] if node.shard is not None else [x for c in node.children for x in leaves(c)]
 
 
 def plain_shard(key, node):
-    while node.shard is None:
-        node = min((c for c in node.children if c.weight > 0), key=lambda c: -np.log(unit(key, c.name)) / c.weight)
-    return node.shard
+    """The leaf with the smallest exponential draw, by its weight."""
+
+    def draw(leaf):
+        h = xxhash.xxh64_intdigest(f"s{leaf.shard}".encode(), seed=xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), seed=42))
+        return -np.log(((h >> 11) + 0.5) / 2**53) / leaf.own_weight
+
+    return min((x for x in leaves(node) if x.own_weight > 0), key=draw).shard
 
 
 def test_sharding_table(spark, small):
@@ -264,6 +332,30 @@ def test_sharding_weights_and_odd(spark, odd):
         assert slots == list(range(len(slots)))
 
 
+def test_sharding_grows_into_the_new_shard_only(spark):
+    """For every number of shards, and for a weight that changes inside a region."""
+    keys = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    at = None
+    for n in range(1, 17):
+        now = by_id(assign_shards(keys, hash_tree(n)).select("doc_id", "shard"))
+        assert {x[0] for x in now.values()} == set(range(n))
+        assert at is None or all(now[i] in (at[i], (n - 1,)) for i in at)
+        at = now
+    tree = hash_tree(8)
+    region = tree.children[0]
+    heavy = Node(region.name, (region.children[0], Node(region.children[1].name, (Node("x", shard=2, own_weight=4.0), region.children[1].children[1]))))
+    before, after = (by_id(assign_shards(keys, t).select("doc_id", "shard")) for t in (tree, Node("root", (heavy, tree.children[1]))))
+    assert all(after[i] in (before[i], (2,)) for i in before) and sum(x == (2,) for x in after.values()) > 2 * sum(x == (2,) for x in before.values())
+
+
+def test_sharding_many_alike_rows(spark):
+    rows = [(7, "same")] * 500 + [(None, None)] * 300 + [(100 + i, "t") for i in range(50)]
+    got = assign_shards(docs(spark, rows), hash_tree(4)).collect()
+    assert len(got) == len(rows) and sum(x.doc_id == 7 for x in got) == 500
+    for k in {x.shard for x in got}:
+        assert sorted(x.slot for x in got if x.shard == k) == list(range(sum(x.shard == k for x in got)))
+
+
 # language model
 
 
@@ -287,6 +379,21 @@ def test_scores_odd(spark, odd):
         assert x[:5] == y[:5] and close(x[5], y[5]) and close(x[6], y[6])
 
 
+def test_scores_of_a_long_text(spark):
+    rows = [(1, LONG[:40_000]), (2, "Ab the"), (11, LONG[100:3000]), (5, None)]
+    got = sorted((tuple(x) for x in ctw.score_texts(docs(spark, rows), chunk_bytes=20_000).collect()), key=str)
+    want = sorted(((i, *b, s) for (i, _), b, s in zip(rows, brute.base_scores(rows), brute.tree_scores(rows), strict=True)), key=str)
+    for x, y in zip(got, want, strict=True):
+        assert x[:5] == y[:5] and close(x[5], y[5]) and close(x[6], y[6])
+
+
+def test_chunks_have_buckets_of_their_own(spark):
+    for n in (1, 2, 7, 64, 300):
+        labels = ctw._labels(spark, n)
+        dealt = spark.createDataFrame([(x,) for x in labels], "c long").select(F.pmod(F.hash("c"), F.lit(n))).distinct().count()
+        assert len(labels) == n == dealt
+
+
 def test_long_texts_are_cut_without_a_seam(monkeypatch):
     text = bytes(random.Random(3).randrange(256) for _ in range(1000))
     whole = ctw.grams(text)
@@ -338,6 +445,39 @@ def test_urls_relative(spark):
     assert [got[i][1] for i in range(100, 108)] == ["block", "block", "allow", "block", "allow", "allow", "allow", "allow"]
 
 
+def test_urls_ports_comments_scripts_and_long_pages(spark):
+    canonical = "<link rel=canonical href='{}'>".format
+    block = canonical("https://shop.net/")
+    rows = [
+        (1, "https://a.example.org/z", ""),
+        (2, "https://a.example.org:443/z", block),
+        (3, "http://b.example.org:80", block),
+        (4, "HTTP://b.example.org/", ""),
+        (5, "https://c.example.org:80/z", block),
+        (6, "https://c.example.org/z", ""),
+        (7, "https://d.example.org/", f"<!-- {block} -->"),
+        (8, "https://e.example.org/", f"<script>var x = \"{block}\";</script>"),
+        (9, "https://f.example.org/", f"<p>x</p><!-- {block}"),
+        (10, "https://g.example.org/", "<p>filler</p>" * 40_000 + block),
+        *((100 + i, None, block) for i in range(50)),
+    ]
+    got = by_id(judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert {i: got[i][3] for i in range(1, 11)} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "block"}
+    assert all(got[100 + i] == ("", "", None, "allow") for i in range(50))
+
+
+def test_urls_rules_of_equal_length(spark):
+    from contactlake.llm.url_filters import Rule
+
+    rules = (Rule("a.org", "/x/", "block"), Rule("b.a.org", "/", "allow"), Rule("b.a.org", "/x", "block"))
+    got = by_id(judge_urls(spark.createDataFrame([(1, "https://b.a.org/x/1", ""), (2, "https://b.a.org/y", "")], "page_id long, url string, html string"), rules))
+    assert [got[i][2:] for i in (1, 2)] == [("b.a.org/x", "block"), ("b.a.org/", "allow")]
+    ties = (Rule("a.org", "/xyz/", "block"), Rule("b.a.org", "/xy", "allow"))
+    assert len(ties[0].name) == len(ties[1].name)
+    got = by_id(judge_urls(spark.createDataFrame([(1, "https://b.a.org/xyz/1", "")], "page_id long, url string, html string"), ties))
+    assert got[1][2:] == ("b.a.org/xy", "allow")
+
+
 # mixing and licences
 
 
@@ -401,6 +541,31 @@ def test_mixing_odd(spark, odd, none):
     assert mix_sources(none, lab).count() == 0
 
 
+def test_mixing_without_labels_of_a_domain_and_repeated_rows(spark):
+    g = random.Random(3)
+    rows = [(i, " ".join(g.choice(["sun", "moon", "star"] if i % 3 else ["bad", "worse", "worst"]) + g.choice("ab") for _ in range(30))) for i in range(150)]
+    rows += [rows[1]] * 40 + [(None, "sun moon"), (None, None)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="poor"):
+        out = mix_sources(docs(spark, rows), labels).collect()
+    assert len(out) == len(rows) and all(x.p_poor == 0 for x in out)
+    assert len({tuple(x) for x in out if x.doc_id == 1}) == 1
+    assert all(x.copies >= 1 for x in out if x.p_clean > x.p_toxic)
+    whole = {d: sum(x.n_tokens * x.rate * x[f"p_{d}"] for x in out) for d in ("clean", "toxic")}
+    assert abs(whole["toxic"] / sum(whole.values()) - 0.03 / 0.93) < 0.01
+
+
+def test_licenses_long_texts_ties_and_clashing_names(spark):
+    filler = " ".join(f"w{i}" for i in range(60_000))
+    notice = "alpha beta gamma delta epsilon"
+    rows = [(1, "a/x", filler + "\n" + notice), (2, "a/y", notice), (2, "a/y", notice), (3, "b/z", None), (None, "a/q", "nothing")]
+    f = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    for c in ("rid", "n_words", "_x", "dir", "at", "w", "license"):
+        f = f.withColumn(c, F.lit("extra"))
+    got = sorted(((x.doc_id, x.license, x.origin, x.from_dir) for x in scan_licenses(f, (("B", notice), ("A", notice))).collect()), key=str)
+    assert got == sorted([(1, "A", "header", None), (2, "A", "file", None), (2, "A", "file", None), (3, None, "none", None), (None, "A", "inherited", "a")], key=str)
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."),
@@ -475,6 +640,32 @@ def test_licenses_without_cues_and_across_lines(spark):
     assert scan_licenses(f, ()).where("license is not null").count() == 0
 
 
+def test_licenses_table(spark, small):
+    """Every row of the table: matches by brute force, then the nearest directory with a licence file."""
+    from contactlake.llm.licenses import TEMPLATES
+
+    files = [(x.doc_id, x.path, x.text) for x in queries.document_files(spark, SF).orderBy("doc_id").collect()]
+    best = license_brute([t for *_, t in files], TEMPLATES)
+    got = {x.doc_id: x for x in queries.QUERIES["op2_licenses"](spark, SF).collect()}
+    assert len(got) == len(files)
+    folders = {}
+    for (i, path, _), (lic, c) in zip(files, best, strict=True):
+        x = got[i]
+        assert x.path == path
+        if lic:
+            assert x.license == lic and x.origin in ("file", "header") and x.from_dir is None and abs(x.cosine - c) < 2e-6
+        if x.origin == "file":
+            folders.setdefault(path.rpartition("/")[0], []).append((-x.cosine, path, lic))
+    assert sum(lic is not None for lic, _ in best) >= 3
+    for (i, path, _), (lic, _) in zip(files, best, strict=True):
+        if not lic:
+            d = path.rpartition("/")[0]
+            while d not in folders and d:
+                d = d.rpartition("/")[0]
+            want = (min(folders[d])[2], "inherited", d) if d in folders else (None, "none", None)
+            assert (got[i].license, got[i].origin, got[i].from_dir) == want
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
