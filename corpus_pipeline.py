@@ -1,4 +1,8 @@
-"""From raw documents to shards: quality rules, near-dedup, decontamination, mixing, sharding."""
+"""From raw documents to shards: quality rules, near-dedup, decontamination, mixing, sharding.
+
+Every stage but the last returns rows of its input as they are, with all columns, whatever their names; an empty table
+gives an empty one. Rows decide for themselves: null or repeated ids don't matter where a text decides.
+"""
 
 from __future__ import annotations
 
@@ -13,54 +17,61 @@ from contactlake.llm.quality import passing
 from contactlake.llm.sharding import assign_shards, grown_tree, hash_tree
 
 
-#: Tells rows apart within a stage; ids can be null or repeat.
-ROW = "__row_id"
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with an id of their own for each row, written once, so every later read sees the same one."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each row, written once, so every later read sees the same one; and the number's column."""
+    name = "__row"
+    while name in docs.columns:
+        name = "_" + name
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def _kept(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The numbered rows among ids (ROW), without their numbers."""
-    return rows.join(ids.select(ROW), ROW, "left_semi").drop(ROW)
+def _kept(rows: DataFrame, ids: DataFrame, row: str) -> DataFrame:
+    """The numbered rows among ids, without their numbers."""
+    return rows.join(ids.select(row), row, "left_semi").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects; a null or empty text has too few words. Equal rows share their fate."""
     return passing(docs)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, the one with the smallest id (null ids last); every row counts by its own text, whatever its id."""
-    rows = _numbered(docs)
-    near = near_duplicates(rows, MinHash(shingle=5), id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
-    named = near.join(rows.select(ROW, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW).alias("rank")), ROW)
-    return _kept(rows, named.groupBy("component_id").agg(F.min("rank").alias("first")).select(F.col(f"first.{ROW}").alias(ROW)))
+    """One row of each group of near-duplicates.
+
+    The one with the smallest id stays, null ids last; of rows with equal ids the first as read. Texts without words
+    are like no other and all stay.
+    """
+    rows, row = _numbered(docs)
+    near = near_duplicates(rows, MinHash(shingle=5), id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    named = near.join(rows.select(row, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row).alias("rank")), row)
+    return _kept(rows, named.groupBy("component_id").agg(F.min("rank").alias("first")).select(F.col(f"first.{row}").alias(row)), row)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a benchmark's passages."""
-    rows = _numbered(docs)
-    found = contamination(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
-    return _kept(rows, found.where("not contaminated").select(F.col("doc_id").alias(ROW)))
+    """Rows without a benchmark's passages; a text without words has none."""
+    rows, row = _numbered(docs)
+    found = contamination(rows, table(spark, sf_dir, "benchmark"), id_col=row)
+    return _kept(rows, found.where("not contaminated").select(F.col("doc_id").alias(row)), row)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say."""
+    """Documents as often as their rates say.
+
+    Those that most likely are clean stay, once at least. Equal rows are drawn alike; a null id or text counts like any
+    other value. Labels come from the table `labels`; domains that none of the rows' labels name have no target.
+    """
     return mixed(docs, table(spark, sf_dir, "labels"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes."""
+    """Where each document goes, by its id; a row that the mix repeats goes to one shard with each copy a slot of its own."""
     tree = hash_tree(8)
     return assign_shards(docs, tree, grown_tree(tree, 8))
 
 
 STAGES = [("quality rules", quality), ("near-dedup", dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
-#: Hashed features, iterated rates and hash draws have no SQL form; tests compare with plain Python.
+#: Hashed features, fitted rates and hash draws have no SQL form; tests compare with plain Python.
 ORACLE_SQL = None
 
 
