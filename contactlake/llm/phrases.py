@@ -59,7 +59,8 @@ def remove_repeated_phrases(docs: DataFrame, window: int = 13, gram: int = 5, id
     one space.
 
     Documents' passages are dealt to automata by anchor (see repeats): text without an anchor that another document
-    has can hold no recurring phrase, so each passage meets the one automaton that can match it.
+    has can hold no recurring phrase, so each passage meets the one automaton that can match it. Runs of
+    windows with one anchor that recur as a whole are told by 128 bits of hashes before that.
 
     A null text has no words. Rows with the same id and text are one document; with the same id and other text they
     are ordered by the text's hash, as if ids differed; a null id comes before all others. Other columns are ignored.

@@ -4,7 +4,8 @@ A window is `window` symbols of one document. Of the grams of `gram` symbols in
 hash is its anchor (the leftmost of equals). Equal windows have equal anchors at equal places, so windows need only
 be compared under the same anchor hash. Neighbouring windows share an anchor; such a run is one row. A run equal to
 an earlier one as a whole is repeated as a whole. What is left are anchors with several different runs; only their
-text is looked at again, by the caller's engine, one bounded chunk at a time.
+text is looked at again, by the caller's engine, one bounded chunk at a time. Whatever is held to be equal without a
+look at the text agrees in two hashes of 64 bits each, of different symbols' values, besides the anchor's.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def pieces(texts: list[np.ndarray], lay: Layout) -> Iterator[list[tuple[int, int
 
 
 def runs(group: list[tuple[int, int, np.ndarray]], lay: Layout) -> tuple[np.ndarray, ...]:
-    """(row, lo, hi, h, ctx) of the anchors' runs of windows; lo and hi are first and last window start in the text."""
+    """(row, lo, hi, h, ctx, more) of the anchors' runs of windows; lo and hi are first and last window start in the text, ctx and more two hashes of all of a run."""
     w = lay.window - lay.gram + 1
     values = np.concatenate([p for _, _, p in group])
     n = len(values)
@@ -101,10 +102,12 @@ def runs(group: list[tuple[int, int, np.ndarray]], lay: Layout) -> tuple[np.ndar
     new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     lo, hi, at = s[new], s[np.concatenate([new[1:] - 1, [len(s) - 1]])], a[new]
     ctx = mix((sums[hi + lay.window] - sums[lo]) * inv[lo] + (at - lo).astype(U) * U(0x9E3779B97F4A7C15) + (hi - lo).astype(U) * U(0xC2B2AE3D27D4EB4F))
+    again = prefix_sums(mix(values + U(1)))
+    more = mix((again[hi + lay.window] - again[lo]) * inv[lo])
     piece = np.searchsorted(ends, lo, side="right")
     shift = np.array([at for _, at, _ in group]) - first
     rows = np.array([r for r, _, _ in group])
-    return rows[piece], lo + shift[piece], hi + shift[piece], g[at].view(np.int64), ctx.view(np.int64)
+    return rows[piece], lo + shift[piece], hi + shift[piece], g[at].view(np.int64), ctx.view(np.int64), more.view(np.int64)
 
 
 def joined(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +126,7 @@ def joined(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return uid[at], lo[at], reach[np.concatenate([at[1:] - 1, [len(uid) - 1]])]
 
 
-RUN_TYPES = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("uid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+RUN_TYPES = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("more", pa.int64()), ("uid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 MARK_TYPES = pa.schema([("uid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
@@ -132,7 +135,7 @@ def record(types: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def _runs_of(docs: DataFrame, lay: Layout, symbols: Callable[[], Callable[[bytes], np.ndarray]]) -> DataFrame:
-    """Rows (h, ctx, uid, lo, hi); a row with null ctx is a range of windows already known to be repeated.
+    """Rows (h, ctx, more, uid, lo, hi); a row with null ctx is a range of windows already known to be repeated.
 
     Of equal runs in a block only the earliest goes on, so a passage that very many documents share reaches the
     shuffle once per block.
@@ -145,34 +148,34 @@ def _runs_of(docs: DataFrame, lay: Layout, symbols: Callable[[], Callable[[bytes
             texts = binary(batch.column("text"))
             for at in range(0, len(texts), 1000):
                 for group in pieces([of(t or b"") for t in texts[at : at + 1000]], lay):
-                    row, lo, hi, h, ctx = runs(group, lay)
+                    row, lo, hi, h, ctx, more = runs(group, lay)
                     uid = ids[at + row]
-                    order = np.lexsort((lo, uid, ctx, h))
-                    row, lo, hi, h, ctx, uid = (x[order] for x in (row, lo, hi, h, ctx, uid))
-                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])])
+                    order = np.lexsort((lo, uid, more, ctx, h))
+                    row, lo, hi, h, ctx, more, uid = (x[order] for x in (row, lo, hi, h, ctx, more, uid))
+                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]) | (more[1:] != more[:-1])])
                     first = np.flatnonzero(new)[np.cumsum(new) - 1]
                     again = uid > uid[first]
                     if lay.within:
                         again |= (uid == uid[first]) & (lo > lo[first])
                     keep = ~again
-                    yield record(RUN_TYPES, h[keep], ctx[keep], uid[keep], lo[keep], hi[keep])
+                    yield record(RUN_TYPES, h[keep], ctx[keep], more[keep], uid[keep], lo[keep], hi[keep])
                     if again.any():
                         u, x, y = joined(uid[again], lo[again], hi[again])
-                        yield pa.RecordBatch.from_arrays([pa.array(mix(u.view(U)).view(np.int64)), pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], schema=RUN_TYPES)
+                        yield pa.RecordBatch.from_arrays([pa.array(mix(u.view(U)).view(np.int64)), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], schema=RUN_TYPES)
 
-    return docs.mapInArrow(run, "h long, ctx long, uid long, lo int, hi int")
+    return docs.mapInArrow(run, "h long, ctx long, more long, uid long, lo int, hi int")
 
 
 def _classified(found: DataFrame, lay: Layout) -> DataFrame:
     """(h, hot, uid, lo, hi): repeated ranges with null h, and runs to look at with the number of runs under h."""
-    by_run = Window.partitionBy("h", "ctx").orderBy("uid", "lo")
+    by_run = Window.partitionBy("h", "ctx", "more").orderBy("uid", "lo")
     by_h = Window.partitionBy("h")
     first_uid, first_lo = F.first("uid").over(by_run), F.first("lo").over(by_run)
     again = F.col("uid") > first_uid
     if lay.within:
         again = again | ((F.col("uid") == first_uid) & (F.col("lo") > first_lo))
     rows = found.repartition("h").withColumn("again", F.col("ctx").isNull() | again)
-    several = F.min("ctx").over(by_h) != F.max("ctx").over(by_h)
+    several = (F.min("ctx").over(by_h) != F.max("ctx").over(by_h)) | (F.min("more").over(by_h) != F.max("more").over(by_h))
     if not lay.within:
         several = several & (F.min("uid").over(by_h) != F.max("uid").over(by_h))
     rows = rows.withColumn("several", several).withColumn("n", F.count("*").over(by_h))
