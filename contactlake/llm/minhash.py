@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import discard, release, stored
 from .graph import connected_components
 from .shingles import WordHashes, batches, binary, mix, shingle_set
 
@@ -309,6 +309,8 @@ def near_duplicates(docs: DataFrame, p: MinHash | None = None, id_col: str = "do
     last = stored(_leftover_links(stored(inside.join(split, "key"), "leftover"), sigs, texts, p), "links")
     if not last.isEmpty():
         comp = connected_components(links.unionByName(last), "a", "b")
+    for done in (sk, met, near, texts, best, links, more, last):
+        discard(done)
     release(sk.sparkSession)
     out = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
