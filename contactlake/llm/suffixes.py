@@ -99,8 +99,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, id
     runs. kept: the bytes left (a cut may fall within a character).
 
     Sorting every suffix of the corpus would move several times the input at each level of the recursion, so only
-    text that can repeat is sorted: see repeats. That step loses nothing; what it passes on is sorted by difference
-    cover, a chunk of anchors at a time, and neighbours are compared over the whole window.
+    text that can repeat is sorted: see repeats. That step overlooks no repeat; runs it finds repeated as a whole are
+    told by 128 bits of hashes. What it passes on is sorted by difference cover, a chunk of anchors at a time, and
+    neighbours are compared over the whole window.
 
     A null text is empty. Rows with the same id and text are one document; with the same id and other text they are
     ordered by the text's hash; a null id comes before all others. Other columns are ignored. An empty table gives an
