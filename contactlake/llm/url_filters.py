@@ -88,10 +88,10 @@ def _resolved(base: Column, target: Column) -> Column:
     )
 
 
-#: What a browser doesn't read as tags: comments and scripts, to the end of the page if they aren't closed.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
-TAG = r"(?is)<(?:link|meta)\b[^>]*>"
-BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+#: Tags that tell aliases, and what hides such tags from a browser, passed over in the same scan: comments and scripts, to
+#: the end of the page if they aren't closed.
+SEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<(?:link|meta|base)\b[^>]*>"
+BASE = r"""(?is)^<base\b[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -104,10 +104,11 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     value = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
     html = F.col("html")
     marked = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(F.col("url").isNotNull() & html.rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?\s*refresh"))
-    marked = marked.withColumn("html", F.regexp_replace("html", HIDDEN, " "))
-    told = F.regexp_replace(F.regexp_extract(html, BASE, 1), "&amp;", "&")
-    base = F.coalesce(F.when(told != "", _resolved(F.col("url"), told)), F.col("url"))
-    tags = marked.select("url", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag"))
+    seen = F.filter(F.regexp_extract_all("html", F.lit(SEEN), F.lit(0)), lambda t: t.rlike(r"(?i)^<(?:link|meta|base)"))
+    marked = marked.select("url", seen.alias("tags"))
+    told = F.get(F.filter(F.transform("tags", lambda t: F.regexp_replace(F.regexp_extract(t, BASE, 1), "&amp;", "&")), lambda x: x != ""), F.lit(0))
+    base = F.coalesce(_resolved(F.col("url"), told), F.col("url"))
+    tags = marked.select("url", base.alias("base"), F.explode("tags").alias("tag"))
     tag = F.col("tag")
     canonical = F.when(tag.rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), F.regexp_extract(tag, r"(?i)\bhref" + value, 1))
     refresh = F.when(tag.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"), F.regexp_extract(tag, r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
