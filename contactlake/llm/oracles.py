@@ -71,4 +71,39 @@ r as (select * from (values ('net', '/', 'block'), ('example.net', '/en/', 'allo
 m as (select page_id, concat(h, q) as rule, v from p join r on (host = h or ends_with(host, concat('.', h))) and starts_with(path, q) qualify row_number() over (partition by page_id order by length(concat(h, q)) desc) = 1)
 select p.page_id, host, path, rule, coalesce(v, 'allow') as verdict from p left join m on m.page_id = p.page_id"""
 
-ORACLES = {"op3_minhash": NEAR, "op4_quality": QUALITY, "op5_suffix_array": BYTES, "op6_decontaminate": CONTAMINATION, "op8_substrings": PHRASES, "op10_url_filters": URLS}
+GROUP_TERMS = "regexp_extract_all({}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')".format(LOWER.format(TEXT))
+SHARE = "(1 + (1000000000::hugeint * ({} + 5)) // ({} + 5 * {}))"
+DIVERGENCE = f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {GROUP_TERMS} as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*) as n from t group by all having count(distinct r) >= 30),
+v as (select lang, count(*) as v, sum(n) as n from k group by lang),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from t semi join k using (lang, term) group by all),
+s as (select g.lang, g.source, coalesce(sum(c.n), 0) as n from g left join c on c.lang = g.lang and c.source = g.source group by all),
+p as (select s.lang, s.source, k.term, coalesce(c.n, 0) as c, {SHARE.format("coalesce(c.n, 0)", "s.n", "v.v")} as p, {SHARE.format("k.n", "v.n", "v.v")} as q
+   from s join k on k.lang = s.lang join v on v.lang = s.lang left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+pairs as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by all),
+x as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pairs.value, 0)::bigint as value from g a join g b on b.lang = a.lang and b.source <> a.source
+   left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+   union all select lang, source, 'term', term, (p - q)::bigint from p where c > 0 and p > q)
+select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from x qualify part = 'pair' or rank <= 50"""
+
+
+def lloyd_sql(rounds: int = 10) -> str:
+    """Each round is a table of its own."""
+    floored = "((total - ((total % n) + n) % n) // n)::bigint"
+    nearest = "d{k} as materialized (select vec_id, c.cluster, sum((v.x - c.x) * (v.x - c.x))::bigint as d from v join c{k} c on c.j = v.j group by all), a{k} as materialized (select vec_id, cluster, d from d{k} qualify row_number() over (partition by vec_id order by d, cluster) = 1)"
+    moved = "c{n} as materialized (select c.cluster, c.j, coalesce({floored}, c.x) as x from c{k} c left join (select cluster, j, sum(x)::hugeint as total, count(*) as n from a{k} join v using (vec_id) group by all) m on m.cluster = c.cluster and m.j = c.j)"
+    steps = [nearest.format(k=k) + ", " + moved.format(k=k, n=k + 1, floored=floored) for k in range(rounds)]
+    return f"""
+with e as (select vec_id, embedding from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+v as materialized (select vec_id, unnest(range(64)) as j, unnest(list_transform(embedding, lambda x: floor(1024 * x::double)::bigint)) as x from e),
+s as materialized (select vec_id, row_number() over (order by sha256(concat('3:', vec_id))) - 1 as cluster from e qualify cluster < 8),
+c0 as materialized (select cluster, j, x from s join v using (vec_id)),
+{", ".join(steps)}, {nearest.format(k=rounds)},
+h as (select cluster, sha256(string_agg(x::varchar, ',' order by j)) as centroid_sha256 from c{rounds} group by cluster)
+select vec_id, cluster::int as cluster, d as distance, (sum(d) over (partition by cluster))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, centroid_sha256 from a{rounds} join h using (cluster)"""
+
+
+ORACLES = {"op3_minhash": NEAR, "op4_quality": QUALITY, "op5_suffix_array": BYTES, "op6_decontaminate": CONTAMINATION, "op8_substrings": PHRASES, "op10_url_filters": URLS, "op11_divergence": DIVERGENCE, "op13_centroids": lloyd_sql()}

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster_vectors
 from .common import spread, table
 from .ctw import score_texts
 from .decontaminate import contamination
+from .divergence import source_divergence
 from .licenses import scan_licenses
 from .minhash import MinHash, near_duplicates
 from .mixing import mix_sources
+from .neighbours import nearest_neighbours
 from .oracles import ORACLES
 from .phrases import remove_repeated_phrases
 from .quality import quality_verdicts
@@ -73,6 +76,18 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(document_files(spark, sf_dir))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spread(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(spread(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_licenses": op2_licenses,
@@ -84,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
+    "op11_divergence": op11_divergence,
+    "op12_neighbours": op12_neighbours,
+    "op13_centroids": op13_centroids,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
