@@ -193,10 +193,10 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 20, index: PermutationIndex = PermutationIndex(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each row that `query` (a condition on vec_id) holds for.
 
-    Candidates are all rows but those of the query's own id; all of them, if they are no more than k. Scores are the inner product in double
+    Candidates are all rows but the query's own; all of them, if they are no more than k. Scores are the inner product in double
     precision, its terms added from the first component on; equal scores rank by smaller vec_id. Rows without an id, and those whose vector is
-    null, empty, all zero, or holds null, NaN or infinities take no part. Rows alike in id and vector count once; one id with several vectors
-    asks with each of them. A shorter vector counts as filled up with zeros. Other columns are ignored, whatever their names. An empty
+    null, empty, all zero, or holds null, NaN or infinities take no part. Rows alike in id and vector count once; an id with several vectors
+    is as many rows. A shorter vector counts as filled up with zeros. Other columns are ignored, whatever their names. An empty
     table gives an empty result.
 
     Equal vectors are one class, of which only its k + 1 smallest ids can be among the nearest of any query; the index holds
@@ -254,9 +254,9 @@ def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 20, index: Pe
         more = _met(every, short, [size.n], [n], need, None, index)
         found = stored(_top(found.join(short.select("qcid"), "qcid", "left_anti").unionByName(more), need), "found")
 
-    rows_of = found.join(classes.select("cid", "ids"), "cid").select("qcid", "score", F.explode("ids").alias("vec_id"))
+    rows_of = found.join(classes.select("cid", "ids"), "cid").select("qcid", "cid", "score", F.explode("ids").alias("vec_id"))
     best = rows_of.withColumn("rn", F.row_number().over(Window.partitionBy("qcid").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rn") <= need)
-    best = best.groupBy("qcid").agg(F.sort_array(F.collect_list(F.struct("rn", "vec_id", "score"))).alias("best"))
-    of_query = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    best = best.groupBy("qcid").agg(F.sort_array(F.collect_list(F.struct("rn", "vec_id", "score", "cid"))).alias("best"))
+    of_query = F.slice(F.filter("best", lambda x: (x["vec_id"] != F.col("query_id")) | (x["cid"] != F.col("qcid"))), 1, k)
     out = asking.join(best, "qcid").select("query_id", F.posexplode(of_query).alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
