@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, stored
 from .graph import connected_components
 
 
@@ -107,14 +107,19 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     seen = F.filter(F.regexp_extract_all("html", F.lit(SEEN), F.lit(0)), lambda t: t.rlike(r"(?i)^<(?:link|meta|base)"))
     marked = marked.select("url", seen.alias("tags"))
     told = F.get(F.filter(F.transform("tags", lambda t: F.regexp_replace(F.regexp_extract(t, BASE, 1), "&amp;", "&")), lambda x: x != ""), F.lit(0))
-    base = F.coalesce(_resolved(F.col("url"), told), F.col("url"))
-    tags = marked.select("url", base.alias("base"), F.explode("tags").alias("tag"))
+    tags = marked.select("url", told.alias("told"), F.explode("tags").alias("tag"))
     tag = F.col("tag")
     canonical = F.when(tag.rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), F.regexp_extract(tag, r"(?i)\bhref" + value, 1))
     refresh = F.when(tag.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"), F.regexp_extract(tag, r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
     target = F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&")
-    seen = tags.select("url", "base", target.alias("target")).where("target <> ''")
-    return seen.select(url_node(F.col("url")).alias("u"), url_node(_resolved(F.col("base"), F.col("target"))).alias("v")).where("u <> v").distinct()
+    # each step is written, else the optimiser would paste a step's whole expression into the next, as often as it is named there
+    links = stored(tags.select("url", "told", target.alias("target")), "links").where("target <> ''")
+    if links.isEmpty():
+        return pages.sparkSession.createDataFrame([], "u string, v string")
+    links = stored(links.select("url", F.coalesce(_resolved(F.col("url"), F.col("told")), F.col("url")).alias("base"), "target"), "bases")
+    links = stored(links.select("url", _resolved(F.col("base"), F.col("target")).alias("to")), "targets")
+    nodes = stored(links.select(url_node(F.col("url")).alias("u"), url_node(F.col("to")).alias("v")), "nodes")
+    return nodes.where("u <> v").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
