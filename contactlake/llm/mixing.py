@@ -18,8 +18,8 @@ TARGETS = {"clean": 0.90, "poor": 0.07, "toxic": 0.03}
 
 @dataclass(frozen=True)
 class Mixing:
-    """targets: weights by domain. keep: a domain whose tokens aren't lowered: the whole grows instead, and a document
-    that most likely belongs to it has a rate of 1 or more.
+    """targets: weights by domain. keep: if given, a domain whose tokens aren't lowered: the whole grows instead, and a document
+    that most likely belongs to it has a rate of 1 or more, which may put the targets out of reach.
 
     sample_rows: about so many labelled rows (by a hash of the id) train the classifier, the documented bound; buckets:
     hashed words, of which those seen in min_count sampled rows or more count; most: bounds what one word can say.
@@ -29,7 +29,7 @@ class Mixing:
     """
 
     targets: dict[str, float] = field(default_factory=lambda: dict(TARGETS))
-    keep: str | None = "clean"
+    keep: str | None = None
     sample_rows: int = 8000
     buckets: int = 1 << 15
     min_count: int = 3

@@ -466,6 +466,14 @@ def test_urls_ports_comments_scripts_and_long_pages(spark):
     assert all(got[100 + i] == ("", "", None, "allow") for i in range(50))
 
 
+def test_urls_plan_stays_small(spark):
+    """No step's expression is pasted into the next."""
+    rows = [(1, "https://a.example.org/d/e", "<base href='/o/'><link rel=canonical href='../x?y'>"), (2, "https://a.example.org/x?y", "<link rel=canonical href='https://shop.net/'>")]
+    out = judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {i: x[3] for i, x in by_id(out).items()} == {1: "block", 2: "block"}
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
 def test_urls_rules_of_equal_length(spark):
     from contactlake.llm.url_filters import Rule
 
@@ -666,6 +674,15 @@ def test_licenses_table(spark, small):
             assert (got[i].license, got[i].origin, got[i].from_dir) == want
 
 
+def test_mixing_meets_its_targets(spark):
+    from contactlake.llm.mixing import TARGETS
+
+    rows = queries.QUERIES["op1_mixing"](spark, SF).collect()
+    whole = sum(x.rate * x.n_tokens for x in rows)
+    for d, share in TARGETS.items():
+        assert abs(sum(x.rate * x.n_tokens * x[f"p_{d}"] for x in rows) / whole - share) < 1e-3
+
+
 def test_empty_tables(spark, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
