@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from contactlake.llm.common import stored, table
 from contactlake.llm.decontaminate import contamination
 from contactlake.llm.minhash import MinHash, near_duplicates
-from contactlake.llm.mixing import mixed
+from contactlake.llm.mixing import Mixing, mixed
 from contactlake.llm.quality import passing
 from contactlake.llm.sharding import assign_shards, grown_tree, hash_tree
 
@@ -57,10 +57,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say.
 
-    Those that most likely are clean stay, once at least. Equal rows are drawn alike; a null id or text counts like any
+    Those that most likely are clean stay, once at least, even where that puts the targets out of reach: a stage that
+    filters keeps clean documents. Equal rows are drawn alike; a null id or text counts like any
     other value. Labels come from the table `labels`; domains that none of the rows' labels name have no target.
     """
-    return mixed(docs, table(spark, sf_dir, "labels"))
+    return mixed(docs, table(spark, sf_dir, "labels"), Mixing(keep="clean"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
