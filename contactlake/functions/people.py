@@ -16,17 +16,22 @@ def name_email(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract(text, PAIR, 1).alias("name"), F.regexp_extract(text, PAIR, 2).alias("email")
 
 
+def _pairs(text: Column, shape: str, name: int, role: int) -> Column:
+    """Array of (name, role), the shape's groups of those numbers."""
+    names, roles = (F.regexp_extract_all(text, F.lit(shape), F.lit(k)) for k in (name, role))
+    return F.zip_with(names, roles, lambda n, r: F.struct(n.alias("name"), r.alias("role")))
+
+
 def pressed(text: Column) -> Column:
     """Array of (name, role) from sentences like `Ann Lee, Chief Executive Officer of X`."""
-    return F.arrays_zip(F.regexp_extract_all(text, F.lit(NAME_THEN_ROLE), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(NAME_THEN_ROLE), F.lit(2)).alias("role"))
+    return _pairs(text, NAME_THEN_ROLE, 1, 2)
 
 
 def pressed_reversed(text: Column) -> Column:
     """Array of (name, role) from `Group Chairman Mr. Bo Ek`; names must look like names."""
     from .names import looks_like
 
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(ROLE_THEN_NAME), F.lit(2)).alias("name"), F.regexp_extract_all(text, F.lit(ROLE_THEN_NAME), F.lit(1)).alias("role"))
-    return F.filter(both, lambda x: looks_like(x["name"]))
+    return F.filter(_pairs(text, ROLE_THEN_NAME, 2, 1), lambda x: looks_like(x["name"]))
 
 
 def from_headline(title: Column) -> tuple[Column, Column]:

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+from pyspark.sql.types import StructType
 
 import contactlake.functions
 from contactlake.functions import dom
@@ -44,6 +46,43 @@ def parsed(pages: DataFrame, *stages: str, id_col: str = "page_id", html_col: st
     return spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))).mapInArrow(run, SCHEMA)
 
 
+#: What a stage tells of its finds, where it tells less than all.
+TOLD = {"structured": ("kind", "name", "title", "email", "phone", "link", "value"), "cards": ("name", "title", "email", "phone", "link"), "class_cards": ("name", "title", "email"), "blocks": ("value",), "links": ("kind", "link")}
+
+
+def register_page_facts(spark: SparkSession, name: str = "page_facts") -> None:
+    """Makes the table function `page_facts(TABLE(pages), stage)` callable from SQL.
+
+    It takes any table with a column html and gives all its other columns and pos, then what the stage tells of each find: rows by
+    page and pos. An unknown stage, a table without html or one whose columns clash with those added is refused when the query is analysed. A null
+    html has no finds.
+    """
+    tree, stages, fields, told = dom.tree, dom.STAGES, dom.FIELDS, TOLD
+
+    class PageFacts:
+        @staticmethod
+        def analyze(pages: AnalyzeArgument, stage: AnalyzeArgument) -> AnalyzeResult:
+            if not pages.isTable or "html" not in pages.dataType.names:
+                raise ValueError("page_facts needs a table with a column html")
+            if stage.value not in told:
+                raise ValueError(f"page_facts knows {', '.join(sorted(told))}; not {stage.value}")
+            kept = [f for f in pages.dataType.fields if f.name != "html"]
+            added = StructType().add("pos", "integer")
+            for field in told[stage.value]:
+                added.add(field, "string")
+            if clash := {f.name for f in kept} & set(added.names):
+                raise ValueError(f"page_facts adds {', '.join(sorted(clash))} itself")
+            return AnalyzeResult(StructType(kept + added.fields))
+
+        def eval(self, page: Row, stage: str):
+            kept = [v for k, v in page.asDict().items() if k != "html"]
+            at = [fields.index(f) for f in told[stage]]
+            for pos, found in enumerate(stages[stage](tree(page["html"] or ""))):
+                yield (*kept, pos, *[found[i] for i in at])
+
+    spark.udtf.register(name, udtf(PageFacts))
+
+
 def mapped(rows: DataFrame, key: str, value: str, f, schema: str) -> DataFrame:
     """(key, …) of each tuple that f gives for a row's value; schema names the rest."""
     cols = [x.split()[0] for x in schema.split(", ")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compositions, crawl, pagequeries, relational, resolution, scalar, streams  # noqa: F401
+from . import compositions, crawl, pagequeries, relational, resolution, scalar, sqlsurface, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
