@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from contactlake.functions.values import EXPANSION_COUNTRIES
 from contactlake.operators import directory as d
-from contactlake.operators.retry import retried
+from contactlake.operators.retry import RETRYABLE
+from contactlake.streaming import state as s
 from contactlake.streaming import worker as w
 
 from .registry import query
@@ -38,13 +41,38 @@ def stream_counters(t):
 
 @query("stream_incremental_merge", "select user_id, event_type, max(event_id) as event_id, arg_max(value, event_id) as value from events group by user_id, event_type")
 def stream_incremental_merge(t):
-    return w.merged_stream(stream(t), t.spark, ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "value")
+    """Three batches; the table is read from the state store."""
+    at = w.folder(t.spark, "merged")
+    rows = s.arrived(t.events.select("user_id", "event_type", "event_id", "ts", "value"), "event_id", 3, at)
+    table, _ = s.merged(rows, ["user_id", "event_type"], ["event_id", "ts", "value"], ["event_id", "ts"], at)
+    return table.select("user_id", "event_type", "event_id", "value")
+
+
+#: A row that ends a stream in tests and bounded runs: its time moves the watermark past all others.
+END = {"ts": datetime.datetime(2200, 1, 1)}
+
+
+def timed(t, name: str, machine, *columns, parts: int = 3):
+    """What the machine tells of the events, as they arrive in files."""
+    at = w.folder(t.spark, name)
+    rows = s.arrived(t.events.select(*columns, F.col("event_id").alias("n"), "ts"), "n", parts, at, END)
+    return s.in_order(rows, machine, at)
+
+
+DAY = 86_400
 
 
-@query("stream_domain_cache", "select domain, exists (select 1 from mx where mx.domain = e.domain) as has_mx from (select distinct concat('c', user_id, '.example.com') as domain from events) e")
+@query("stream_domain_cache", """
+    with recursive u as (select concat('c', user_id, '.example.com') as domain, ts from events),
+      l as (select domain, min(ts) as seen from u group by domain
+        union all select l.domain, (select min(u.ts) from u where u.domain = l.domain and u.ts >= l.seen + interval 86400 second) as seen from l where l.seen is not null)
+    select domain, seen, exists (select 1 from mx where mx.domain = l.domain) as has_mx,
+      (select count(*) from u where u.domain = l.domain and u.ts >= l.seen and u.ts < l.seen + interval 86400 second) as uses from l where seen is not null""")
 def stream_domain_cache(t):
-    addresses = stream(t).select(F.concat(F.lit("a@c"), F.col("user_id").cast("string"), F.lit(".example.com")).alias("email"))
-    return w.domain_cache(addresses, t.mx, t.spark)
+    """Domains of a stream of addresses are looked up once while they are alive, a day, and again at their next use after that."""
+    told = timed(t, "domains", s.Memo(ttl=DAY), F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit(".example.com")).alias("key"))
+    known = t.mx.select(F.col("domain").alias("key"), F.lit(True).alias("known")).dropDuplicates(["key"])
+    return told.join(known, "key", "left").select(F.col("key").alias("domain"), F.timestamp_micros("at").cast(t.events.schema["ts"].dataType).alias("seen"), F.coalesce("known", F.lit(False)).alias("has_mx"), "uses")
 
 
 #: Fixed: how much each job takes from its queue in a cycle, and how many companies a country should have.
@@ -90,14 +118,26 @@ def stream_queue_drain(t):
       c as (select user_id, min(i) as cut from k where misses >= 3 or have >= 4 group by user_id)
     select e.event_id from e left join c on c.user_id = e.user_id where c.cut is null or e.i <= c.cut""")
 def stream_throttle_breaker(t):
-    """Queries of a run up to the third miss in a row, or the one after which twice the wanted domains (2) are known."""
-    w_ = Window.partitionBy("user_id").orderBy("event_id")
-    e = t.events.select("event_id", "user_id", (F.col("event_id") % 7).alias("found"), F.col("event_type").isin("error", "click").alias("bad"))
-    fresh = (~F.col("bad")) & (F.row_number().over(Window.partitionBy("user_id", "found", "bad").orderBy("event_id")) == 1)
-    e = e.withColumn("grp", F.sum((~F.col("bad")).cast("int")).over(w_)).withColumn("fresh", fresh.cast("int"))
-    e = e.withColumn("misses", F.sum(F.col("bad").cast("int")).over(Window.partitionBy("user_id", "grp").orderBy("event_id"))).withColumn("have", F.sum("fresh").over(w_))
-    cut = F.min(F.when((F.col("misses") >= 3) | (F.col("have") >= 2 * 2), F.col("event_id"))).over(Window.partitionBy("user_id"))
-    return e.withColumn("cut", cut).where("cut is null or event_id <= cut").select("event_id")
+    """Queries of a run up to the third miss in a row, or the one after which twice the wanted domains (2) are known; three batches."""
+    told = timed(t, "breaker", s.Breaker(misses=3, enough=2 * 2), F.col("user_id").alias("key"), (F.col("event_id") % 7).alias("found"), F.col("event_type").isin("error", "click").alias("bad"))
+    return told.where("what = 'asked'").select(F.col("n").alias("event_id"))
+
+
+#: Queries up to the third miss in a row; half a day later the breaker is closed again.
+REST = DAY // 2
+
+
+@query("stream_breaker_closes", f"""
+    with recursive e as (select user_id, event_id, ts, event_type in ('error', 'click') as bad, row_number() over (partition by user_id order by event_id) as i from events),
+      run as (select user_id, i, event_id, ts, bad::int as misses, null::timestamp as since from e where i = 1
+        union all select user_id, i, event_id, ts, case when held then 0 when opened is not null then bad::int when not bad then 0 else misses + 1 end, case when held then opened end
+        from (select *, coalesce(ts < opened + interval {REST} second, false) as held from (select e.*, run.misses, case when run.since is not null then run.since when run.misses >= 3 then run.ts end as opened from run join e on e.user_id = run.user_id and e.i = run.i + 1) x) y),
+      fixed as (select user_id, i, event_id, ts, since is not null as held from run)
+    select event_id from fixed where not held""")
+def stream_breaker_closes(t):
+    """Timers close an open breaker: what is asked before, between and after."""
+    told = timed(t, "breaker", s.Breaker(misses=3, enough=1 << 30, cooldown=REST), F.col("user_id").alias("key"), F.lit(0).cast("long").alias("found"), F.col("event_type").isin("error", "click").alias("bad"))
+    return told.where("what = 'asked'").select(F.col("n").alias("event_id"))
 
 
 STATUS = "case event_type when 'click' then 429 when 'signup' then 503 when 'purchase' then 404 when 'view' then 200 end"
@@ -108,8 +148,20 @@ STATUS = "case event_type when 'click' then 429 when 'signup' then 503 when 'pur
       l as (select user_id, coalesce(min(n) filter (n = 2 or status in (404, 200)), max(n)) as last from t where n <= 2 group by user_id)
     select user_id, status::int as status, (n + 1)::int as tries, 1.5::double * n * (n + 1) / 2 as waited, status is null as failed from t join l using (user_id) where n = last""")
 def stream_retry_backoff(t):
-    """Tries of a client that backs off in even steps from busy servers and broken connections."""
-    return retried(t.events.selectExpr("user_id", "event_id", STATUS + " as status"), "user_id", "event_id")
+    """Tries of a client that backs off in even steps from busy servers and broken connections: its last one."""
+    told = timed(t, "backoff", s.Backoff(RETRYABLE), F.col("user_id").alias("key"), F.expr(STATUS).cast("int").alias("status")).where("what = 'answer'")
+    last = told.groupBy("key").agg(F.max_by(F.struct("status", "tries", "waited", "failed"), "tries").alias("x"))
+    return last.select(F.col("key").alias("user_id"), "x.status", "x.tries", (F.col("x.waited") / F.lit(float(s.SECOND))).alias("waited"), "x.failed")
+
+
+@query("stream_retry_due", f"""
+    with t as (select user_id, ts, {STATUS} as status, row_number() over (partition by user_id order by event_id) - 1 as n, lead(ts) over (partition by user_id order by event_id) as next from events),
+      l as (select user_id, coalesce(min(n) filter (n = 2 or status in (404, 200)), max(n) + 1) as last from t where n <= 2 group by user_id)
+    select user_id, (n + 2)::int as tries, ts + (1500000 * (n + 1)) * interval 1 microsecond as due from t join l using (user_id) where n < last and (next is null or next >= ts + (1500000 * (n + 1)) * interval 1 microsecond)""")
+def stream_retry_due(t):
+    """When timers told a client to try again: its answer had not come before."""
+    told = timed(t, "backoff", s.Backoff(RETRYABLE), F.col("user_id").alias("key"), F.expr(STATUS).cast("int").alias("status")).where("what = 'due'")
+    return told.select(F.col("key").alias("user_id"), "tries", F.timestamp_micros("at").cast(t.events.schema["ts"].dataType).alias("due"))
 
 
 def _count(batch) -> None:
@@ -147,9 +199,9 @@ def stream_job_error_isolation(t):
 def stream_heartbeat(t):
     """The status after a run: what the last progress told."""
     k = _ran(t)
-    s = k.status()
+    now = k.status()
     k.close()
-    return t.spark.createDataFrame([(s["running"], s["cycles"], s["last"]["numInputRows"])], "running boolean, cycles long, rows long")
+    return t.spark.createDataFrame([(now["running"], now["cycles"], now["last"]["numInputRows"])], "running boolean, cycles long, rows long")
 
 
 @query("stream_stop_wake", "select true as after_wake, false as after_stop, 1::bigint as cycles")
@@ -159,9 +211,9 @@ def stream_stop_wake(t):
     k.wake()
     after_wake = k.running and k.start() is k.query
     k.stop()
-    s = k.status()
+    now = k.status()
     k.close()
-    return t.spark.createDataFrame([(after_wake, s["running"], s["cycles"])], "after_wake boolean, after_stop boolean, cycles long")
+    return t.spark.createDataFrame([(after_wake, now["running"], now["cycles"])], "after_wake boolean, after_stop boolean, cycles long")
 
 
 @query("window_tumbling_extra", "select date_trunc('hour', ts) as hour, count(*) as n from events group by 1")
