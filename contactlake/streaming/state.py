@@ -16,12 +16,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 import contactlake.streaming
 
-from .worker import folder
+from .worker import ROCKS, folder
 
 # the machines travel to executors with the task
 cloudpickle.register_pickle_by_value(contactlake.streaming)
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SECOND = 1_000_000
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def folder(spark: SparkSession, tag: str) -> str:
     """A fresh folder that all executors share; only where no such place is set, a local one that goes with the process."""
@@ -90,20 +92,14 @@ def newest(log: DataFrame, keep: int = 300) -> DataFrame:
 
 
 def counters(events: DataFrame, spark: SparkSession, at: str | None = None) -> DataFrame:
-    """(job, n, errors): counts by job, folded batch by batch into the stored ones."""
+    """(job, n, errors): counts by job, kept in the stream's state and read from there; partitions count before they shuffle."""
     at = at or folder(spark, "counters")
-    table = Versions(spark, f"{at}/rows")
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        new = batch.groupBy(F.col("event_type").alias("job")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
-        old = table.read(before=epoch)
-        if old is not None:
-            new = old.unionByName(new).groupBy("job").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
-        table.write(new, epoch)
-
-    _run(events, at, fold)
-    rows = table.read()
-    return rows if rows is not None else spark.createDataFrame([], "job string, n long, errors long")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    told = events.select(F.col("event_type").alias("job"), (F.col("event_type") == "error").cast("long").alias("failed"))
+    counts = told.groupBy("job").agg(F.count("*").alias("n"), F.sum("failed").alias("errors"))
+    counts.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    state = spark.read.format("statestore").load(f"{at}/state")  # named by their functions there
+    return state.select(F.col("key.job").alias("job"), F.col("value.count").alias("n"), F.coalesce("value.sum", F.lit(0).cast("long")).alias("errors"))
 
 
 def run_jobs(batch: DataFrame, jobs: dict) -> list[tuple[str, str | None]]:
@@ -118,41 +114,47 @@ def run_jobs(batch: DataFrame, jobs: dict) -> list[tuple[str, str | None]]:
     return out
 
 
-def merged_stream(events: DataFrame, spark: SparkSession, keys: list[str], at: str | None = None) -> DataFrame:
-    """Latest row per key, merged batch by batch: each batch folds into a new version of the table, the last one counts."""
-    at = at or folder(spark, "merged")
-    table = Versions(spark, f"{at}/rows")
-    order = F.struct("event_id", "ts")
-
-    def latest(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(F.max_by(F.struct("event_id", "ts", "value"), order).alias("x")).select(*keys, "x.*")
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        new, old = latest(batch), table.read(before=epoch)
-        table.write(new if old is None else latest(old.unionByName(new)), epoch)
+class CycleLog:
+    """The log of a worker: a file for each cycle, and every `every` cycles one file of the newest `keep` rows in place of all before.
 
-    rows = events.select(*keys, "event_id", "ts", "value")
-    _run(rows, at, fold)
-    out = table.read()
-    return out if out is not None else spark.createDataFrame([], rows.schema)
+    So at most `every` + 1 files are kept, however long the worker runs. What a reader sees is the newest such file and the cycles after
+    it; a process that ends between writing that file and removing the old ones loses and repeats nothing.
+    """
 
+    schema = "epoch long, pos int, job string, error string"
 
-def domain_cache(addresses: DataFrame, facts: DataFrame, spark: SparkSession, at: str | None = None) -> DataFrame:
-    """(domain, has_mx): each domain of a stream of addresses (email) is looked up in facts (domain, …) once, when first seen."""
-    at = at or folder(spark, "domains")
-    table = Versions(spark, f"{at}/rows")
-    known = facts.select("domain", F.lit(True).alias("has_mx")).dropDuplicates(["domain"])
+    def __init__(self, spark: SparkSession, path: str, keep: int = 300, every: int = 64):
+        self.spark, self.path, self.keep, self.every = spark, path, keep, every
 
-    def fold(batch: DataFrame, epoch: int) -> None:
-        new, old = batch.select(F.substring_index("email", "@", -1).alias("domain")).distinct(), table.read(before=epoch)
-        if old is not None:
-            new = new.join(old, "domain", "left_anti")
-        told = new.join(known, "domain", "left").select("domain", F.coalesce("has_mx", F.lit(False)).alias("has_mx"))
-        table.write(told if old is None else old.unionByName(told), epoch)
+    def _parts(self) -> tuple[dict[int, str], dict[int, str]]:
+        """Paths by epoch: of cycles, and of files of the newest rows."""
+        fs, at = _files(self.spark, self.path)
+        cycles, newest = {}, {}
+        for s in fs.listStatus(at) if fs.exists(at) else []:
+            kind, _, epoch = s.getPath().getName().partition("=")
+            if fs.exists(_files(self.spark, f"{s.getPath()}/_SUCCESS")[1]):
+                (cycles if kind == "cycle" else newest)[int(epoch)] = s.getPath().toString()
+        return cycles, newest
 
-    _run(addresses, at, fold)
-    rows = table.read()
-    return rows if rows is not None else spark.createDataFrame([], "domain string, has_mx boolean")
+    def write(self, rows: DataFrame, epoch: int) -> None:
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/cycle={epoch:012d}")
+        if len(self._parts()[0]) > self.every:
+            self.compact()
+
+    def compact(self) -> None:
+        cycles, newest = self._parts()
+        last = max([*cycles, *newest])
+        self.read().orderBy(F.col("epoch").desc(), F.col("pos").desc()).limit(self.keep).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/newest={last:012d}")
+        for epoch, path in [*cycles.items(), *newest.items()]:
+            if epoch <= last and not path.endswith(f"newest={last:012d}"):
+                fs, p = _files(self.spark, path)
+                fs.delete(p, True)
+
+    def read(self) -> DataFrame:
+        cycles, newest = self._parts()
+        told = max(newest, default=-1)
+        paths = [p for e, p in sorted(cycles.items()) if e > told] + ([newest[told]] if newest else [])
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
 
 class Heartbeat(StreamingQueryListener):
@@ -178,30 +180,31 @@ class Heartbeat(StreamingQueryListener):
 class Worker:
     """Starts once, stops, can be woken; runs its jobs on every micro-batch.
 
-    at: the folder of its checkpoint, log and counters; a Worker on the same folder goes on with them. The log is files,
-    one version per cycle; what the driver holds does not grow.
+    at: the folder of its checkpoint, log and counters; a Worker on the same folder goes on with them. What the driver holds does not grow,
+    nor do the files: the log keeps its newest `keep` rows.
     """
 
-    def __init__(self, spark: SparkSession, events: DataFrame, jobs: dict, every: str = "12 seconds", at: str | None = None):
+    def __init__(self, spark: SparkSession, events: DataFrame, jobs: dict, every: str = "12 seconds", at: str | None = None, keep: int = 300):
         self.spark, self.events, self.jobs, self.every = spark, events, jobs, every
         self.at, self.query, self.heartbeat = at or folder(spark, "worker"), None, None
-        self.counted = Versions(spark, f"{self.at}/counters")
+        self.counted = Versions(spark, f"{self.at}/counters")  # a row for each job
+        self.cycles = CycleLog(spark, f"{self.at}/log", keep)
 
     def _cycle(self, batch: DataFrame, epoch: int) -> None:
         batch.persist()  # the jobs share one read of the batch
-        done = run_jobs(batch, self.jobs)
-        batch.unpersist()
-        rows = self.spark.createDataFrame([(epoch, i, *x) for i, x in enumerate(done)], "epoch long, pos int, job string, error string")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.at}/log/epoch={epoch:012d}")
+        try:
+            done = run_jobs(batch, self.jobs)
+        finally:
+            batch.unpersist()
+        rows = self.spark.createDataFrame([(epoch, i, *x) for i, x in enumerate(done)], CycleLog.schema)
+        self.cycles.write(rows, epoch)
         new = rows.groupBy("job").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
         old = self.counted.read(before=epoch)
         self.counted.write(new if old is None else old.unionByName(new).groupBy("job").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors")), epoch)
 
     def log(self) -> DataFrame:
-        """(epoch, pos, job, error) of every cycle, those of earlier processes on the same folder included."""
-        fs, p = _files(self.spark, f"{self.at}/log")
-        schema = "epoch long, pos int, job string, error string"
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.at}/log") if fs.exists(p) else self.spark.createDataFrame([], schema)
+        """(epoch, pos, job, error) of the newest rows, those of earlier processes on the same folder included."""
+        return self.cycles.read()
 
     def counters(self) -> DataFrame:
         rows = self.counted.read()
@@ -240,5 +243,5 @@ class Worker:
     def status(self) -> dict:
         q = self.query
         beat = self.heartbeat.status.get(str(q.id), {}) if self.heartbeat and q else {}
-        cycles = self.log().agg(F.count_distinct("epoch")).first()[0]
+        cycles = self.counters().agg(F.max("n")).first()[0] or 0  # each job has run in each
         return {"running": self.running, "cycles": cycles, "heartbeat": beat, "last": json.loads(q.lastProgress.json) if q and q.lastProgress else None}

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from contactlake.streaming import state as st
 from contactlake.streaming import worker as w
 
 SF = "/root/testdata/sf0.001"
@@ -41,17 +42,26 @@ def test_tables_survive_a_restart(spark, arriving):
         counted = {r.job: (r.n, r.errors) for r in w.counters(events(spark, at), spark, f"{at}/c").collect()}
         want = seen().groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("e")).collect()
         assert counted == {r.event_type: (r.n, r.e) for r in want}
-        merged = w.merged_stream(events(spark, at), spark, ["user_id"], f"{at}/m")
+        merged, _ = st.merged(events(spark, at).select("user_id", "event_id", "value"), ["user_id"], ["event_id", "value"], ["event_id"], f"{at}/m")
         want = {r.user_id: r.i for r in seen().groupBy("user_id").agg(F.max("event_id").alias("i")).collect()}
         assert {r.user_id: r.event_id for r in merged.collect()} == want
         assert w.append_log(events(spark, at), spark, f"{at}/l").count() == seen().count()
-        facts = spark.createDataFrame([("c1.example.com",)], "domain string")
-        mails = events(spark, at).select(F.concat(F.lit("a@c"), (F.col("user_id") % 5).cast("string"), F.lit(".example.com")).alias("email"))
-        cache = {r.domain: r.has_mx for r in w.domain_cache(mails, facts, spark, f"{at}/d").collect()}
-        assert cache == {f"c{i}.example.com": i == 1 for i in range(5)}
     # nothing new: nothing changes
     assert {r.job: (r.n, r.errors) for r in w.counters(events(spark, at), spark, f"{at}/c").collect()} == counted
-    assert len(w.Versions(spark, f"{at}/c/rows").epochs()) <= 2
+
+
+def test_a_log_of_many_cycles_keeps_few_files(spark, tmp_path):
+    log = w.CycleLog(spark, str(tmp_path / "log"), keep=30, every=8)
+    for epoch in range(100):
+        log.write(spark.createDataFrame([(epoch, p, f"job{p}", None) for p in range(4)], log.schema), epoch)
+        assert len(list((tmp_path / "log").glob("*/*.parquet"))) <= 10
+    log.write(spark.createDataFrame([(99, p, f"again{p}", None) for p in range(4)], log.schema), 99)  # a batch that is run again
+    rows = log.read().orderBy(F.col("epoch").desc(), F.col("pos").desc()).limit(30).collect()
+    assert [(r.epoch, r.pos) for r in rows] == [(e, p) for e in range(99, 0, -1) for p in (3, 2, 1, 0)][:30]
+    assert len({(r.epoch, r.pos) for r in log.read().collect()}) == log.read().count()
+    # a process that ended before it removed what the newest rows replace
+    spark.createDataFrame([(50, 0, "old", None)], log.schema).write.parquet(str(tmp_path / "log" / "cycle=000000000050"))
+    assert log.read().where("epoch = 50").count() == 0
 
 
 def test_worker_goes_on_in_a_new_process(spark, arriving):
