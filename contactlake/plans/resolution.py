@@ -10,6 +10,9 @@ from contactlake.operators import blocklist as b
 from contactlake.operators import resolve as r
 from contactlake.operators.frontier import crawl_frontier as frontier
 from contactlake.operators.keep import keep_first, ranked
+from contactlake.operators.suppression import Suppression
+from contactlake.sources.buckets import BucketedTable
+from contactlake.streaming.worker import folder
 from contactlake.operators.merge import coalesced, inserted, merged, new_value, non_empty
 
 from .registry import query
@@ -52,9 +55,13 @@ def merge_emails(t):
     with {sides('found_phones', ['company_id', 'phone'], 3)}, k as (select company_id, phone, arg_max(label, ord) filter (label is not null) as label, arg_max(source_url, ord) as source_url from n group by all)
     select coalesce(o.company_id, k.company_id) as company_id, coalesce(o.phone, k.phone) as phone, coalesce(k.label, o.label) as label, coalesce(k.source_url, o.source_url) as source_url from o full join k on o.company_id = k.company_id and o.phone = k.phone""")
 def sink_upsert(t):
+    """Into a stored table, of which only the batch's buckets are written anew."""
     old, new = halves(t.found_phones, 3)
-    keys = ["company_id", "phone"]
-    return merged(keep_first(old, keys), new, keys, {"label": coalesced, "source_url": coalesced}, "ord")
+    keys, policies = ["company_id", "phone"], {"label": coalesced, "source_url": coalesced}
+    table = BucketedTable(t.spark, folder(t.spark, "phones"), "company_id long, phone string, label string, source_url string", keys, ["company_id"], 16)
+    table.upsert(keep_first(old, keys), policies)
+    table.upsert(new, policies, "ord")
+    return table.read()
 
 
 @query("merge_phones", f"""
@@ -178,6 +185,17 @@ def update_blocked_flag(t):
     return b.flags(t.companies, t.blocklist)
 
 
+@query("update_blocked_changes", f"select id, exists (select 1 from blocklist e where e.id % 5 <> 0 and {rule('c', 'e')}) as blocked from companies c")
+def update_blocked_changes(t):
+    """Flags kept up to date while entries come and go: half of them, then the rest, then a fifth goes."""
+    kept = Suppression(t.spark, folder(t.spark, "suppression"), 16)
+    kept.add_companies(t.companies)
+    kept.add(t.blocklist.where("id % 2 = 0"))
+    kept.add(t.blocklist)
+    kept.remove(t.blocklist.where("id % 5 = 0"))
+    return kept.flags(t.companies)
+
+
 REMOVED = f"select id from companies c where exists (select 1 from blocklist e where e.id % 2 = 0 and {rule('c', 'e')}) and not exists (select 1 from blocklist e where e.id % 2 <> 0 and {rule('c', 'e')})"
 
 
