@@ -12,6 +12,7 @@ from contactlake.operators import directory as d
 from contactlake.operators.retry import RETRYABLE
 from contactlake.streaming import state as s
 from contactlake.streaming import worker as w
+from contactlake.streaming.drain import Drain
 
 from .registry import query
 from .relational import FINAL
@@ -111,6 +112,37 @@ def stream_queue_drain(t):
     return queues(t.companies, t.emails, t.people, t.scrapes, cursor=3)
 
 
+def admitted(t):
+    """What a cycle takes of the tables' queues; items that earlier cycles took have left them."""
+
+    def admit(taken, cursors):
+        gone = lambda queue, key: taken.where(F.col("queue") == queue).select(F.col("item").alias(key))
+        left = lambda rows, queue, key: rows.join(gone(queue, key), key, "left_anti")
+        done = lambda facts, queue: facts.select("company_id").unionByName(t.companies.join(gone(queue, "name"), "name", "left_semi").select(F.col("id").alias("company_id")))
+        return queues(t.companies, left(t.emails, "verify", "email"), done(t.people, "people"), done(t.scrapes, "scrape"), cursors.get("discover", 0))
+
+    return admit
+
+
+CYCLES = 3
+
+
+@query("stream_queue_cycles", f"""
+    with live as (select * from companies where not blocked), cycles as (select unnest(range({CYCLES})) as cycle),
+      pool as (select coalesce((select list(c order by i) from (select unnest({list(EXPANSION_COUNTRIES)}) as c, unnest(range({len(EXPANSION_COUNTRIES)})) as i) x where c not in (select country from live where country is not null)), {list(EXPANSION_COUNTRIES)}) as p)
+    select cycle, 'discover' as queue, 1 as pos, coalesce((select country from live where country <> 'Unknown' group by country having count(*) < 65 order by count(*), country limit 1), p[cycle % len(p) + 1]) as item from cycles, pool
+    union all select (rn - 1) // 2, 'scrape', ((rn - 1) % 2 + 1)::int, name from (select name, row_number() over (order by employees desc nulls last, name, id) as rn from live where id not in (select company_id from scrapes)) a where rn <= 2 * {CYCLES}
+    union all select (rn - 1) // 2, 'people', ((rn - 1) % 2 + 1)::int, name from (select name, row_number() over (order by employees desc nulls last, name, id) as rn from live where id not in (select company_id from people)) b where rn <= 2 * {CYCLES}
+    union all select (rn - 1) // 8, 'verify', ((rn - 1) % 8 + 1)::int, email from (select email, row_number() over (order by id) as rn from emails where verdict is null or verdict not in ('deliverable', 'rejected', 'catchall', 'invalid', 'disposable')) c where rn <= 8 * {CYCLES}""")
+def stream_queue_cycles(t):
+    """What three cycles take, the last of them in a run of its own on the same folder."""
+    at = w.folder(t.spark, "drain")
+    drain = Drain(t.spark, admitted(t), at)
+    ticks = t.events.select("event_id", "ts")
+    drain.run(s.arrived(ticks, "event_id", CYCLES - 1, at))
+    return Drain(t.spark, admitted(t), at).run(s.arrived(ticks.limit(1), "event_id", 1, at))
+
+
 @query("stream_throttle_breaker", """
     with e as (select event_id, user_id, event_id % 7 as found, row_number() over (partition by user_id order by event_id) as i, event_type in ('error', 'click') as bad from events),
       g as (select *, sum(case when bad then 0 else 1 end) over (partition by user_id order by i) as grp, case when not bad and row_number() over (partition by user_id, found, bad order by i) = 1 then 1 else 0 end as fresh from e),
