@@ -75,7 +75,7 @@ def _met(rows: DataFrame, anchors: DataFrame, is_key, reach: int, small: bool) -
         before = F.col("at") - s
         return (before <= F.col("off")) & (F.col("off") - before + F.col("size") <= F.size("near")) & (F.slice("near", F.col("off") - before + 1, F.col("size")) == F.slice("words", s + 1, F.col("size")))
 
-    starts = F.transform(F.filter("starts", holds), lambda s: F.struct((F.col("pos") - F.col("at") + s).alias("start"), F.col("size").alias("size")))
+    starts = F.transform(F.filter("starts", holds), lambda s: (F.col("pos") - F.col("at") + s).cast("long") * (reach + 1) + F.col("size"))  # start and size in one number
     return met.select("rid", "doc_id", "n_words", F.when(F.size(starts) > 0, F.col("item_id")).alias("item_id"), F.when(F.size(starts) > 0, starts).alias("hits"))
 
 
@@ -103,9 +103,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, hit_p
     by_row = hits.groupBy("rid", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
     def union_length(h: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-        step = lambda a, x: F.struct(F.greatest(a["end"], x["start"] + x["size"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["start"] + x["size"] - F.greatest(a["end"], x["start"]))).alias("n"))
-        return F.aggregate(F.array_sort(h), zero, step, lambda a: a["n"]).cast("long")
+        start, size = lambda x: F.floor(x / (window + 1)).cast("long"), lambda x: x % (window + 1)
+        zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+        step = lambda a, x: F.struct(F.greatest(a["end"], start(x) + size(x)).alias("end"), (a["n"] + F.greatest(F.lit(0).cast("long"), start(x) + size(x) - F.greatest(a["end"], start(x)))).alias("n"))
+        return F.aggregate(F.array_sort(h), zero, step, lambda a: a["n"])
 
     n_hit = union_length(F.col("hits"))
     out = by_row.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))

@@ -690,3 +690,30 @@ def test_empty_tables(spark, none):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for df in (near_duplicates(none), quality_verdicts(none), remove_repeated_bytes(none), remove_repeated_phrases(none), contamination(none, bench), assign_shards(none, hash_tree(8)), ctw.score_texts(none), judge_urls(pages), mix_sources(none, labels), scan_licenses(none.withColumn("path", F.lit("a")))):
         assert df.count() == 0
+
+
+def test_decontamination_of_a_text_full_of_hits(spark):
+    """Time grows with the text, not with the square of its hits."""
+    import time
+
+    r = random.Random(9)
+    item = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+    text = " ".join(item * 10)  # 200,000 places, one hit each
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "never seen words here")], "item_id long, text string")
+    began = time.time()
+    got = contamination(spark.createDataFrame([(1, text), (2, "clean " * 50)], "doc_id long, text string"), bench).orderBy("doc_id").collect()
+    assert (got[0].n_words, got[0].n_hit, got[0].n_items, got[0].contaminated) == (200_000, 200_000, 1, True)
+    assert got[1].n_hit == 0 and time.time() - began < 30
+
+
+def test_licenses_of_a_text_of_very_many_lines(spark):
+    import time
+
+    from contactlake.llm.licenses import TEMPLATES
+
+    lines = [f"line number {i} of this file x{i * 7}" for i in range(200_000)]
+    lines[100_000] = TEMPLATES[0][1]
+    began = time.time()
+    got = scan_licenses(spark.createDataFrame([(1, "a/b.txt", "\n".join(lines)), (2, "a/c.txt", "x")], "doc_id long, path string, text string")).orderBy("doc_id").collect()
+    assert got[0].license == TEMPLATES[0][0] and got[0].cosine > 0.99 and got[1].license is None
+    assert time.time() - began < 30
