@@ -116,7 +116,8 @@ def best_matches(noted: DataFrame, made: list[Template], idf: dict[str, float],
         held = F.array_intersect(w, vocabulary)
         return F.concat(F.array(w), *[_windows(w, held, t, threshold) for t in made])
 
-    parts = F.array_distinct(F.concat(apart("\n"), apart(r"\n[\x20\t\r]*\n"), let(tokens(F.col("text")), near)))
+    # parts that repeat are judged again: telling arrays of words apart costs the square of their number
+    parts = F.concat(apart("\n"), apart(r"\n[\x20\t\r]*\n"), let(tokens(F.col("text")), near))
     parts = noted.select("rid", F.explode(parts).alias("w"))
 
     def judged(w: Column) -> Column:
