@@ -92,3 +92,13 @@ def parsed_time(c: Column) -> Column:
 
 def joined_address(street: Column, *rest: Column) -> Column:
     return F.concat_ws(", ", *[F.nullif(c, F.lit("")) for c in (street, *rest)])
+
+
+def json_first_str(json: Column) -> Column:
+    """Of JSON a text, the first text of a list, or an object's name, email or telephone; null if there is none, or it is no JSON."""
+    kind = lambda v: F.schema_of_variant(v) == "STRING"
+    said = lambda v, at="$": F.variant_get(v, at, "string")
+    whole = F.try_parse_json(json)
+    listed = F.get(F.filter(F.from_json(json, "array<variant>"), lambda x: F.coalesce(kind(x), F.lit(False))), F.lit(0))
+    part = lambda k: F.when(F.coalesce(kind(F.try_variant_get(whole, f"$.{k}", "variant")), F.lit(False)), F.try_variant_get(whole, f"$.{k}", "string"))
+    return F.when(F.schema_of_variant(whole) == "STRING", said(whole)).when(F.ltrim(json).startswith("["), said(listed)).otherwise(F.coalesce(part("name"), part("email"), part("telephone")))

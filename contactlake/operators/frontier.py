@@ -67,7 +67,7 @@ def pages_to_visit(home: DataFrame, sitemap: DataFrame, guessed: DataFrame, link
 def robots_allowed(urls: DataFrame, key: str, agent: str) -> DataFrame:
     """(key, url, allowed) under each site's robots file. urls: (key, url, status, body).
 
-    401 and 403 forbid everything, any other failure nothing; else the rules of the first group that names the agent, or
+    401 and 403 forbid everything, any other failure, a null status among them, nothing; else the rules of the first group that names the agent, or
     of `*`, in their order: the first that fits decides.
     """
 
@@ -85,7 +85,7 @@ def robots_allowed(urls: DataFrame, key: str, agent: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("url"), pa.array(allowed, pa.bool_())], [key, "url", "allowed"])
 
     told = urls.where("status = 200").select(F.col(key).cast("long").alias(key), "url", F.coalesce("body", F.lit("")).alias("body")).mapInArrow(run, f"{key} long, url string, allowed boolean")
-    other = urls.where("status <> 200").select(F.col(key).cast("long").alias(key), "url", (~F.col("status").isin(401, 403)).alias("allowed"))
+    other = urls.where("coalesce(status, 0) <> 200").select(F.col(key).cast("long").alias(key), "url", (~F.coalesce("status", F.lit(0)).isin(401, 403)).alias("allowed"))
     return told.unionByName(other)
 
 

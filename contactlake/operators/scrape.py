@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import ROUND_HALF_UP, Decimal
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from contactlake.functions import email, names, url
@@ -59,3 +61,40 @@ def verdicts(addresses: DataFrame, mx: DataFrame, smtp: DataFrame, catchall: Dat
     rows = rows.join(has, "domain", "left").join(s, "email", "left").join(catchall.select("domain", "probe").dropDuplicates(["domain"]), "domain", "left")
     ok = F.col("m").isNotNull()
     return rows.select("email", email.verdict(F.col("email"), ok, F.col("s"), email.catchall_class(F.col("probe"), ok)).alias("verdict"))
+
+
+class Totals:
+    """Totals of a scrape, counted by the jobs that write its facts: no table is read again for them.
+
+    watch() each table that the job writes, write it, then ask total(). A job that fails after all counts nothing. Counts are
+    numbers on the driver, one for each kind.
+    """
+
+    @staticmethod
+    def counts() -> dict[str, dict[str, Column]]:
+        n = F.count("*")
+        return {
+            "scrapes": {"n": n, **{s: F.count_if(F.col("status") == s) for s in ("ok", "partial", "failed")}, "seconds": F.sum("seconds")},
+            "emails": {"emails": n},
+            "phones": {"phones": n},
+            "people": {"people": n, "linkedin_profiles": F.count_if(F.col("linkedin_type") == "profile"), "derived_emails": F.count_if(F.col("email_status") == "pattern-derived")},
+            "socials": {"socials": n},
+        }
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, kind: str, rows: DataFrame) -> DataFrame:
+        if kind in self.seen:
+            raise ValueError(f"{kind} is watched already")
+        self.seen[kind] = Observation()
+        return rows.observe(self.seen[kind], *[c.alias(n) for n, c in self.counts()[kind].items()])
+
+    def total(self) -> dict:
+        """All counts of what was written; of kinds that weren't watched 0."""
+        out = {n: 0 for counts in self.counts().values() for n in counts}
+        for seen in self.seen.values():
+            out |= {k: v or 0 for k, v in seen.get.items()}
+        n, seconds = out["n"], out.pop("seconds")
+        rate = Decimal(100 * (out["ok"] + out["partial"])) / n if n else None
+        return out | {"success_rate": None if rate is None else float(rate.quantize(Decimal("0.1"), ROUND_HALF_UP)), "avg_seconds": round(float(seconds) / n, 3) if n else None}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactlake.functions import dom, people
+from contactlake.functions import dom, markup, names, people, text
 from contactlake.operators.pages import mapped, parsed
 
 from .registry import query
@@ -97,28 +97,26 @@ def json_flatten(t):
 
 @query("json_first_str", f"select event_id, {WHO} as first from events")
 def json_first_str(t):
-    import json
-
     rows = t.events.selectExpr("event_id", f"case event_id % 2 when 0 then concat('[1,\"', {WHO}, '\",\"z\"]') else concat('{{\"name\":\"', {WHO}, '\"}}') end as j")
-    return mapped(rows, "event_id", "j", lambda v: [(dom.first_str(json.loads(v)),)], "first string")
+    return rows.select("event_id", text.json_first_str(F.col("j")).alias("first"))
 
 
 @query("name_split_role", f"select event_id, {WHO} as name, {ROLE} as role from events")
 def name_split_role(t):
     rows = t.events.selectExpr("event_id", f"concat({WHO}, ' – ', {ROLE}) as line")
-    return mapped(rows, "event_id", "line", lambda v: [x for x in [dom.split_role(v)] if x], "name string, role string").select("event_id", "name", F.regexp_replace("role", "^– ", "").alias("role"))
+    return rows.select("event_id", names.split_role(F.col("line")).alias("p")).where("p is not null").select("event_id", "p.name", F.regexp_replace("p.role", "^– ", "").alias("role"))
 
 
 @query("name_split_reversed", f"select event_id, {WHO} as name, 'Vice President Fleet' as role from events")
 def name_split_reversed(t):
     rows = t.events.selectExpr("event_id", f"concat('Vice President, Fleet ', {WHO}) as line")
-    return mapped(rows, "event_id", "line", lambda v: [x for x in [dom.split_reversed(v)] if x], "name string, role string")
+    return rows.select("event_id", names.split_reversed(F.col("line")).alias("p")).where("p is not null").select("event_id", "p.name", "p.role")
 
 
 @query("markup_people_items", f"select event_id, unnest([{WHO}, 'Eva Berg']) as name, unnest(['CEO', 'Chair']) as role from events")
 def markup_people_items(t):
     rows = t.events.selectExpr("event_id", f"concat('[[', {WHO}, ']] (CEO)|Eva Berg|([[Chair]])|lone') as v")
-    return mapped(rows, "event_id", "v", dom.people_items, "name string, role string")
+    return rows.select("event_id", F.explode(markup.people_items(F.col("v"))).alias("p")).select("event_id", "p.name", "p.role")
 
 
 @query("people_press", f"select event_id, {WHO} as name, 'Chief Executive Officer of Acme' as role from events")

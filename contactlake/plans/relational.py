@@ -9,7 +9,8 @@ from contactlake.operators import directory as d
 from contactlake.functions.names import STOP
 from contactlake.functions.values import TITLE_BLOCKLIST, TITLE_WORDS
 from contactlake.operators.keep import digits, keep_first, keep_last, mode_first_seen, ranked
-from contactlake.operators.scrape import clean_people
+from contactlake.operators.scrape import Totals, clean_people
+from contactlake.streaming.worker import folder
 
 from .registry import query
 
@@ -327,6 +328,19 @@ def agg_bench_totals(t):
     return d.bench_totals(t.scrapes, t.scrape_times, t.emails, t.phones, t.people, t.socials)
 
 
+@query("agg_bench_observed", BENCH.replace("{scrapes}", "scrapes"))
+def agg_bench_observed(t):
+    """The same totals, counted while the scrape's facts are written."""
+    totals, at = Totals(), folder(t.spark, "scrape")
+    mine = lambda facts: facts.join(timed.select("company_id"), "company_id", "left_semi")
+    timed = t.scrapes.join(t.scrape_times, "company_id")
+    for kind, rows in {"scrapes": timed, **{k: mine(getattr(t, k)) for k in ("emails", "phones", "people", "socials")}}.items():
+        totals.watch(kind, rows).write.parquet(f"{at}/{kind}")
+    kinds = "n long, ok long, partial long, failed long, success_rate double, avg_seconds double, emails long, phones long, people long, linkedin_profiles long, socials long, derived_emails long"
+    told = totals.total()
+    return t.spark.createDataFrame([tuple(told[c.split()[0]] for c in kinds.split(", "))], kinds)
+
+
 @query("agg_scrape_summary", "select count(*) filter (status <> 'failed') as processed, count(*) filter (status = 'failed') as failed, count(*) as total from scrapes")
 def agg_scrape_summary(t):
     return t.scrapes.agg(F.count_if(F.col("status") != "failed").alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"), F.count("*").alias("total"))
