@@ -307,7 +307,7 @@ def text_blocks(root: Node) -> Iterator[tuple]:
 def socials(root: Node) -> Iterator[tuple]:
     for n in root.walk():
         href = n.attrs.get("href", "") if n.tag == "a" else ""
-        if href and not re.search(SOCIAL_EXCLUDED, href, re.I):
+        if href and not re.search("|".join(SOCIAL_EXCLUDED), href, re.I):
             yield found("link", link=href.split("#")[0])
 
 

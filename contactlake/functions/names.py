@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import let
-from .values import BUSINESS_STOP, HONORIFICS, NAME_TOKEN, PAGE_STOP, PROSE_STOP, STRONG_TITLE_WORDS, TECH_STOP, TITLE_BLOCKLIST, TITLE_WORDS
+from .values import HONORIFICS, NAME_STOP, NAME_TOKEN, STRONG_TITLE_WORDS, TITLE_BLOCKLIST, TITLE_WORDS
 
-STOP = sorted({*PAGE_STOP, *BUSINESS_STOP, *TECH_STOP, *PROSE_STOP})
+STOP = sorted({*NAME_STOP})
 
 
 def words(c: Column) -> Column:

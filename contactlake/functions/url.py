@@ -74,7 +74,7 @@ def social_network(href: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SOCIAL_PATTERNS):
         out = F.when(href.rlike(pattern), name).otherwise(out)
-    return F.when(~href.rlike(f"(?i){SOCIAL_EXCLUDED}"), out)
+    return F.when(~href.rlike("(?i)" + "|".join(SOCIAL_EXCLUDED)), out)
 
 
 def decode_target(href: Column) -> Column:
