@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactlake.functions import classify, url
+from contactlake.functions import classify, surface, url
 from contactlake.functions.text import slug
 from contactlake.operators import blocklist as suppression
 from contactlake.operators import directory as d
@@ -15,7 +15,9 @@ from contactlake.operators import scrape as sc
 from contactlake.operators.frontier import best_domain
 from contactlake.operators.keep import keep_first
 from contactlake.operators.merge import coalesced, inserted, merged, new_value, non_empty
+from contactlake.operators.pages import register_page_facts
 from contactlake.operators.resolve import verified_people
+from contactlake.sources.search import SearchSource, searched
 from contactlake.sources.seed import seeded
 from contactlake.sources.settings import effective
 from contactlake.streaming.worker import Worker
@@ -141,6 +143,10 @@ class Engine:
         out = F.when(url.blocked(F.col("domain"), block) & (F.col("stage") == 1), "blocked").when(~F.col("ok"), "rejected").when(F.col("known"), "known").when(F.col("hit"), "suppressed").otherwise("new")
         return rows.select("domain", "title", "name", out.alias("outcome"))
 
+    def discover_from(self, sources: list[SearchSource], queries: DataFrame, **how) -> DataFrame:
+        """discover() of what search sources tell about queries (query_id, q); earlier sources come first."""
+        return self.discover(searched(sources, queries), **how)
+
     def with_discovered(self, found: DataFrame, country: str) -> Engine:
         """The directory with the new domains of discover()."""
         new = found.where("outcome = 'new'").select(slug_id(F.col("domain")).alias("id"), "name", "domain", F.concat(F.lit("https://"), "domain").alias("website"), F.lit(country).alias("country"), url.country_code(F.lit(country)).alias("country_code"), F.lit("Fleet Management Software").alias("category"), F.lit(False).alias("blocked"))
@@ -202,6 +208,14 @@ class Engine:
         hit = suppression.matches(self.companies.where("blocked"), self.blocklist).groupBy("entry_id").agg(F.count("*").alias("n"))
         return self.blocklist.join(hit, F.col("id") == F.col("entry_id"), "left").select("id", "name", "domain", F.coalesce("n", F.lit(0).cast("long")).alias("companies"))
 
+    # SQL
+
+    def sql_functions(self) -> list[str]:
+        """Makes the helpers and the table function page_facts callable from the session's SQL; their names."""
+        spark = self.companies.sparkSession
+        register_page_facts(spark)
+        return [*surface.register(spark), "page_facts"]
+
     # settings and worker
 
     def get_settings(self) -> DataFrame:

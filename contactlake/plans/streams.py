@@ -196,35 +196,52 @@ def stream_retry_due(t):
     return told.select(F.col("key").alias("user_id"), "tries", F.timestamp_micros("at").cast(t.events.schema["ts"].dataType).alias("due"))
 
 
-def _count(batch) -> None:
-    batch.count()
+def _count(batch) -> int:
+    return batch.count()
 
 
-def _fail(batch) -> None:
-    raise ValueError("no server")
+def _checked(batch) -> int:
+    """A job that fails on a batch with errors."""
+    if n := batch.where("event_type = 'error'").count():
+        raise ValueError(f"{n} failed")
+    return 0
+
+
+JOBS = {"discover": lambda b: b.select("user_id").distinct().count(), "scrape": _count, "people": lambda b: b.where("event_type = 'purchase'").count(), "verify": _checked}
+
+
+def _worked(t, parts: int = 3):
+    """The log of a worker whose events arrive in parts."""
+    at = w.folder(t.spark, "worker")
+    k = w.Worker(t.spark, s.arrived(t.events, "event_id", parts, at), JOBS, at=at)
+    k.start(once=True).awaitTermination()
+    k.close()
+    return k.log()
 
 
 def _ran(t) -> w.Worker:
-    k = w.Worker(t.spark, stream(t), {"discover": _count, "scrape": _count, "people": _count, "verify": _fail})
+    k = w.Worker(t.spark, stream(t), JOBS)
     k.start(once=True).awaitTermination()
     return k
 
 
-JOBS = "(values (0, 'discover'), (1, 'scrape'), (2, 'people'), (3, 'verify')) j(pos, job)"
+PARTS = "e as (select *, least(floor((event_id - (select min(event_id) from events)) * 3 / (select max(event_id) - min(event_id) + 1 from events)), 2)::bigint as epoch from events)"
 
 
-@query("stream_worker_loop", f"select 0::bigint as epoch, pos, job from {JOBS}")
+@query("stream_worker_loop", f"""
+    with {PARTS} select epoch, 0 as pos, 'discover' as job, count(distinct user_id) as result from e group by epoch union all select epoch, 1, 'scrape', count(*) from e group by epoch
+    union all select epoch, 2, 'people', count(*) filter (event_type = 'purchase') from e group by epoch union all select epoch, 3, 'verify', case when count(*) filter (event_type = 'error') = 0 then 0 end from e group by epoch""")
 def stream_worker_loop(t):
-    k = _ran(t)
-    k.close()
-    return k.log().select("epoch", "pos", "job")
+    """Three cycles of four jobs, each in turn, and what they told."""
+    return _worked(t).select("epoch", "pos", "job", "result")
 
 
-@query("stream_job_error_isolation", f"select job, case when job = 'verify' then 'ValueError: no server' end as error from {JOBS}")
+@query("stream_job_error_isolation", f"""
+    with {PARTS}, v as (select epoch, count(*) filter (event_type = 'error') as n from e group by epoch)
+    select epoch, job, case when job = 'verify' and n > 0 then concat('ValueError: ', n, ' failed') end as error from v, (values ('discover'), ('scrape'), ('people'), ('verify')) j(job)""")
 def stream_job_error_isolation(t):
-    k = _ran(t)
-    k.close()
-    return k.log().select("job", "error")
+    """A job that fails on what a batch holds is noted, and the others and the next cycles go on."""
+    return _worked(t).select("epoch", "job", "error")
 
 
 @query("stream_heartbeat", "select false as running, 1::bigint as cycles, (select count(*) from events) as rows")

@@ -102,15 +102,15 @@ def counters(events: DataFrame, spark: SparkSession, at: str | None = None) -> D
     return state.select(F.col("key.job").alias("job"), F.col("value.count").alias("n"), F.coalesce("value.sum", F.lit(0).cast("long")).alias("errors"))
 
 
-def run_jobs(batch: DataFrame, jobs: dict) -> list[tuple[str, str | None]]:
-    """(job, error) of each job over a batch: one that fails is noted and the rest go on."""
+def run_jobs(batch: DataFrame, jobs: dict) -> list[tuple[str, str | None, int | None]]:
+    """(job, error, result) of each job over a batch: one that fails is noted and the rest go on. result: the number that the job gives, if any."""
     out = []
     for name, job in jobs.items():
         try:
-            job(batch)
-            out.append((name, None))
+            told = job(batch)
+            out.append((name, None, told if isinstance(told, int) else None))
         except Exception as e:  # isolation is the point: the failure goes to the log
-            out.append((name, f"{type(e).__name__}: {e}"))
+            out.append((name, f"{type(e).__name__}: {e}", None))
     return out
 
 
@@ -121,7 +121,7 @@ class CycleLog:
     it; a process that ends between writing that file and removing the old ones loses and repeats nothing.
     """
 
-    schema = "epoch long, pos int, job string, error string"
+    schema = "epoch long, pos int, job string, error string, result long"
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 300, every: int = 64):
         self.spark, self.path, self.keep, self.every = spark, path, keep, every
@@ -203,7 +203,7 @@ class Worker:
         self.counted.write(new if old is None else old.unionByName(new).groupBy("job").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors")), epoch)
 
     def log(self) -> DataFrame:
-        """(epoch, pos, job, error) of the newest rows, those of earlier processes on the same folder included."""
+        """(epoch, pos, job, error, result) of the newest rows, those of earlier processes on the same folder included."""
         return self.cycles.read()
 
     def counters(self) -> DataFrame:

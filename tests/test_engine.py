@@ -95,3 +95,23 @@ def test_worker_from_the_engine(engine, spark, tmp_path):
     k.start(once=True).awaitTermination()
     assert k.status()["cycles"] == 1
     k.close()
+
+
+def test_search_sources_take_part_in_discovery(engine, spark):
+    from contactlake.sources.search import KnownSites, StoredResults, searched
+
+    queries = spark.createDataFrame([(1, " Fleet Kenya "), (2, "acme"), (3, None)], "query_id long, q string")
+    first = StoredResults("stored", spark.createDataFrame([("fleet kenya", 2, "Second - Home", "https://second.com/"), ("fleet kenya", 1, "First Fleet - Home", "https://first.com/"), ("fleet kenya", 3, "none", None), ("other", 1, "x", "https://x.com")], "q string, pos int, title string, url string"))
+    sites = KnownSites("sites", spark.createDataFrame([("Acme Fleet", "https://acme.io/"), ("First in Kenya Fleet", "https://first.com/about"), (None, "https://n.com")], "name string, website string"))
+    rows = searched([first, sites], queries).orderBy("ord").collect()
+    assert [(r.ord.source, r.ord.query_id, r.url) for r in rows] == [(0, 1, "https://first.com/"), (0, 1, "https://second.com/"), (1, 1, "https://first.com/about"), (1, 2, "https://acme.io/")]
+    found = {r.domain: (r.title, r.outcome) for r in engine.discover_from([first, sites], queries).collect()}
+    assert found["first.com"] == ("First Fleet - Home", "new") and set(found) == {"first.com", "second.com", "acme.io"}
+    for bad in ([], [first, first]):
+        with pytest.raises(ValueError):
+            searched(bad, queries)
+
+
+def test_sql_functions_of_the_engine(engine, spark):
+    assert {"email_domain", "page_facts", "url_domain"} <= set(engine.sql_functions())
+    assert spark.sql("select email_domain('a@b.com') as d").first().d == "b.com"

@@ -53,14 +53,14 @@ def test_tables_survive_a_restart(spark, arriving):
 def test_a_log_of_many_cycles_keeps_few_files(spark, tmp_path):
     log = w.CycleLog(spark, str(tmp_path / "log"), keep=30, every=8)
     for epoch in range(100):
-        log.write(spark.createDataFrame([(epoch, p, f"job{p}", None) for p in range(4)], log.schema), epoch)
+        log.write(spark.createDataFrame([(epoch, p, f"job{p}", None, p) for p in range(4)], log.schema), epoch)
         assert len(list((tmp_path / "log").glob("*/*.parquet"))) <= 10
-    log.write(spark.createDataFrame([(99, p, f"again{p}", None) for p in range(4)], log.schema), 99)  # a batch that is run again
+    log.write(spark.createDataFrame([(99, p, f"again{p}", None, p) for p in range(4)], log.schema), 99)  # a batch that is run again
     rows = log.read().orderBy(F.col("epoch").desc(), F.col("pos").desc()).limit(30).collect()
     assert [(r.epoch, r.pos) for r in rows] == [(e, p) for e in range(99, 0, -1) for p in (3, 2, 1, 0)][:30]
     assert len({(r.epoch, r.pos) for r in log.read().collect()}) == log.read().count()
     # a process that ended before it removed what the newest rows replace
-    spark.createDataFrame([(50, 0, "old", None)], log.schema).write.parquet(str(tmp_path / "log" / "cycle=000000000050"))
+    spark.createDataFrame([(50, 0, "old", None, 0)], log.schema).write.parquet(str(tmp_path / "log" / "cycle=000000000050"))
     assert log.read().where("epoch = 50").count() == 0
 
 
