@@ -105,7 +105,8 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
 
 
-def test_mixing_against_plain_python(spark, stages):
+@pytest.mark.parametrize("keep", ["clean", None])
+def test_mixing_against_plain_python(spark, stages, keep):
     """Posteriors, cells and rates of the stage's own input, recomputed in numpy from the trained model."""
     import math
     import re
@@ -115,7 +116,7 @@ def test_mixing_against_plain_python(spark, stages):
 
     from contactlake.llm import mixing
 
-    docs, labels, m = stages[2][1], table(spark, SF, "labels"), mixing.Mixing()
+    docs, labels, m = stages[2][1], table(spark, SF, "labels"), mixing.Mixing(keep=keep)  # the stage keeps clean documents, the query nothing
     model = mixing.train(docs, labels, m)
     got = {x.doc_id: x for x in mixing.mix_sources(docs, labels, m).collect()}
     texts = dict(rows(docs))
@@ -136,8 +137,8 @@ def test_mixing_against_plain_python(spark, stages):
     a, q = np.array([n[i] for i in ids], float), np.array([p[i] for i in ids])
     share = np.array([m.targets[d] if d in names else 0.0 for d in m.targets])
     share /= share.sum()
-    whole = max(a.sum(), (a * q[:, 0]).sum() / share[0])
-    low = np.where(q[:, 0] >= q.max(axis=1), 1.0, 0.0)
+    whole = max(a.sum(), (a * q[:, 0]).sum() / share[0]) if keep else a.sum()
+    low = np.where(q[:, 0] >= q.max(axis=1), 1.0, 0.0) if keep else np.zeros(len(ids))
     w, rate = 1 / np.maximum(share, 0.01), np.maximum(1.0, low)
     step = 1 / np.linalg.eigvalsh(np.sqrt(w)[:, None] * ((q * (a / whole)[:, None]).T @ q) * np.sqrt(w)).max()
     for _ in range(100_000):
