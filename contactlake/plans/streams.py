@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from contactlake.functions.values import EXPANSION_COUNTRIES
 from contactlake.operators import directory as d
-from contactlake.operators.retry import RETRYABLE
 from contactlake.streaming import state as s
 from contactlake.streaming import worker as w
 from contactlake.streaming.drain import Drain
@@ -181,7 +180,7 @@ STATUS = "case event_type when 'click' then 429 when 'signup' then 503 when 'pur
     select user_id, status::int as status, (n + 1)::int as tries, 1.5::double * n * (n + 1) / 2 as waited, status is null as failed from t join l using (user_id) where n = last""")
 def stream_retry_backoff(t):
     """Tries of a client that backs off in even steps from busy servers and broken connections: its last one."""
-    told = timed(t, "backoff", s.Backoff(RETRYABLE), F.col("user_id").alias("key"), F.expr(STATUS).cast("int").alias("status")).where("what = 'answer'")
+    told = timed(t, "backoff", s.Backoff(), F.col("user_id").alias("key"), F.expr(STATUS).cast("int").alias("status")).where("what = 'answer'")
     last = told.groupBy("key").agg(F.max_by(F.struct("status", "tries", "waited", "failed"), "tries").alias("x"))
     return last.select(F.col("key").alias("user_id"), "x.status", "x.tries", (F.col("x.waited") / F.lit(float(s.SECOND))).alias("waited"), "x.failed")
 
@@ -192,7 +191,7 @@ def stream_retry_backoff(t):
     select user_id, (n + 2)::int as tries, ts + (1500000 * (n + 1)) * interval 1 microsecond as due from t join l using (user_id) where n < last and (next is null or next >= ts + (1500000 * (n + 1)) * interval 1 microsecond)""")
 def stream_retry_due(t):
     """When timers told a client to try again: its answer had not come before."""
-    told = timed(t, "backoff", s.Backoff(RETRYABLE), F.col("user_id").alias("key"), F.expr(STATUS).cast("int").alias("status")).where("what = 'due'")
+    told = timed(t, "backoff", s.Backoff(), F.col("user_id").alias("key"), F.expr(STATUS).cast("int").alias("status")).where("what = 'due'")
     return told.select(F.col("key").alias("user_id"), "tries", F.timestamp_micros("at").cast(t.events.schema["ts"].dataType).alias("due"))
 
 

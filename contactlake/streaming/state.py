@@ -22,6 +22,8 @@ from .worker import ROCKS, folder
 cloudpickle.register_pickle_by_value(contactlake.streaming)
 
 SECOND = 1_000_000
+#: Fixed: answers that are worth another try.
+RETRYABLE = (429, 500, 502, 503, 504)
 
 
 def _names(ddl: str) -> list[str]:
@@ -152,7 +154,7 @@ class Backoff(InOrder):
     kinds, machine = "at long, n long, status int", "tries int, done boolean, next long"
     schema = "key long, what string, at long, status int, tries int, waited long, failed boolean"
 
-    def __init__(self, again: tuple[int, ...], retries: int = 2, wait: int = 1_500_000):
+    def __init__(self, again: tuple[int, ...] = RETRYABLE, retries: int = 2, wait: int = 1_500_000):
         self.again, self.retries, self.wait = again, retries, wait
 
     def due(self, kept):
