@@ -19,8 +19,8 @@ SYMBOLS = "#*$%&|<>"
 class QualityRules:
     """Bounds of the rules; a document is rejected beyond any of them.
 
-    The cost and rejection of the rules are measured on about sample_rows rows, by a hash of the id, each evaluated
-    `times` times over. They set the order of the rules only, which never shows in the verdict.
+    The cost and rejection of the rules are measured on about sample_rows rows, drawn at random, each evaluated `times`
+    times over. They set the order of the rules only, which never shows in the verdict.
     """
 
     min_words: int = 20
@@ -143,10 +143,13 @@ def order_rules(found: dict[str, tuple[float, int]], rows: int) -> list[str]:
     return sorted(found, key=rank)
 
 
-def chosen_order(docs: DataFrame, r: QualityRules, id_col: str, text_col: str, names: tuple[str, ...] | None = None) -> list[str]:
-    """The order for a table, measured on a sample of it; names: the rules to order, all by default."""
-    mod = max(1, docs.count() // r.sample_rows)
-    picked = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(mod)) == 0)
+def chosen_order(docs: DataFrame, r: QualityRules, text_col: str = "text", names: tuple[str, ...] | None = None) -> list[str]:
+    """The order for a table, measured on a sample of it; names: the rules to order, all by default.
+
+    Rows are drawn one by one whatever they hold, so null ids and repeated rows don't swell the sample.
+    """
+    rows = docs.count()
+    picked = docs.sample(r.sample_rows / rows, 1) if rows > r.sample_rows else docs
     sample = stored(_with_words(picked, text_col).select("text", "words"), "sample")
     conditions = rules(counts(F.col("text"), F.col("words"), r), F.col("text"), r)
     found = measure(sample, {n: c for n, c in conditions.items() if names is None or n in names}, r.times)
@@ -171,7 +174,7 @@ def quality_verdicts(docs: DataFrame, r: QualityRules | None = None, id_col: str
     """
     r = r or QualityRules()
     if order is None:
-        order = chosen_order(docs, r, id_col, text_col, MORE_RULES)
+        order = chosen_order(docs, r, text_col, MORE_RULES)
     rows = _with_words(docs, text_col, F.col(id_col).alias("doc_id"))
     counted = counts(F.col("text"), F.col("words"), r)
     rows = rows.select("doc_id", "text", *[c.alias(n) for n, c in counted.items()])
@@ -191,7 +194,7 @@ def passing(docs: DataFrame, r: QualityRules | None = None, id_col: str = "doc_i
     """
     r = r or QualityRules()
     if order is None:
-        order = chosen_order(docs, r, id_col, text_col)
+        order = chosen_order(docs, r, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def kept(words: Column) -> Column:

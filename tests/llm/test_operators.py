@@ -173,7 +173,7 @@ def test_quality_order(spark):
     noisy = [order_rules({n: (t * g.uniform(0.9, 1.1), h) for n, (t, h) in found.items()}, 1000) for _ in range(20)]
     assert {x[0] for x in noisy} == {"cheap"} and {x[-1] for x in noisy} == {"idle"}
     table_ = spark.read.parquet(f"{SF}/documents.parquet")
-    got = chosen_order(table_, Rules(), "doc_id", "text")
+    got = chosen_order(table_, Rules())
     assert set(got) == {"few_words", "repeats", "symbols", "short_words", "long_words", "lines", "capitals"}
     assert got[0] != "repeats"
 
@@ -189,6 +189,18 @@ def test_quality_repeated_rows_and_null_ids(spark):
     assert kept == sorted([(1, good, "extra"), (1, good, "extra"), (None, good, "extra")], key=str)
 
 
+def test_quality_sample_of_null_ids_and_repeated_rows(spark, monkeypatch):
+    """The sample stays near its size where all rows are the same and have no id."""
+    from contactlake.llm import quality
+
+    sizes = []
+    monkeypatch.setattr(quality, "measure", lambda sample, conditions, times: sizes.append(sample.count()) or {n: (1.0, 0) for n in conditions})
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    assert quality.chosen_order(rows, QualityRules(sample_rows=500)) == sorted(quality.rules(quality.counts(F.col("text"), F.array(), QualityRules()), F.col("text"), QualityRules()))
+    quality.chosen_order(rows.limit(100), QualityRules(sample_rows=500))
+    assert 350 < sizes[0] < 650 and sizes[1] == 100
+
+
 # repeats
 
 
