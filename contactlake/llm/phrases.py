@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -14,35 +16,37 @@ from .repeats import Layout, covered, numbered, parts_of, repeated_ranges
 from .shingles import WordHashes, mix
 
 
+def confirmed(documents: list[list[list[str]]], window: int) -> set[str]:
+    """Phrases of `window` words that two of the documents have; a document is a list of passages of words."""
+    once: set[str] = set()
+    recurring: set[str] = set()
+    for passages in documents:
+        own = {" ".join(words[i : i + window]) for words in passages for i in range(len(words) - window + 1)}
+        recurring |= once & own
+        once |= own
+    return recurring
+
+
 def occurrences(rows: list[tuple], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(uid, lo, hi) of windows in rows of (h, uid, lo, data) whose words also occur in a document with a smaller uid.
 
-    Phrases of `window` words seen in two documents are confirmed and compiled into one automaton; all rows stream
-    through it, and each occurrence outside the phrase's first document is reported.
+    Phrases of `window` words that two documents have are confirmed and compiled into one automaton. All rows stream
+    through it by ascending uid: the document in which it first meets a phrase keeps it, all later places are reported.
     """
-    first: dict[str, int] = {}
-    recurring: set[str] = set()
-    texts = []
-    for _, uid, lo, data in rows:
-        words = data.decode("latin-1").split(" ")
-        texts.append((uid, lo, words))
-        for i in range(len(words) - window + 1):
-            phrase = " ".join(words[i : i + window])
-            seen = first.setdefault(phrase, uid)
-            if seen != uid:
-                recurring.add(phrase)
-                if uid < seen:
-                    first[phrase] = uid
+    rows = sorted(rows, key=itemgetter(1))
+    texts = [(uid, lo, data.decode("latin-1").split(" ")) for _, uid, lo, data in rows]
+    recurring = confirmed([[words for _, _, words in same] for _, same in groupby(texts, itemgetter(0))], window)
     if not recurring:
         return (np.empty(0, np.int64),) * 3
     automaton = ahocorasick.Automaton()
-    for phrase in recurring:
-        automaton.add_word(f" {phrase} ", (first[phrase], len(phrase)))
+    for number, phrase in enumerate(recurring):
+        automaton.add_word(f" {phrase} ", (number, len(phrase)))
     automaton.make_automaton()
+    keeper: dict[int, int] = {}
     out = []
     for uid, lo, words in texts:
         line = " " + " ".join(words) + " "
-        hits = [end - size - 1 for end, (least, size) in automaton.iter(line) if uid > least]
+        hits = [end - size - 1 for end, (number, size) in automaton.iter(line) if keeper.setdefault(number, uid) < uid]
         if hits:
             ends = np.cumsum([len(w) + 1 for w in words])
             starts = {int(e - len(w)): i for i, (e, w) in enumerate(zip(ends, words, strict=True))}

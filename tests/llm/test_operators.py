@@ -226,6 +226,21 @@ def test_repeats_odd(spark, odd):
     assert by_id(remove_repeated_phrases(odd)) == dict(zip(ids, brute.repeated_words(ODD), strict=True))
 
 
+def test_automaton_against_all_windows():
+    """Places by the automaton equal those by comparing every window with every earlier document, whatever the rows' order."""
+    from contactlake.llm.phrases import occurrences
+
+    g = random.Random(3)
+    for window in (2, 3, 5):
+        for _ in range(60):
+            rows = [(7, g.randrange(6), 100 * k, " ".join(g.choice("a b aa ab".split()) for _ in range(g.randrange(12))).encode()) for k in range(8)]
+            split = {(u, lo): d.decode().split(" ") for _, u, lo, d in rows}
+            at = [(u, lo + i, tuple(w[i : i + window])) for (u, lo), w in split.items() for i in range(len(w) - window + 1)]
+            want = sorted((u, i) for u, i, p in at if any(v < u and q == p for v, _, q in at))
+            uid, lo, hi = occurrences(rows, window)
+            assert sorted(zip(uid.tolist(), lo.tolist(), strict=True)) == want and lo.tolist() == hi.tolist()
+
+
 def test_repeats_hot_anchors(spark):
     """A passage in many different surroundings: with a low bound its anchors are matched window by window."""
     from contactlake.llm import repeats
