@@ -7,6 +7,7 @@ the files that each batch adds. A later process that is given the same folder go
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 import contactlake.streaming
 
-from .worker import ROCKS, folder
+from .worker import ROCKS, _files, folder
 
 # the machines travel to executors with the task
 cloudpickle.register_pickle_by_value(contactlake.streaming)
@@ -55,6 +56,9 @@ class Latest(StatefulProcessor):
 class InOrder(StatefulProcessor):
     """Rows (at, n, …) of a key, at in microseconds, wait until the watermark has passed them and then go to step() by (at, n).
 
+    What a batch brings of a key waits as one value, and one timer stands for the earliest of it, so that the store is asked a fixed
+    number of times for a key and batch, however many rows they hold.
+
     kinds: the waiting columns as DDL, at and n first; machine: what step() keeps, as DDL. step() gets the kept values, or None, and a row, and
     gives what is kept and the rows to tell. due() tells when time alone changes what is kept, and elapse() how.
     """
@@ -63,9 +67,17 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.kinds)
+        self.names = _names(self.kinds)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.kept = handle.getValueState("kept", self.machine)
 
+    def _known(self) -> tuple | None:
+        values = self.kept.get()
+        return None if values is None else tuple(values)
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))
+
     def step(self, key: tuple, kept: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
         raise NotImplementedError
 
@@ -76,25 +88,25 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names = _names(self.kinds)
-        for r in rows:
-            row = tuple(r[c] for c in names)
-            self.waiting.appendValue(row)
-            self.handle.registerTimer(-(-row[0] // 1000))
+        came = [tuple(r[c] for c in self.names) for r in rows]
+        self.waiting.appendValue((pickle.dumps(came),))
+        self._wake(min(r[0] for r in came))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
-        ready = [tuple(r) for r in rows if r[0] <= now]
-        if not ready and self.due(tuple(self.kept.get()) if self.kept.exists() else None) is None:
+        rows = [r for (packed,) in self.waiting.get() for r in pickle.loads(packed)]
+        ready = sorted((r for r in rows if r[0] <= now), key=lambda r: (r[0], r[1]))
+        before = kept = self._known()
+        if not ready and self.due(kept) is None:
             return  # another timer of this watermark has done it
-        later = [tuple(r) for r in rows if r[0] > now]
+        later = [r for r in rows if r[0] > now]
         if later:
-            self.waiting.put(later)
-        else:
+            if ready:
+                self.waiting.put([(pickle.dumps(later),)])
+            self._wake(min(r[0] for r in later))
+        elif rows:
             self.waiting.clear()
-        before = kept = tuple(self.kept.get()) if self.kept.exists() else None
         told: list[tuple] = []
 
         def lapsed(until: int, kept: tuple | None) -> tuple | None:
@@ -108,11 +120,12 @@ class InOrder(StatefulProcessor):
             told.extend(more)
         kept = lapsed(now, kept)
         if kept is None:
-            self.kept.clear()
+            if before is not None:
+                self.kept.clear()
         elif kept != before:
             self.kept.update(kept)
         if (at := self.due(kept)) is not None:
-            self.handle.registerTimer(-(-at // 1000))
+            self._wake(at)
         tells = Row(*_names(self.schema))
         for t in told:
             yield tells(*t)
@@ -195,7 +208,7 @@ class Memo(InOrder):
         return ((row[0], 1) if kept is None else (kept[0], kept[1] + 1)), []
 
 
-def _micros(c: str) -> Column:
+def micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
@@ -215,7 +228,7 @@ def in_order(rows: DataFrame, machine: InOrder, at: str | None = None, delay: st
     """What the machine tells of a stream of (key, ts, n, …): rows up to `delay` late count in their place, later ones are dropped
     by the watermark; rows that the watermark has not passed yet are told by a later run."""
     at = at or folder(rows.sparkSession, type(machine).__name__.lower())
-    timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("at", _micros("ts"))
+    timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).withColumn("at", micros("ts"))
     return _run(_kept(timed, "key", machine, machine.schema, "eventTime"), at)
 
 
@@ -236,13 +249,31 @@ def stored_state(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.format("statestore").option("path", f"{at}/state").option("stateVarName", name).load().select("key.*", "value.*")
 
 
-def arrived(rows: DataFrame, by: str, parts: int, at: str, last: dict | None = None) -> DataFrame:
-    """A stream of rows that arrive in `parts` files one after the other, cut by ranges of a column; then, if given, a row `last`."""
+def arrived(rows: DataFrame, by: str | Column, parts: int, at: str, last: dict | None = None, most: int = 500_000) -> DataFrame:
+    """A stream of rows that arrive in `parts` batches one after the other, cut by ranges of a column; then, if given, a row `last`.
+
+    Each part is the same number of files, enough for about `most` rows in one; a batch takes them all.
+    """
     spark = rows.sparkSession
-    low, high = rows.agg(F.min(by), F.max(by)).first()
-    part = F.lit(0) if low is None else F.least(F.floor((F.col(by) - F.lit(low)) * parts / F.lit(high - low + 1)), F.lit(parts - 1))
+    by = F.col(by) if isinstance(by, str) else by
+    low, high, n = rows.agg(F.min(by), F.max(by), F.count("*")).first()
+    part = F.lit(0) if low is None else F.least(F.floor((by - F.lit(low)) * parts / F.lit(high - low + 1)), F.lit(parts - 1))
+    files = max(1, -(-n // (parts * most)))
+
+    def put(some: DataFrame) -> None:
+        some.write.mode("append").parquet(f"{at}/arrived")
+
     for k in range(parts):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{at}/arrived")
+        had = _number_of_files(spark, f"{at}/arrived")
+        some = rows.where(part == k)
+        put(some.coalesce(1) if files == 1 else some.repartition(files))
+        for _ in range(had + files - _number_of_files(spark, f"{at}/arrived")):  # files that few rows left out
+            put(rows.limit(0).coalesce(1))
     if last:
-        spark.range(1).select(*[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema]).coalesce(1).write.mode("append").parquet(f"{at}/arrived")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/arrived")
+        put(spark.range(1).select(*[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema]).coalesce(1))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/arrived")
+
+
+def _number_of_files(spark: SparkSession, path: str) -> int:
+    fs, p = _files(spark, path)
+    return sum(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(p)) if fs.exists(p) else 0

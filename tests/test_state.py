@@ -109,3 +109,69 @@ def test_merged_over_restarts_writes_what_a_batch_touches(spark, tmp_path):
     assert got == want
     new = [f for f in files(tmp_path) if f.name not in before]
     assert spark.read.parquet(*map(str, new)).count() == 2 and changes.count() == 3002
+
+
+def test_a_key_of_many_rows_asks_the_store_a_fixed_number_of_times():
+    """However many rows a batch brings of a key, waiting and telling them takes as many calls."""
+
+    class Store:
+        def __init__(self):
+            self.values, self.calls, self.timers = [], 0, set()
+
+        def called(self, f):
+            def run(*x):
+                self.calls += 1
+                return f(*x)
+
+            return run
+
+        def __getattr__(self, name):
+            put = lambda x: setattr(self, "values", list(x))
+            return self.called({"appendValue": lambda x: self.values.append(x), "get": lambda: iter(self.values), "put": put, "clear": lambda: put([]), "registerTimer": self.timers.add}[name])
+
+    class Kept(Store):
+        def __getattr__(self, name):
+            return self.called({"get": lambda: self.values[0] if self.values else None, "update": lambda x: setattr(self, "values", [x]), "clear": lambda: setattr(self, "values", [])}[name])
+
+    class Handle(Store):
+        def getListState(self, name, schema):
+            self.waiting = Store()
+            return self.waiting
+
+        def getValueState(self, name, schema):
+            self.state = Kept()
+            return self.state
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 10_000_000
+
+    def calls(n):
+        h, m = Handle(), s.Memo(ttl=60)
+        m.init(h)
+        list(m.handleInputRows(("a",), iter([{"at": i * s.SECOND, "n": i} for i in range(n)]), Now()))
+        told = [tuple(r) for r in m.handleExpiredTimer(("a",), Now(), None)]
+        assert [r[1:] for r in told] == [(60 * k * s.SECOND, 60) for k in range(n // 60)]
+        return h.calls + h.waiting.calls + h.state.calls, len(h.timers)
+
+    assert calls(6000) == calls(60)
+
+
+def test_parts_are_batches_of_files_that_no_task_writes_alone(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id as n", "timestamp_micros(id * 1000000) as ts")
+    for name, by in (("n", "n"), ("ts", s.micros("ts"))):
+        at = str(tmp_path / name)
+        got = s.arrived(rows, by, 4, at, END, most=100)
+        seen = []
+        got.writeStream.foreachBatch(lambda b, _: seen.append(sorted(x.n for x in b.select("n").collect() if x.n is not None))).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()  # noqa: B023
+        assert seen == [list(range(250 * k, 250 * (k + 1))) for k in range(4)] + [[]]
+        assert len(list((tmp_path / name / "arrived").glob("*.parquet"))) == 4 * 3 + 1
+
+
+def test_few_rows_in_many_files(spark, tmp_path):
+    """Parts of unequal size are batches of their own, though some leave files out."""
+    rows = spark.createDataFrame([(i,) for i in [*range(90), 300]], "n long")
+    seen = []
+    got = s.arrived(rows, "n", 2, str(tmp_path), most=10)
+    got.writeStream.foreachBatch(lambda b, _: seen.append(b.count())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [90, 1]
