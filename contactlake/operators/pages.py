@@ -21,9 +21,12 @@ SCHEMA = "page_id long, stage int, pos int, kind string, name string, title stri
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores where fewer partitions hold them, as a small file's do; larger inputs stay where they lie."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """rows over all cores, a few tasks for each, where fewer partitions hold them; larger inputs stay where they lie.
+
+    A file's partitions needn't hold rows, or equally many, and a task of Python takes far longer than reading its rows.
+    """
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def parsed(pages: DataFrame, *stages: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contactlake.functions import dom, markup, names, people, text
-from contactlake.operators.pages import mapped, parsed
+from contactlake.operators.pages import mapped, parsed, spread
 
 from .registry import query
 
@@ -14,8 +14,8 @@ ROLE = "case event_id % 3 when 0 then 'Founder and CEO' when 1 then 'Managing Di
 
 
 def made(t, template: str):
-    """Pages of events; @who, @role and @id in the template are filled in."""
-    rows = t.events.selectExpr("event_id as page_id", f"{WHO} as who", f"{ROLE} as role")
+    """Pages of events, dealt over tasks before they are made; @who, @role and @id in the template are filled in."""
+    rows = spread(t.events.select("event_id")).selectExpr("event_id as page_id", f"{WHO} as who", f"{ROLE} as role")
     html = F.lit(template)
     for mark, value in (("@who", F.col("who")), ("@role", F.col("role")), ("@id", F.col("page_id").cast("string"))):
         html = F.replace(html, F.lit(mark), value)

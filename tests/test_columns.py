@@ -67,3 +67,15 @@ def test_robots_without_a_status(spark):
     rows = [(1, "https://a.com/x", None, None), (2, "https://a.com/x", 403, ""), (3, "https://a.com/x", 200, "User-agent: *\nDisallow: /x"), (4, "https://a.com/y", 500, None), (5, "https://a.com/x", 200, None)]
     got = robots_allowed(spark.createDataFrame(rows, "id long, url string, status int, body string"), "id", "bot")
     assert {r.id: r.allowed for r in got.collect()} == {1: True, 2: False, 3: False, 4: True, 5: True}
+
+
+def test_pages_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    """Several tasks a core, evenly, though one file's partition holds all pages; also for the table function."""
+    from types import SimpleNamespace
+
+    from contactlake.plans.pagequeries import CARD, made
+
+    spark.range(6000).selectExpr("id as event_id").coalesce(1).write.parquet(str(tmp_path / "events"))
+    pages = made(SimpleNamespace(events=spark.read.parquet(str(tmp_path / "events"))), CARD)
+    sizes = [r[0] for r in pages.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 4 * spark.sparkContext.defaultParallelism and max(sizes) < 3 * min(sizes)

@@ -151,3 +151,55 @@ def test_redirects_end_and_never_return(spark):
 def test_text_stops_early():
     root = dom.tree("<div>" + "<p>word</p>" * 50 + "</div>")
     assert root.text(most=90) == "" and root.text(most=10_000) == root.text() and dom.tree("<p>ab<p>c").text(most=4) == "ab c"
+
+
+PIECES = (
+    "<p>|</p>|<div class='a'>|</div>|<a href=\"mailto:p@acme.example.com?x\">|<a href=\"https://www.linkedin.com/in/x?a\">|<a href=\"tel:+49 30 123456\">|</a>|<br>|<br/>|<br />|<i x=y>|<i x=y/>|<b a b = 'c'>|<b a=\"1\"c=\"2\">|</b >|</ b>|</>|<>|< p>|<!-- c -->|<!---->|<!--> x|<!-- a -- b -->|"
+    "<!DOCTYPE html>|<!doctype|<![CDATA[x]]>|<?pi?>|&amp;|&|&#65|&nosuch;|a < b|<script>|</script>|</ script >|<script>if (a<b) x('</p>')</script>|<SCRIPT type=\"t\">x</SCRIPT>|<style>p</style>|<title>|</title>|<textarea>|</textarea>|<li>|<h3>Ann Lee</h3>|<h3>Bo Ek</h3>|<p>Head of Data</p>|"
+    "<div class=\"team-name\">Ann Lee</div>|<div class=\"team-role\">CEO</div>|<p title=\"a&lt;b>c\">|Founder and CEO|\n | |<p x>|<P CLASS=Big>|<a-b c>|<p/ >|<x a= >|<p a=\"|'|\""
+).split("|")
+
+
+def random_page(r):
+    return "".join(r.choice(PIECES) for _ in range(r.randrange(30)))
+
+
+def test_plain_markup_gives_the_standard_parsers_tree():
+    """What one pattern takes at once makes the same tree as the standard parser alone."""
+    import random
+    from html.parser import HTMLParser
+
+    class Alone(dom._Builder):
+        goahead = HTMLParser.goahead
+
+    def shape(n):
+        return (n.tag, list(n.attrs.items()), [c if isinstance(c, str) else shape(c) for c in n.children])
+
+    r = random.Random(5)
+    for _ in range(4000):
+        page = random_page(r)
+        alone = Alone()
+        alone.feed(page)
+        alone.close()
+        root = dom.tree(page)
+        assert shape(root) == shape(alone.root), page
+        for n in [root, *root.walk()]:
+            below, todo = [], [c for c in reversed(n.children) if isinstance(c, dom.Node)]
+            while todo:
+                below.append(todo.pop())
+                todo += [c for c in reversed(below[-1].children) if isinstance(c, dom.Node)]
+            assert [id(x) for x in n.walk()] == [id(x) for x in below]
+
+
+def test_cards_of_a_large_page_take_linear_time():
+    """Links and roles are gathered once, not for every card; a page of many people in one list."""
+    import time
+
+    def seconds(n):
+        page = "<div>" + "".join(f'<h3>{a}n Lee{b}</h3><p>Head of Data {a}{b}</p><div class="team-name">{a}n Lee{b}</div>' for a, b in ((chr(65 + i % 26) + chr(97 + i // 26 % 26), chr(97 + i // 676) * 2) for i in range(n))) + '<div class="team-role">CEO</div></div>'
+        root = dom.tree(page)
+        began = time.perf_counter()
+        assert len(list(dom.cards(root))) > 0.9 * n and len(list(dom.class_cards(root))) > 0.9 * n
+        return time.perf_counter() - began
+
+    assert seconds(8000) < 20 * seconds(1000) + 0.5
