@@ -165,7 +165,7 @@ def project_fmt_employees(t):
 
 @query("project_rel_time", """
     select id, case when s < 60 then 'just now' when s < 3600 then concat(cast(s // 60 as varchar), 'm ago') when s < 86400 then concat(cast(s // 3600 as varchar), 'h ago') else strftime(ts, '%Y-%m-%d') end as label
-    from (select id, ts, date_diff('second', ts, (select max(ts) from worker_log)) as s from worker_log) x""")
+    from (select id, ts, date_sub('second', ts, (select max(ts) from worker_log)) as s from worker_log) x""")
 def project_rel_time(t):
     from contactlake.functions.text import relative_time
 
