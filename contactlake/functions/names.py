@@ -38,7 +38,9 @@ def is_company(name: Column, company: Column, marks: str = "-") -> Column:
 
 
 def adjacent_dup(t: Column) -> Column:
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.coalesce(F.get(t, i) == F.get(t, i - 1), F.lit(False)))
+    """Whether two neighbours are equal. t stands outside the lambda: within, Catalyst would make the array anew for each element."""
+    after = F.slice(t, F.lit(2), F.greatest(F.size(t), F.lit(0)))
+    return F.coalesce(F.exists(F.zip_with(t, after, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda same: same), F.lit(False))
 
 
 def is_noise(name: Column, title: Column, email: Column, company: Column, stop: list[str] | None = None) -> Column:

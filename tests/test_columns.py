@@ -79,3 +79,24 @@ def test_pages_of_one_file_are_dealt_over_tasks(spark, tmp_path):
     pages = made(SimpleNamespace(events=spark.read.parquet(str(tmp_path / "events"))), CARD)
     sizes = [r[0] for r in pages.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert len(sizes) == 4 * spark.sparkContext.defaultParallelism and max(sizes) < 3 * min(sizes)
+
+
+def test_adjacent_dup_of_a_long_text_is_linear(spark):
+    """Words are split once; neighbours only, nulls and texts of one word have none."""
+    import time
+
+    texts = [" ".join(str(i) for i in range(100_000)), " ".join(str(i) for i in range(50_000)) + " 49999", "a b a", "a a", "a", "", None]
+    began = time.perf_counter()
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(names.adjacent_dup(F.split("t", " "))).collect()]
+    assert got == [False, True, False, True, False, False, False] and time.perf_counter() - began < 20
+
+
+def test_relative_time_and_its_sql_count_whole_seconds(spark, tmp_path):
+    """59.9 seconds that cross 60 boundaries of seconds are less than a minute, in the query and in its SQL."""
+    from contactlake.plans.catalog import ORACLES, QUERIES
+    from tests.compare import differences, duck
+
+    rows = spark.sql("select event_id, timestamp '2024-01-02 00:00:00.5' - make_dt_interval(0, 0, 0, s) as ts, 1L as user_id, 'view' as event_type, 1.0D as value, '{}' as props from values (1L, 0.0), (2L, 59.9), (3L, 60.0), (4L, 3599.9), (5L, 86399.8), (6L, 86400.0) v(event_id, s)")
+    rows.selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert differences(spark, duck(str(tmp_path)), QUERIES["project_rel_time"], ORACLES["project_rel_time"], str(tmp_path)) is None
+    assert [r.label for r in QUERIES["project_rel_time"](spark, str(tmp_path)).orderBy("id").collect()] == ["just now", "just now", "1m ago", "59m ago", "23h ago", "2024-01-01"]
