@@ -53,9 +53,9 @@ END = {"ts": datetime.datetime(2200, 1, 1)}
 
 
 def timed(t, name: str, machine, *columns, parts: int = 3):
-    """What the machine tells of the events, as they arrive in files."""
+    """What the machine tells of the events, as they arrive in files, in the order of their time: ids may say another."""
     at = w.folder(t.spark, name)
-    rows = s.arrived(t.events.select(*columns, F.col("event_id").alias("n"), "ts"), "n", parts, at, END)
+    rows = s.arrived(t.events.select(*columns, F.col("event_id").alias("n"), "ts"), s.micros("ts"), parts, at, END)
     return s.in_order(rows, machine, at)
 
 
