@@ -27,16 +27,21 @@ def sitemap_urls(sites: DataFrame, key: str, k: int = 6, most: int = 500) -> Dat
     """(key, url, rank): the k best of a sitemap's first entries, by link words, then url. sites: (key, base, xml)."""
     locs = F.slice(F.regexp_extract_all("xml", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), 1, most)
     rows = sites.select(key, "base", F.explode(locs).alias("loc"))
-    url = F.when(F.col("loc").startswith("/"), F.concat("base", "loc")).otherwise(F.col("loc"))
-    at = F.lower(path(url))
+    rows = _once(rows, url=F.when(F.col("loc").startswith("/"), F.concat("base", "loc")).otherwise(F.col("loc")))
+    rows, at = _once(rows, at=F.lower(path(F.col("url")))), F.col("at")
     noise = reduce(lambda a, b: a | b, [at.contains(x) for x in SITEMAP_NOISE])
     score = F.lit(None).cast("int")
     for rank, words in reversed(SITEMAP_WORDS):
         score = F.when(has_word(at, words), rank).otherwise(score)
-    rows = rows.where(~at.isin("", "/") & ~noise).select(key, strip_fragment(url).alias("url"), score.alias("score")).where("score is not null")
+    rows = _once(rows.where(~at.isin("", "/") & ~noise), score=score).where("score is not null").select(key, strip_fragment(F.col("url")).alias("url"), "score")
     return _numbered(rows, [key], [F.col("score"), F.col("url")], k).select(key, "url", "rank")
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns computed once a row: a plain projection is pasted into every later filter and branch that names it."""
+    return reduce(lambda out, c: out.select("*", F.explode(F.array(c[1])).alias(c[0])), columns.items(), rows)
+
+
 def _numbered(rows: DataFrame, keys: list, order: list, k: int) -> DataFrame:
     return ranked(rows, keys, order, k, keep="rank")
 
@@ -51,8 +56,8 @@ def guessed_pages(fetched: DataFrame, key: str, k: int = 3) -> DataFrame:
 
 def linked_pages(links: DataFrame, key: str) -> DataFrame:
     """(key, url, rank) of a home page's links to its own site that hold a link word, best first. links: (key, base, href)."""
-    rows = links.select(key, joined(F.col("base"), F.col("href")).alias("url")).where("url is not null").distinct()
-    rows = rows.withColumn("score", link_priority(F.lower(path(F.col("url"))))).where("score < 9")
+    rows = _once(links.select(key, "base", "href"), url=joined(F.col("base"), F.col("href"))).where("url is not null").select(key, "url")
+    rows = _once(_once(rows, at=F.lower(path(F.col("url")))), score=link_priority(F.col("at"))).where("score < 9").select(key, "url", "score").distinct()
     return _numbered(rows, [key], [F.col("score"), F.col("url")], 1 << 30).select(key, "url", "rank")
 
 

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from contactlake.functions.values import GUESS_PATHS
+from contactlake.operators.pages import spread
 
 
 def _listed(*columns) -> str:
@@ -144,6 +145,10 @@ BINDINGS = {
 PHYSICAL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "benchmark", "conversations", "embeddings")
 
 
+#: Tables that make many rows of each of companies: these are dealt over all cores first, else one file's partition would make them all.
+MULTIPLIED = ("sitemaps", "fetches", "home_links")
+
+
 def _named(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
@@ -160,7 +165,8 @@ class Tables:
                 self._seen[name] = self.spark.read.parquet(f"{self._dir}/{name}.parquet")
             elif name in BINDINGS:
                 sql = BINDINGS[name]
-                self._seen[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in _named(sql)})
+                deal = spread if name in MULTIPLIED else lambda rows: rows
+                self._seen[name] = self.spark.sql(sql, **{n: deal(getattr(self, n)) for n in _named(sql)})
             else:
                 raise AttributeError(name)
         return self._seen[name]

@@ -100,3 +100,14 @@ def test_relative_time_and_its_sql_count_whole_seconds(spark, tmp_path):
     rows.selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert differences(spark, duck(str(tmp_path)), QUERIES["project_rel_time"], ORACLES["project_rel_time"], str(tmp_path)) is None
     assert [r.label for r in QUERIES["project_rel_time"](spark, str(tmp_path)).orderBy("id").collect()] == ["just now", "just now", "1m ago", "59m ago", "23h ago", "2024-01-01"]
+
+
+def test_a_link_is_judged_once(spark):
+    """Each word pattern stands once in the plan, not again in the filters on what it gives."""
+    from contactlake.operators.frontier import linked_pages, sitemap_urls
+
+    links = spark.createDataFrame([(1, "https://a.example/", "/team/"), (1, "https://a.example/", "/team/#x"), (1, "https://a.example/", "/shop"), (1, None, "x")], "k long, base string, href string")
+    site = spark.createDataFrame([(1, "https://a.example", "<loc>/team/</loc><loc> https://a.example/cart/team </loc><loc>/x</loc>")], "k long, base string, xml string")
+    for rows, word in ((linked_pages(links, "k"), "meet-the-team"), (sitemap_urls(site, "k"), "who-we-are")):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count(word) == 1
+        assert [tuple(r) for r in rows.collect()] == [(1, "https://a.example/team/", 1)]
