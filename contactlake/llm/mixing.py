@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blank_words, discard, let, stored
@@ -51,9 +53,10 @@ def features(text: Column, buckets: int) -> Column:
     return F.array_distinct(F.transform(blank_words(apart), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
 
 
-def numbers(values) -> Column:
-    """A constant array of doubles, parsed once by the optimizer."""
-    return F.split(F.lit(",".join(f"{x:.4g}" for x in values)), ",").cast("array<double>")
+def numbers(spark: SparkSession, values) -> Column:
+    """A constant array of doubles. It is a scalar subquery: as a literal every plan's text would spell it out, and the driver keeps the texts of all jobs."""
+    told = pa.array([[float(f"{x:.4g}") for x in values]], pa.list_(pa.float64()))
+    return spark.createDataFrame(pa.table({"v": told})).scalar()
 
 
 def evidence(counts: np.ndarray, sizes: np.ndarray, m: Mixing, caution: float) -> np.ndarray:
@@ -74,10 +77,19 @@ def evidence(counts: np.ndarray, sizes: np.ndarray, m: Mixing, caution: float) -
     return np.clip(out, -m.most, m.most)
 
 
-def logits(b: Column, prior: np.ndarray, e: np.ndarray) -> list[Column]:
+def with_evidence(rows: DataFrame, e: np.ndarray) -> tuple[DataFrame, list[Column]]:
+    """rows and, for logits(), a column of them for each of the arrays.
+
+    Use each once: the optimizer then puts the subquery in its place, and no row carries the array. In a lambda a subquery may not be written.
+    """
+    known = {f"_e{i}_{uuid.uuid4().hex[:6]}": numbers(rows.sparkSession, x) for i, x in enumerate(e)}
+    return rows.withColumns(known), [F.col(c) for c in known]
+
+
+def logits(b: Column, prior: np.ndarray, known: list[Column]) -> list[Column]:
     """ln prior and summed evidence of each domain, for a column of buckets."""
     adder = lambda known: lambda a, x: a + F.get(known, x)
-    return [F.lit(float(p)) + F.aggregate(b, F.lit(0.0), adder(numbers(x))) for p, x in zip(prior, e, strict=True)]
+    return [F.lit(float(p)) + F.aggregate(b, F.lit(0.0), adder(x)) for p, x in zip(prior, known, strict=True)]
 
 
 def posteriors(raw: list[Column]) -> list[Column]:
@@ -133,8 +145,11 @@ def train(docs: DataFrame, labels: DataFrame, m: Mixing, id_col: str = "doc_id",
             """What the second half told where a row lies in the first, and the other way round."""
             return [F.when(first, x).otherwise(y) for x, y in zip(values[1], values[0], strict=True)]
 
-        told = [by_half([logits(F.col("b"), np.zeros(len(names)), evidence(counts[h], sizes[h], m, c)) for h in (0, 1)]) for c in m.caution]
-        scored = sample.select("domain", "half", *[F.array(*x).alias(f"s{i}") for i, x in enumerate(told)])
+        ways = [(c, h) for c in m.caution for h in (0, 1)]
+        scored, known = with_evidence(sample, np.concatenate([evidence(counts[h], sizes[h], m, c) for c, h in ways]))
+        raw = {w: logits(F.col("b"), np.zeros(len(names)), known[i * len(names) : (i + 1) * len(names)]) for i, w in enumerate(ways)}
+        told = [by_half([raw[c, h] for h in (0, 1)]) for c in m.caution]
+        scored = scored.select("domain", "half", *[F.array(*x).alias(f"s{i}") for i, x in enumerate(told)])
         priors = by_half([[F.lit(float(x)) for x in prior(sizes[h])] for h in (0, 1)])
         own = F.array_position(F.array(*map(F.lit, names)), F.col("domain")).cast("int") - 1
         pairs = [(c, w) for c in m.caution for w in m.weight]
@@ -148,8 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, m: Mixing, id_col: str = "doc_id",
 def memberships(docs: DataFrame, model: Model, m: Mixing, text_col: str = "text") -> DataFrame:
     """docs with n_tokens and p_<domain>, posteriors that add up to one (0 for a domain without labels)."""
     text = F.col(text_col).cast("string")
-    scores = let(features(text, m.buckets), lambda b: F.struct(*[x.alias(d) for d, x in zip(model.names, logits(b, model.prior, model.evidence), strict=True)]))
-    rows = docs.withColumn("_s", scores).withColumn("n_tokens", F.size(blank_words(text)).cast("long"))
+    rows, known = with_evidence(docs.withColumn("n_tokens", F.size(blank_words(text)).cast("long")), model.evidence)
+    scores = let(features(text, m.buckets), lambda b: F.struct(*[x.alias(d) for d, x in zip(model.names, logits(b, model.prior, known), strict=True)]))
+    rows = rows.select(*docs.columns, "n_tokens", scores.alias("_s"))
     told = dict(zip(model.names, posteriors([F.col(f"_s.{d}") for d in model.names]), strict=True))
     return rows.withColumns({f"p_{d}": told.get(d, F.lit(0.0)) for d in m.targets}).drop("_s")
 
@@ -219,7 +235,7 @@ def fitted_rates(rows: DataFrame, m: Mixing) -> DataFrame:
         warnings.warn("mixing: no rates meet the targets; shares are " + ", ".join(f"{d} {y:.4f} for {z:.4f}" for d, y, z in zip(names, reached, share, strict=True)), stacklevel=2)
     of_cell = np.ones(2 * (bins + 1) ** (k - 1))
     of_cell[codes] = rate
-    return rows.withColumn("rate", F.round(F.coalesce(F.get(numbers(of_cell), cell), F.lit(1.0)), 4))
+    return rows.withColumn("rate", F.round(F.coalesce(F.get(numbers(rows.sparkSession, of_cell), cell), F.lit(1.0)), 4))
 
 
 def _drawn(rows: DataFrame, id_col: str, text_col: str) -> Column:

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from contactlake.llm import ctw, queries
+from contactlake.llm import ctw, mixing, queries
 from contactlake.llm.decontaminate import contamination
 from contactlake.llm.graph import connected_components
 from contactlake.llm.licenses import scan_licenses
@@ -577,6 +577,24 @@ def test_mixing_odd(spark, odd, none):
     assert mix_sources(none, lab).count() == 0
 
 
+def test_mixing_keeps_its_tables_out_of_the_plans(spark, small):
+    """What the driver keeps of every job is its plan's text."""
+    labels = spark.createDataFrame(duckdb.sql(f"select doc_id, quality, toxic from '{SF}/labels.parquet'").fetchall(), "doc_id long, quality int, toxic int")
+    text = lambda df: df._jdf.queryExecution().toString()
+    d = docs(spark, small)
+    model = mixing.train(d, labels, Mixing())
+    rows = mixing.memberships(d, model, Mixing())
+    assert model.evidence.any() and len(text(rows)) < 50_000
+    assert "AS _e0" not in rows._jdf.queryExecution().optimizedPlan().toString()  # no row carries the array
+    assert len(text(fitted_rates(rows.localCheckpoint(), Mixing()))) < 50_000
+    # the same posteriors by plain numpy
+    known = np.array([[float(f"{x:.4g}") for x in e] for e in model.evidence])
+    for x in rows.withColumn("b", mixing.features(F.col("text"), Mixing().buckets)).collect():
+        raw = model.prior + known[:, x.b].sum(axis=1)
+        odds = np.exp(raw - raw.max())
+        assert np.allclose([x[f"p_{n}"] for n in model.names], odds / odds.sum())
+
+
 def test_mixing_without_labels_of_a_domain_and_repeated_rows(spark):
     g = random.Random(3)
     rows = [(i, " ".join(g.choice(["sun", "moon", "star"] if i % 3 else ["bad", "worse", "worst"]) + g.choice("ab") for _ in range(30))) for i in range(150)]
