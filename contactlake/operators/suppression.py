@@ -6,12 +6,16 @@ that these entries fit; the rest of the directory is not looked at.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactlake.operators.blocklist import company_keys, entry_keys, met
 from contactlake.operators.merge import new_value
 from contactlake.sources.buckets import BucketedTable
+from contactlake.sources.work import removed
 
 
 def _added(new: Column, old: Column) -> Column:
@@ -28,9 +32,10 @@ class Suppression:
         self.supports = BucketedTable(spark, f"{at}/supports", "company_id long, n long", ["company_id"], buckets=buckets)
 
     def _fits(self, entries: DataFrame) -> DataFrame:
-        """(company_id, entry_id); only the index's buckets of these entries' keys are read."""
+        """(company_id, entry_id); only the index's buckets of these entries' keys are read, and of them the kinds of keys (four) that the entries have."""
         wanted = entry_keys(entries)
-        return met(self.index.read(of=wanted), wanted)
+        kinds = sorted(r[0] for r in wanted.select(F.substring("_k", 1, 2)).distinct().collect())
+        return met(self.index.read(of=wanted).where(reduce(Column.__or__, (F.col("_k").startswith(k) for k in kinds), F.lit(False))), wanted)
 
     def _count(self, fits: DataFrame, sign: int) -> list[int]:
         return self.supports.upsert(fits.groupBy("company_id").agg((F.count("*") * sign).alias("n")), {"n": _added})
@@ -39,15 +44,21 @@ class Suppression:
         """Companies (id, name, domain) that are new; null names and domains have no keys."""
         self.index.upsert(company_keys(companies), {"cn": new_value, "cd": new_value})
         known = self.entries.read()
-        self._count(met(company_keys(companies), entry_keys(known)), 1)
+        if not known.isEmpty():
+            self._count(met(company_keys(companies), entry_keys(known)), 1)
 
     def add(self, entries: DataFrame) -> list[int]:
         """Entries (id, name, domain); those whose id is known change nothing. The buckets of supports rewritten."""
         told = entries.select("id", "name", "domain").dropDuplicates(["id"])
-        new = told.join(self.entries.read(of=told).select("id"), "id", "left_anti")
-        at = self._count(self._fits(new), 1)
-        self.entries.upsert(new, {"name": new_value, "domain": new_value})
-        return at
+        path = f"{self.at}/new-{uuid.uuid4().hex[:12]}"
+        try:
+            told.join(self.entries.read(of=told).select("id"), "id", "left_anti").write.parquet(path)
+            new = self.spark.read.schema(told.schema).parquet(path)
+            at = self._count(self._fits(new), 1)
+            self.entries.upsert(new, {"name": new_value, "domain": new_value})
+            return at
+        finally:
+            removed(self.spark, path)
 
     def remove(self, entries: DataFrame) -> list[int]:
         """Entries by id; those that aren't known change nothing. The buckets of supports rewritten."""

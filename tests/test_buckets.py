@@ -99,3 +99,19 @@ def test_suppression_equals_full_recomputation(spark, tmp_path):
     live.clear()
     assert same() == 0 and kept.entries.read().count() == 0
     assert kept.add(of([])) == []
+
+
+def test_an_upsert_computes_its_batch_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        seen.add(1)
+        return x
+
+    table = BucketedTable(spark, str(tmp_path / "t"), SCHEMA, ["company_id", "email"], ["company_id"], 8)
+    batch = spark.range(100).select(F.col("id").alias("company_id"), F.lit("e").alias("email"), told(F.lit("a")).alias("category"), F.lit("s").alias("source")).withColumn("company_id", F.when(F.col("category") == "a", F.col("company_id")))
+    for n in (100, 200):  # a new table, then one that there is
+        assert table.upsert(batch, POLICIES) == [*range(8)] and table.read().count() == 100
+        assert seen.value <= 2 * n  # the two columns that need it
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
