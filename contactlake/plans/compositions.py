@@ -50,8 +50,10 @@ def pipeline_scrape_company(t):
     })
     after = before.scrape(t.scrapes.select("company_id", "pages_checked"), {"emails": new_e, "people": new_p, "phones": new_h, "socials": new_s}, t.web_people, t.mx, t.smtp, t.catchall)
     rows = after.scrapes.select(F.col("company_id").alias("id"), "status").join(before.scrapes.select(F.col("company_id").alias("id"), F.lit(True).alias("was")), "id", "left")
-    told = d.with_counts(rows, emails=after.emails, deliverable=after.emails.where("verdict = 'deliverable'"), phones=after.phones, people=after.people, socials=after.socials)
-    return told.select(F.col("id").alias("company_id"), F.coalesce("was", F.lit(False)).alias("cached"), "status", "n_emails", "n_deliverable", "n_phones", "n_people", "n_socials")
+    none = F.lit(0).cast("long")
+    emails = after.emails.groupBy(F.col("company_id").alias("id")).agg(F.count("*").alias("n_emails"), F.count_if(F.col("verdict") == "deliverable").alias("n_deliverable"))
+    told = d.with_counts(rows, phones=after.phones, people=after.people, socials=after.socials).join(emails, "id", "left")
+    return told.select(F.col("id").alias("company_id"), F.coalesce("was", F.lit(False)).alias("cached"), "status", F.coalesce("n_emails", none).alias("n_emails"), F.coalesce("n_deliverable", none).alias("n_deliverable"), "n_phones", "n_people", "n_socials")
 
 
 DOMAIN = "regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', ''), '^m\\.', '')"
